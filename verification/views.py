@@ -344,7 +344,7 @@ def _text_line(d):
     src = f"(SELECT doc_id AS k, lang, text FROM {d.table('documents')}) t"
     return f"""
     SELECT concat('txt-', cast(k as string)) AS doc_id, line_no, line AS text,
-      case lang when 'en' then '0.97' when 'fr' then '1.25' when 'de' then 'n/a' else 'NaN' end AS score,
+      case lang when 'en' then '0.97' when 'fr' then '1.25' when 'de' then 'n/a' else '-0.5' end AS score,
       cast(40 + line_no % 3 as double) AS left_x, cast(40 + 8 * length(line) as double) AS right_x,
       cast(30 * line_no as double) AS top_y, cast(30 * line_no + 24 as double) AS bottom_y
     FROM ({d.split_lines('k, lang', 'text', src)}) x"""
@@ -589,7 +589,8 @@ def ctes(d, *names: str) -> str:
 def oracle(select: str, *views: str, extra: str = "") -> str:
     """Oracle SQL: the views as CTEs, then further CTEs, then the SELECT."""
     parts = [p for p in (ctes(DuckDialect(), *views) if views else "", extra.strip().rstrip(",")) if p]
-    return (f"WITH {', '.join(parts)}\n" if parts else "") + select
+    word = "WITH RECURSIVE" if "UNION ALL SELECT a, b, i + 1" in extra else "WITH"
+    return (f"{word} {', '.join(parts)}\n" if parts else "") + select
 
 
 class Given:
