@@ -37,3 +37,16 @@ def contains_label(text: Column, key: str, **options) -> Column:
     if key not in LABELS:
         return F.lit(False)
     return T.contains_any(text, LABELS[key], **options)
+
+
+def may_contain_label(text: Column, key: str) -> Column:
+    """Cheap necessary condition of ``contains_label``."""
+    return T.may_contain_any(text, LABELS[key])
+
+
+def structural_label(text: Column, keys: tuple[str, ...]) -> Column:
+    """Which of several labels the line is, null for none.
+
+    The labels must be so far apart that no line can be two of them at once.
+    """
+    return T.which_matches(text, {k: LABELS[k] for k in keys})

@@ -33,8 +33,19 @@ MAX_EXTRA_CHARS = 4
 
 
 def strip(c: Column) -> Column:
-    """Remove white space at both ends."""
-    return F.btrim(c, F.lit(WHITESPACE))
+    """Remove white space at both ends.
+
+    Text that starts and ends with a printable ASCII character is left as it is,
+    which spares most values the search through the white-space set.
+    """
+    first, last = F.left(c, F.lit(1)), F.right(c, F.lit(1))
+    clean = first.between("!", "~") & last.between("!", "~")
+    return F.when(clean, c).otherwise(F.btrim(c, F.lit(WHITESPACE)))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -75,20 +86,63 @@ def as_text(c: Column, is_scalar: bool = True) -> Column:
     return c.cast("string") if is_scalar else F.to_json(c)
 
 
-# --- longest common subsequence with a constant ----------------------------
+# --- fuzzy labels ----------------------------------------------------------------
+#
+# The labels of a test are one constant array of structs, so an expression has the
+# same size for one label as for fifty:
+#   key, v (lower case), m (length), full (m one-bits), bits (character -> positions),
+#   slack (most edits of a whole-line match), shortest (least stretch length),
+#   pieces (verbatim pieces, one of which survives in any match)
+
+
+def _distinct_lower(variants: Iterable[str]) -> list[str]:
+    return list(dict.fromkeys(v.lower() for v in variants))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _pieces(label: str, parts: int) -> list[str]:
+    size, extra = divmod(len(label), parts)
+    out, at = [], 0
+    for i in range(parts):
+        step = size + (1 if i < extra else 0)
+        out.append(label[at : at + step])
+        at += step
+    return list(dict.fromkeys(out))
 
 
-def _position_bits(label: str, char: Column) -> Column:
-    """Bit i is set when ``label[i]`` equals ``char``."""
+def _label_sql(key: str, v: str, threshold: int, max_extra_chars: int) -> str:
+    m = len(v)
+    if not 1 <= m <= 60:
+        raise ValueError("a label must have 1 to 60 characters")
     bits: dict[str, int] = {}
-    for i, ch in enumerate(label):
+    for i, ch in enumerate(v):
         bits[ch] = bits.get(ch, 0) | (1 << i)
-    expr = None
-    for ch, mask in bits.items():
-        expr = F.when(char == ch, F.lit(mask).cast("bigint")) if expr is None else expr.when(
-            char == ch, F.lit(mask).cast("bigint")
-        )
-    return expr.otherwise(F.lit(0).cast("bigint"))
+    edits = ((100 - threshold) * 2 * m) // 100
+    # Too many edits for pieces: the empty piece occurs in every line.
+    pieces = _pieces(v, edits + 1) if edits + 1 <= m else [""]
+    return (
+        f"named_struct('key', {_quoted(key)}, 'v', {_quoted(v)}, 'm', {m}, "
+        f"'full', {(1 << m) - 1}L, "
+        f"'bits', map({', '.join(f'{_quoted(c)}, {b}L' for c, b in bits.items())}), "
+        f"'slack', {((100 - threshold) * (2 * m + max_extra_chars)) // 100}, "
+        f"'shortest', {max(1, math.ceil(threshold * m / (200 - threshold)))}, "
+        f"'pieces', array({', '.join(_quoted(p) for p in pieces)}))"
+    )
+
+
+def _labels(groups: dict[str, Iterable[str]], threshold: int, max_extra_chars: int) -> Column:
+    rows = [
+        _label_sql(key, v, threshold, max_extra_chars)
+        for key, variants in groups.items() for v in _distinct_lower(variants)
+    ]
+    return F.expr(f"array({', '.join(rows)})")
+
+
+def _zero() -> Column:
+    return F.lit(0).cast("bigint")
 
 
 def _fold_lcs(text: Column, full: Column, bits_of: Callable[[Column], Column]) -> Column:
@@ -107,22 +161,50 @@ def _fold_lcs(text: Column, full: Column, bits_of: Callable[[Column], Column]) -
     return F.bit_count(full.bitwiseXOR(state))
 
 
-def lcs_with(text: Column, label: str) -> Column:
-    """``LCS(text, label)`` for a constant label of at most 60 characters."""
-    if not 1 <= len(label) <= 60:
-        raise ValueError("label must have 1 to 60 characters")
-    full = F.lit((1 << len(label)) - 1).cast("bigint")
-    return _fold_lcs(text, full, lambda ch: _position_bits(label, ch))
+def _bits(label: Column, char: Column) -> Column:
+    return F.coalesce(F.try_element_at(label["bits"], char), _zero())
+
+
+def _lcs(text: Column, label: Column) -> Column:
+    return _fold_lcs(text, label["full"], lambda ch: _bits(label, ch))
 
 
 def ratio(text: Column, label: str) -> Column:
     """Insert/delete similarity of ``text`` and a constant, 0 to 100."""
-    total = F.length(text) + F.lit(len(label))
-    return F.lit(200.0) * lcs_with(text, label) / total
+    constant = F.expr(_label_sql("", label, THRESHOLD, MAX_EXTRA_CHARS))
+    return F.lit(200.0) * _lcs(text, constant) / (F.length(text) + F.lit(len(label)))
 
 
-def _distinct_lower(variants: Iterable[str]) -> list[str]:
-    return list(dict.fromkeys(v.lower() for v in variants))
+def which_matches(
+    text: Column,
+    groups: dict[str, Iterable[str]],
+    threshold: int = THRESHOLD,
+    max_extra_chars: int = MAX_EXTRA_CHARS,
+) -> Column:
+    """Key of the first group one of whose variants is approximately the whole line."""
+    every = [v for vs in groups.values() for v in _distinct_lower(vs)]
+    longest = max(len(v) for v in every)
+    most_foreign = ((100 - threshold) * (2 * longest + max_extra_chars)) // 100
+    alphabet = "".join(dict.fromkeys("".join(every)))
+    labels = _labels(groups, threshold, max_extra_chars)
+    line = strip(text)
+
+    def decide(low: Column) -> Column:
+        n = F.length(low)
+
+        def hit(label: Column) -> Column:
+            v, m = label["v"], label["m"]
+            # An insert/delete distance bounds the edit distance from above, so a
+            # line beyond that many edits is out before its exact score is needed.
+            near = F.call_function("levenshtein", low, v, label["slack"]) >= 0
+            scored = F.lit(200) * _lcs(low, label) >= F.lit(threshold) * (n + m)
+            return (n <= m + max_extra_chars) & near & ((low == v) | scored)
+
+        # Characters foreign to every variant can only be surplus; numbers fall out here.
+        plausible = F.length(F.translate(low, alphabet, "")) <= most_foreign
+        return F.when(plausible, F.get(F.filter(labels, hit), F.lit(0))["key"])
+
+    return F.when(F.length(line) <= longest + max_extra_chars, let(F.lower(line), decide))
 
 
 def matches_any(
@@ -132,80 +214,69 @@ def matches_any(
     max_extra_chars: int = MAX_EXTRA_CHARS,
 ) -> Column:
     """True when the whole line is approximately one of ``variants``."""
-    line = strip(text)
-    low = F.lower(line)
-    size = F.length(line)
-    found = F.lit(False)
-    for v in _distinct_lower(variants):
-        m = len(v)
-        # An insert/delete distance bounds the edit distance from above, so a
-        # line beyond this many edits cannot reach the threshold.
-        slack = ((100 - threshold) * (2 * m + max_extra_chars)) // 100
-        near = (size <= m + max_extra_chars) & (
-            F.levenshtein(low, F.lit(v), threshold=slack) >= 0
-        )
-        scored = F.lit(200) * lcs_with(low, v) >= F.lit(threshold) * (F.length(low) + F.lit(m))
-        found = found | (near & ((low == v) | scored))
-    return F.coalesce(found, F.lit(False))
+    return which_matches(text, {"hit": variants}, threshold, max_extra_chars).isNotNull()
 
 
-def _pieces(label: str, parts: int) -> list[str]:
-    size, extra = divmod(len(label), parts)
-    out, at = [], 0
-    for i in range(parts):
-        step = size + (1 if i < extra else 0)
-        out.append(label[at : at + step])
-        at += step
-    return out
-
-
-def _label_in_line(low: Column, v: str, threshold: int) -> Column:
+def _label_in_line(low: Column, label: Column, threshold: int) -> Column:
     """Line at least as long as the label: some stretch of it scores enough.
 
     Stretches have the label's length, or are cut off by an end of the line.
     """
-    m = len(v)
-    shortest = max(1, math.ceil(threshold * m / (200 - threshold)))
-    edits = ((100 - threshold) * 2 * m) // 100
-    n = F.length(low)
+    n, m = F.length(low), label["m"]
 
     def good(start: Column) -> Column:
         first = F.greatest(start, F.lit(1))
-        size = F.least(start + F.lit(m - 1), n) - first + F.lit(1)
+        size = F.least(start + m - F.lit(1), n) - first + F.lit(1)
         part = F.substring(low, first, size)
-        return F.lit(200) * lcs_with(part, v) >= F.lit(threshold) * (size + F.lit(m))
+        return F.lit(200) * _lcs(part, label) >= F.lit(threshold) * (size + m)
 
-    stretches = F.sequence(F.lit(shortest - m + 1), n - F.lit(shortest) + F.lit(1))
-    # With at most `edits` edits, one of `edits + 1` pieces survives verbatim.
-    hint = F.lit(False)
-    if edits + 1 <= m:
-        for piece in dict.fromkeys(_pieces(v, edits + 1)):
-            hint = hint | F.contains(low, F.lit(piece))
-    else:
-        hint = F.lit(True)
-    return F.contains(low, F.lit(v)) | (hint & F.exists(stretches, good))
+    shortest = label["shortest"]
+    return F.exists(F.sequence(shortest - m + F.lit(1), n - shortest + F.lit(1)), good)
 
 
-def _line_in_label(low: Column, v: str, threshold: int) -> Column:
+def _line_in_label(low: Column, label: Column, threshold: int) -> Column:
     """Line no longer than the label: it scores enough against a stretch of it."""
-    m = len(v)
-    n = F.length(low)
+    n, m = F.length(low), label["m"]
     one = F.lit(1).cast("bigint")
 
     def good(start: Column) -> Column:
         first = F.greatest(start, F.lit(1))
-        size = F.least(start + n - F.lit(1), F.lit(m)) - first + F.lit(1)
+        size = F.least(start + n - F.lit(1), m) - first + F.lit(1)
         full = F.call_function("shiftleft", one, size) - one
 
         def bits(ch: Column) -> Column:
-            moved = F.call_function("shiftright", _position_bits(v, ch), first - F.lit(1))
+            moved = F.call_function("shiftright", _bits(label, ch), first - F.lit(1))
             return moved.bitwiseAND(full)
 
         return F.lit(200) * _fold_lcs(low, full, bits) >= F.lit(threshold) * (size + n)
 
-    foreign = F.length(F.translate(low, "".join(dict.fromkeys(v)), ""))
-    plausible = F.lit(100) * foreign <= F.lit(100 - threshold) * F.lit(2) * n
-    return plausible & F.exists(F.sequence(F.lit(2) - n, F.lit(m)), good)
+    return F.exists(F.sequence(F.lit(2) - n, m), good)
+
+
+def _containment(text: Column, variants: Iterable[str], threshold: int, exact: bool) -> Column:
+    labels = _labels({"": variants}, threshold, MAX_EXTRA_CHARS)
+
+    def decide(low: Column) -> Column:
+        n = F.length(low)
+
+        def hit(label: Column) -> Column:
+            m = label["m"]
+            # Cheap necessary conditions: a piece of the label in the line, or a
+            # short line with hardly any character the label lacks.
+            foreign = F.length(F.call_function("translate", low, label["v"], F.lit("")))
+            longer = (n >= m) & F.exists(label["pieces"], lambda p: F.contains(low, p))
+            shorter = (n <= m) & (
+                F.lit(100) * foreign <= F.lit((100 - threshold) * 2) * n
+            )
+            if exact:
+                longer = longer & _label_in_line(low, label, threshold)
+                shorter = shorter & _line_in_label(low, label, threshold)
+            return longer | shorter
+
+        verbatim = F.exists(labels, lambda label: F.contains(low, label["v"]))
+        return (n > 0) & (verbatim | F.exists(labels, hit))
+
+    return F.coalesce(let(F.lower(strip(text)), decide), F.lit(False))
 
 
 def contains_any(text: Column, variants: Iterable[str], threshold: int = THRESHOLD) -> Column:
@@ -214,14 +285,9 @@ def contains_any(text: Column, variants: Iterable[str], threshold: int = THRESHO
     The shorter of the two is aligned inside the longer, whichever that is, so a
     very short line may "contain" a longer label.
     """
-    low = F.lower(strip(text))
-    n = F.length(low)
-    found = F.lit(False)
-    for v in _distinct_lower(variants):
-        m = len(v)
-        found = (
-            found
-            | ((n >= m) & _label_in_line(low, v, threshold))
-            | ((n > 0) & (n <= m) & _line_in_label(low, v, threshold))
-        )
-    return F.coalesce(found, F.lit(False))
+    return _containment(text, variants, threshold, exact=True)
+
+
+def may_contain_any(text: Column, variants: Iterable[str], threshold: int = THRESHOLD) -> Column:
+    """Cheap necessary condition of ``contains_any``, for thinning out rows before a join."""
+    return _containment(text, variants, threshold, exact=False)

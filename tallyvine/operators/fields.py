@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyvine.functions import patterns as P
-from tallyvine.functions.labels import contains_label, is_label
+from tallyvine.functions.labels import contains_label, may_contain_label, structural_label
 from tallyvine.functions.text import respace, strip
 
 # The seven fields in order, and the confidence of each way to find one.
@@ -27,157 +27,134 @@ def center_x() -> Column:
     return (F.col("x0") + F.col("x1")) / 2.0
 
 
-def with_label_flags(lines: DataFrame) -> DataFrame:
-    """Mark the lines that are one of the four structural labels."""
-    return lines.select("*", *[is_label(F.col("text"), k).alias(f"is_{k}") for k in ANCHOR_KEYS])
+def label_lines(lines: DataFrame) -> DataFrame:
+    """Add ``label``: which structural label the line is, null for none."""
+    return lines.withColumn("label", structural_label(F.col("text"), ANCHOR_KEYS))
 
 
-def find_anchors(flagged: DataFrame) -> DataFrame:
-    """Per document: y0 of the first line of each label, and the page size.
+def find_anchors(labelled: DataFrame) -> DataFrame:
+    """Per document: where its labels are, the centre of the party labels, the page size.
 
-    All labels come from one aggregate with map-side combine. Documents without
-    any label keep a row with null anchors.
+    The anchor row of a label is the y0 of its first line; its centre comes from
+    the last line with that y0. Lines are first reduced per (document, label,
+    y0), which leaves a handful of rows per document, and those per document.
+    Both steps combine before the shuffle. Documents without labels keep a row.
     """
-    return flagged.groupBy("doc_id").agg(
-        *[
-            F.min_by(F.when(F.col(f"is_{k}"), F.col("y0")), F.when(F.col(f"is_{k}"), F.col("line_no")))
-            .alias(f"{k}_y")
-            for k in ANCHOR_KEYS
-        ],
+    per_row = labelled.groupBy(
+        "doc_id", "label", F.when(F.col("label").isNotNull(), F.col("y0")).alias("y")
+    ).agg(
+        F.min("line_no").alias("first_no"),
+        F.max_by(center_x(), F.col("line_no")).alias("cx"),
         F.max("page_width").alias("page_width"),
         F.max("page_height").alias("page_height"),
     )
 
+    def of(key: str, column: str) -> Column:
+        mine = F.col("label") == key
+        return F.min_by(F.when(mine, F.col(column)), F.when(mine, F.col("first_no")))
 
-def choose_split(flagged: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Add ``split_x``: midway between the two party labels, else half the page.
-
-    The centre comes from the last line that has the anchor's y0 and its label.
-    Only label lines take part in the join.
-    """
-    party = flagged.where("is_seller or is_client").select(
-        "doc_id", "line_no", "y0", center_x().alias("cx"), "is_seller", "is_client"
-    )
-    pick = [
-        F.max_by(
-            F.when(F.col(f"is_{k}") & (F.col("y0") == F.col(f"{k}_y")), F.col("cx")),
-            F.when(F.col(f"is_{k}") & (F.col("y0") == F.col(f"{k}_y")), F.col("line_no")),
-        ).alias(f"{k}_cx")
-        for k in ("seller", "client")
-    ]
-    centres = party.join(anchors, "doc_id").groupBy("doc_id").agg(*pick)
-    return anchors.join(centres, "doc_id", "left").select(
-        anchors["*"],
-        F.coalesce(
-            (F.col("seller_cx") + F.col("client_cx")) / 2.0, F.col("page_width") / 2.0
-        ).alias("split_x"),
+    return per_row.groupBy("doc_id").agg(
+        *[of(k, "y").alias(f"{k}_y") for k in ANCHOR_KEYS],
+        *[of(k, "cx").alias(f"{k}_cx") for k in ("seller", "client")],
+        F.max("page_width").alias("page_width"),
+        F.max("page_height").alias("page_height"),
     )
 
 
-def party_lines(flagged: DataFrame, layout: DataFrame) -> DataFrame:
+def choose_split(anchors: DataFrame) -> DataFrame:
+    """Add ``split_x``: midway between the two party labels, else half the page."""
+    midway = (F.col("seller_cx") + F.col("client_cx")) / 2.0
+    return anchors.withColumn("split_x", F.coalesce(midway, F.col("page_width") / 2.0))
+
+
+def party_lines(labelled: DataFrame, layout: DataFrame) -> DataFrame:
     """Lines of the party block with their side; the anchor lines are left out."""
-    joined = flagged.join(
-        layout.select("doc_id", "seller_y", "client_y", "items_start_y", "split_x"), "doc_id"
+    joined = labelled.select("doc_id", "line_no", "text", "x0", "x1", "y0", "label").join(
+        layout.select(
+            "doc_id", "seller_y", "client_y",
+            F.least("seller_y", "client_y").alias("block_top"), "items_start_y", "split_x",
+        ).where("block_top is not null"),
+        "doc_id",
     )
-    own_label = (F.col("is_seller") & (F.col("y0") == F.col("seller_y"))) | (
-        F.col("is_client") & (F.col("y0") == F.col("client_y"))
+    own_label = ((F.col("label") == "seller") & (F.col("y0") == F.col("seller_y"))) | (
+        (F.col("label") == "client") & (F.col("y0") == F.col("client_y"))
     )
-    in_block = (F.col("y0") >= F.least("seller_y", "client_y")) & (
+    in_block = (F.col("y0") >= F.col("block_top")) & (
         F.col("items_start_y").isNull() | (F.col("y0") < F.col("items_start_y"))
     )
     return joined.where(in_block & ~F.coalesce(own_label, F.lit(False))).select(
-        "doc_id", "line_no", "text", "is_seller", "is_client",
+        "doc_id", "line_no", "text", "label",
         F.when(center_x() < F.col("split_x"), "left").otherwise("right").alias("side"),
     )
 
 
-def _candidate(name: str, value: Column, tier: int, confidence: str, detail: str) -> Column:
+def _candidate(
+    name: str | Column, value: Column, tier: int | Column, confidence: Column | float,
+    detail: str | Column, source: str = "regex", line_no: Column | None = None,
+) -> Column:
+    lit = lambda v: v if isinstance(v, Column) else F.lit(v)
     return F.struct(
-        F.lit(name).alias("name"),
-        F.lit(tier).alias("tier"),
+        lit(name).alias("name"),
+        lit(tier).alias("tier"),
+        (F.col("line_no") if line_no is None else line_no).alias("line_no"),
         value.alias("value"),
-        F.lit(CONFIDENCE[confidence]).alias("confidence"),
-        F.lit(detail).alias("source_detail"),
+        lit(confidence).alias("confidence"),
+        lit(source).alias("source"),
+        lit(detail).alias("source_detail"),
     )
 
 
 def _explode_candidates(df: DataFrame, options: list[Column]) -> DataFrame:
     kept = F.filter(F.array(*options), lambda s: s["value"].isNotNull())
-    return df.select("doc_id", "line_no", F.inline(kept))
+    return df.select("doc_id", F.inline(kept))
 
 
 def anchored_candidates(lines: DataFrame) -> DataFrame:
     """Values found by a pattern anywhere on the page."""
     text = F.col("text")
+    sure, bare = CONFIDENCE["anchored"], CONFIDENCE["bare"]
     options = [
-        _candidate("invoice_no", P.find(text, P.INVOICE_NO), 0, "anchored", "invoice_no anchor"),
-        _candidate("invoice_date", P.find(text, P.DATE_ANCHORED), 0, "anchored", "date anchored"),
-        _candidate("iban", F.upper(P.find(text, P.IBAN_ANCHORED)), 0, "anchored", "IBAN anchored"),
-        _candidate("iban", F.upper(P.find(text, P.IBAN_BARE)), 1, "bare", "IBAN bare"),
+        _candidate("invoice_no", P.find(text, P.INVOICE_NO), 0, sure, "invoice_no anchor"),
+        _candidate("invoice_date", P.find(text, P.DATE_ANCHORED), 0, sure, "date anchored"),
+        _candidate("iban", F.upper(P.find(text, P.IBAN_ANCHORED)), 0, sure, "IBAN anchored"),
+        _candidate("iban", F.upper(P.find(text, P.IBAN_BARE)), 1, bare, "IBAN bare"),
     ]
-    return _explode_candidates(lines, options)
+    return _explode_candidates(lines.select("doc_id", "line_no", "text"), options)
 
 
 def following_candidates(lines: DataFrame) -> DataFrame:
     """Bare numbers and dates on the line after a line with the matching label.
 
-    The few bare lines look up their predecessor by (document, line number): an
-    equality on both keys, so a very long document spreads over many tasks, and
-    the fuzzy test runs only on lines that are followed by a bare value.
+    Both sides are thinned out before they meet: bare values on one, lines that
+    may contain a label on the other. They meet on document and line number, so
+    a very long document spreads over many tasks; the exact fuzzy test runs on
+    the pairs only.
     """
     text = F.col("text")
-    bare = (
-        lines.select(
-            "doc_id",
-            (F.col("line_no") - 1).alias("line_no"),
-            P.find(text, P.INVOICE_NO_BARE).alias("number"),
-            P.find(text, P.DATE_BARE).alias("date"),
-        )
-        .where("number is not null or date is not null")
+    bare = lines.select(
+        "doc_id",
+        (F.col("line_no") - 1).alias("line_no"),
+        P.find(text, P.INVOICE_NO_BARE).alias("number"),
+        P.find(text, P.DATE_BARE).alias("date"),
+    ).where("number is not null or date is not null")
+    labels = lines.select("doc_id", "line_no", "text").where(
+        may_contain_label(text, "invoice_no") | may_contain_label(text, "date")
     )
-    pairs = lines.select("doc_id", "line_no", "text").join(bare, ["doc_id", "line_no"])
+    pairs = labels.join(bare, ["doc_id", "line_no"])
+    number, date = F.col("number"), F.col("date")
     options = [
         _candidate(
-            "invoice_no",
-            F.when(F.col("number").isNotNull() & contains_label(text, "invoice_no"), F.col("number")),
-            1, "bare", "invoice_no bare (following anchor)",
+            "invoice_no", F.when(number.isNotNull() & contains_label(text, "invoice_no"), number),
+            1, CONFIDENCE["bare"], "invoice_no bare (following anchor)",
         ),
         _candidate(
-            "invoice_date",
-            F.when(F.col("date").isNotNull() & contains_label(text, "date"), F.col("date")),
-            1, "bare", "date bare (following anchor)",
+            "invoice_date", F.when(date.isNotNull() & contains_label(text, "date"), date),
+            1, CONFIDENCE["bare"], "date bare (following anchor)",
         ),
     ]
     return _explode_candidates(pairs, options)
 
 
-def tax_id_candidates(block: DataFrame) -> DataFrame:
-    """Tax ids of either party, by column."""
-    text = F.col("text")
-    options = []
-    for side, name in (("left", "seller_tax_id"), ("right", "client_tax_id")):
-        here = F.col("side") == side
-        options.append(_candidate(
-            name, F.when(here, P.find(text, P.TAX_ID_ANCHORED)), 0, "column",
-            "tax_id anchored in column",
-        ))
-        options.append(_candidate(
-            name, F.when(here, P.find(text, P.TAX_ID_BARE)), 1, "bare", "tax_id bare in column",
-        ))
-    return _explode_candidates(block, options)
-
-
-def first_candidate(candidates: DataFrame) -> DataFrame:
-    """Best candidate per document and field: lowest tier, then first line."""
-    best = F.min_by(
-        F.struct("value", "confidence", "source_detail"), F.struct("tier", "line_no")
-    ).alias("best")
-    return candidates.groupBy("doc_id", "name").agg(best).select(
-        "doc_id", "name", "best.value", "best.confidence",
-        F.lit("regex").alias("source"), "best.source_detail",
-    )
-
-
 def is_tax_id_line(text: Column) -> Column:
     """The line is mainly a tax id: labelled, or hardly longer than the id."""
     bare = P.find(text, P.TAX_ID_BARE)
@@ -192,58 +169,108 @@ def is_iban_line(text: Column) -> Column:
     return text.rlike(P.IBAN_ANCHORED) | contains_label(text, "iban")
 
 
-def aggregate_addresses(block: DataFrame) -> DataFrame:
-    """Name and address of either party: the remaining lines of its column, in order."""
-    text = strip(F.col("text"))
-    parts = (
-        block.where(~F.col("is_seller") & ~F.col("is_client"))
-        .select("doc_id", "line_no", "side", text.alias("text"))
-        .where((F.col("text") != "") & ~is_tax_id_line(F.col("text")) & ~is_iban_line(F.col("text")))
+def party_values(block: DataFrame) -> DataFrame:
+    """Tax id and address of either party, from one pass over its column.
+
+    Per line: a tax id, labelled or bare, and whether the line is address text.
+    Address text is what remains without blank lines, party labels, tax-id and
+    bank lines; it is joined in line order.
+    """
+    text = F.col("text")
+    anchored, bare = P.find(text, P.TAX_ID_ANCHORED), P.find(text, P.TAX_ID_BARE)
+    is_party_label = F.coalesce(F.col("label").isin("seller", "client"), F.lit(False))
+    address = ~is_party_label & (strip(text) != "") & ~is_tax_id_line(text) & ~is_iban_line(text)
+    per_line = block.select(
+        "doc_id", "side", "line_no",
+        F.coalesce(anchored, bare).alias("tax_id"),
+        F.when(anchored.isNotNull(), 0).otherwise(1).alias("tier"),
+        F.when(address, strip(text)).alias("part"),
     )
-    joined = parts.groupBy("doc_id", "side").agg(
-        F.expr("listagg(text, ' ') within group (order by line_no)").alias("joined")
+    best = F.min_by(
+        F.struct("tax_id", "tier", "line_no"),
+        F.when(F.col("tax_id").isNotNull(), F.struct("tier", "line_no")),
     )
-    return joined.select(
-        "doc_id",
-        F.when(F.col("side") == "left", "seller").otherwise("client").alias("name"),
-        respace(F.col("joined")).alias("value"),
-        F.lit(CONFIDENCE["aggregate"]).alias("confidence"),
-        F.lit("column_heuristic").alias("source"),
-        F.lit("column-aggregated address + space-normalised").alias("source_detail"),
+    return per_line.groupBy("doc_id", "side").agg(
+        best.alias("tax"),
+        F.expr("listagg(part, ' ') within group (order by line_no)").alias("joined"),
     )
 
 
-def assemble_fields(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Seven rows per document; a field that was not found has source ``none``."""
-    names = F.array(*[F.lit(n) for n in FIELD_ORDER])
-    full = docs.select("doc_id", F.explode(names).alias("name"))
-    return full.join(found, ["doc_id", "name"], "left").select(
-        "doc_id", "name", "value",
-        F.coalesce("confidence", F.lit(CONFIDENCE["none"])).alias("confidence"),
-        F.coalesce("source", F.lit("none")).alias("source"),
-        "source_detail",
+def _address() -> Column:
+    return _candidate(
+        F.when(F.col("side") == "left", "seller").otherwise("client"),
+        respace(F.col("joined")), 0, CONFIDENCE["aggregate"],
+        "column-aggregated address + space-normalised", source="column_heuristic",
+        line_no=F.lit(0),
     )
 
 
+def party_candidates(parties: DataFrame) -> DataFrame:
+    """Tax ids and addresses as candidates, from one read of the parties."""
+    tier = F.col("tax.tier")
+    anchored = tier == 0
+    left = F.col("side") == "left"
+    tax = _candidate(
+        F.when(left, "seller_tax_id").otherwise("client_tax_id"), F.col("tax.tax_id"), tier,
+        F.when(anchored, CONFIDENCE["column"]).otherwise(CONFIDENCE["bare"]),
+        F.when(anchored, "tax_id anchored in column").otherwise("tax_id bare in column"),
+        line_no=F.col("tax.line_no"),
+    )
+    return _explode_candidates(parties, [tax, _address()])
+
+
+def first_candidate(candidates: DataFrame) -> DataFrame:
+    """Best candidate per document and field: lowest tier, then first line."""
+    best = F.min_by(
+        F.struct("value", "confidence", "source", "source_detail"), F.struct("tier", "line_no")
+    ).alias("best")
+    return candidates.groupBy("doc_id", "name").agg(best).select("doc_id", "name", "best.*")
+
+
+def assemble_fields(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Seven rows per document; a field that was not found has source ``none``.
+
+    Candidates and documents meet in one aggregate per document.
+    """
+    rows = docs.select("doc_id").unionByName(candidates, allowMissingColumns=True)
+    best = [
+        F.min_by(
+            F.struct("value", "confidence", "source", "source_detail"),
+            F.when(F.col("name") == n, F.struct("tier", "line_no")),
+        ).alias(n)
+        for n in FIELD_ORDER
+    ]
+    full = F.array(*[
+        F.struct(
+            F.lit(n).alias("name"),
+            F.col(f"{n}.value").alias("value"),
+            F.coalesce(F.col(f"{n}.confidence"), F.lit(CONFIDENCE["none"])).alias("confidence"),
+            F.coalesce(F.col(f"{n}.source"), F.lit("none")).alias("source"),
+            F.col(f"{n}.source_detail").alias("source_detail"),
+        )
+        for n in FIELD_ORDER
+    ])
+    return rows.groupBy("doc_id").agg(*best).select("doc_id", F.inline(full))
+
+
 def extract_fields(lines: DataFrame) -> DataFrame:
     """All header fields of all documents."""
-    flagged = with_label_flags(lines)
-    anchors = find_anchors(flagged)
-    block = party_lines(flagged, choose_split(flagged, anchors))
+    labelled = label_lines(lines)
+    layout = choose_split(find_anchors(labelled))
+    parties = party_values(party_lines(labelled, layout))
     candidates = (
         anchored_candidates(lines)
         .unionByName(following_candidates(lines))
-        .unionByName(tax_id_candidates(block))
+        .unionByName(party_candidates(parties))
     )
-    found = first_candidate(candidates).unionByName(aggregate_addresses(block))
-    return assemble_fields(anchors, found)
+    return assemble_fields(layout, candidates)
 
 
 def field_diagnostics(lines: DataFrame) -> DataFrame:
     """One row per document: split, anchors, line counts of the two columns."""
-    flagged = with_label_flags(lines)
-    layout = choose_split(flagged, find_anchors(flagged))
-    counts = party_lines(flagged, layout).groupBy("doc_id").agg(
+    labelled = label_lines(lines)
+    layout = choose_split(find_anchors(labelled))
+    counts = party_lines(labelled, layout).groupBy("doc_id").agg(
         F.count_if(F.col("side") == "left").alias("left_count"),
         F.count_if(F.col("side") == "right").alias("right_count"),
     )

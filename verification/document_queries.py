@@ -10,7 +10,6 @@ from tallyvine.functions import text as T
 from tallyvine.operators import fields as X
 from tallyvine.operators import items as I
 from tallyvine.operators import ocr as O
-from tallyvine.functions.text import canon
 from verification.registry import query
 
 # --- detections ------------------------------------------------------------------
@@ -29,7 +28,7 @@ def detections(g):
 
 
 TL = ("text_line",)
-CONF = "coalesce(greatest(0.0, least(1.0, try_cast(score as double))), 0.0)"
+CONF = "CASE WHEN try_cast(score as double) IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, try_cast(score as double))) END"
 
 
 @query(
@@ -212,14 +211,11 @@ FLAGS = ", ".join(
 
 @query("f01_label_lines", f"SELECT doc_id, line_no, {FLAGS} FROM ocr_line", OL, label_ctes())
 def _(g):
-    return X.with_label_flags(g.ocr_line).select(
-        "doc_id", "line_no", *[f"is_{k}" for k in X.ANCHOR_KEYS]
+    return g.ocr_line.select(
+        "doc_id", "line_no", *[L.is_label(F.col("text"), k).alias(f"is_{k}") for k in X.ANCHOR_KEYS]
     )
 
 
-SHORT_LINES = "SELECT text FROM ocr_line WHERE length(trim(text)) <= 24 AND regexp_matches(lower(text), '[a-z]')"
-
-
 @query(
     "f02_contained_labels",
     """SELECT DISTINCT l.text, l.text IN (SELECT text FROM c_hit WHERE key = 'iban') AS has_iban,
@@ -291,10 +287,7 @@ _pattern_query("f11_iban_bare", P.IBAN_BARE, upper=True)
 
 # --- header fields ------------------------------------------------------------------
 
-ANCHORS = ", ".join(
-    f"(SELECT arg_min(y0, line_no) FILTER (WHERE is_{k}) ) AS {k}_y" if False else
-    f"arg_min(y0, line_no) FILTER (WHERE is_{k}) AS {k}_y" for k in X.ANCHOR_KEYS
-)
+ANCHORS = ", ".join(f"arg_min(y0, line_no) FILTER (WHERE is_{k}) AS {k}_y" for k in X.ANCHOR_KEYS)
 LAYOUT = f"""{label_ctes()},
 flagged AS (SELECT *, {FLAGS} FROM ocr_line),
 anchor AS (SELECT doc_id, {ANCHORS}, max(page_width) AS page_width, max(page_height) AS page_height
@@ -315,12 +308,12 @@ block AS (SELECT f.doc_id, line_no, text, is_seller, is_client,
 
 @query("x01_anchor_rows", "SELECT * FROM anchor", OL, LAYOUT)
 def _(g):
-    return X.find_anchors(X.with_label_flags(g.ocr_line))
+    return X.find_anchors(X.label_lines(g.ocr_line)).drop("seller_cx", "client_cx")
 
 
 def layout(g):
-    flagged = X.with_label_flags(g.ocr_line)
-    return flagged, X.choose_split(flagged, X.find_anchors(flagged))
+    labelled = X.label_lines(g.ocr_line)
+    return labelled, X.choose_split(X.find_anchors(labelled))
 
 
 @query("x02_column_split", "SELECT doc_id, split_x FROM layout", OL, LAYOUT)
@@ -370,6 +363,10 @@ for _name, _field in (("x04_invoice_no", "invoice_no"), ("x05_invoice_date", "in
         return X.first_candidate(page_candidates(g).where(F.col("name") == field))
 
 
+def parties(g):
+    return X.party_candidates(X.party_values(X.party_lines(*layout(g))))
+
+
 TAX = f"""tax AS (SELECT doc_id, line_no, CASE side WHEN 'left' THEN 'seller_tax_id' ELSE 'client_tax_id' END AS name,
     0 AS tier, {found(P.TAX_ID_ANCHORED)} AS value, 0.9 AS confidence, 'tax_id anchored in column' AS source_detail
   FROM block UNION ALL
@@ -379,7 +376,8 @@ TAX = f"""tax AS (SELECT doc_id, line_no, CASE side WHEN 'left' THEN 'seller_tax
 
 @query("x07_column_tax_ids", BEST.format("").replace("cand", "tax"), OL, f"{LAYOUT}, {TAX}")
 def _(g):
-    return X.first_candidate(X.tax_id_candidates(X.party_lines(*layout(g))))
+    found = X.first_candidate(parties(g))
+    return found.where("name in ('seller_tax_id', 'client_tax_id')")
 
 
 PARTY = f"""{contain_ctes("SELECT text FROM block", ("tax_id", "iban"), "p_")},
@@ -398,7 +396,7 @@ address AS (SELECT doc_id, CASE side WHEN 'left' THEN 'seller' ELSE 'client' END
 @query("x08_addresses", "SELECT * REPLACE (cast(confidence as double) AS confidence) FROM address", OL,
        f"{LAYOUT}, {PARTY}")
 def _(g):
-    return X.aggregate_addresses(X.party_lines(*layout(g)))
+    return X.first_candidate(parties(g)).where("name in ('seller', 'client')")
 
 
 @query("x09_id_lines", "SELECT doc_id, line_no, tax_line, iban_line FROM party", OL, f"{LAYOUT}, {PARTY}")
@@ -516,7 +514,7 @@ def classified(g):
 @query("t01_item_regions", "SELECT doc_id, region_top, cast(region_bottom as double) AS region_bottom, page_width FROM region",
        OL, ITEMS)
 def _(g):
-    return I.item_regions(X.find_anchors(X.with_label_flags(g.ocr_line)))
+    return I.item_regions(X.find_anchors(X.label_lines(g.ocr_line)))
 
 
 @query("t02_item_numbers", "SELECT doc_id, anchor_line_no, item_index, anchor_y0 FROM item_anchor", OL, ITEMS)
@@ -546,17 +544,17 @@ def _(g):
     decimals[4] AS item_gross_worth, vat AS item_vat FROM cols""", OL, ITEMS,
 )
 def _(g):
+    return I.assemble_items(described(g)).drop("item_desc")
+
+
+def described(g):
     a = anchors(g)
-    cols = I.description_columns(a, I.item_values(I.classify(I.item_lines(g.ocr_line, a))))
-    return cols.select("doc_id", "item_index", "item_qty", "item_net_price", "item_net_worth",
-                       "item_gross_worth", "item_vat")
+    return I.with_description_column(a, I.item_parts(I.classify(I.item_lines(g.ocr_line, a))))
 
 
 @query("t07_continuation_lines", "SELECT * FROM below", OL, ITEMS)
 def _(g):
-    a = anchors(g)
-    rows = I.classify(I.item_lines(g.ocr_line, a))
-    return I.continuation_lines(rows, I.description_columns(a, I.item_values(rows)))
+    return described(g).select("doc_id", "item_index", F.inline("continuation")).drop("x0")
 
 
 @query("t08_items", "SELECT * FROM items", OL, ITEMS)
