@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyvine.functions import patterns as P
-from tallyvine.functions.text import squeeze, strip
+from tallyvine.functions.text import WHITESPACE, let, strip
 
 DECIMAL = "decimal(38,10)"
 # Inputs of products are cut to this type so that the product stays exact.
@@ -14,12 +14,11 @@ FACTOR = "decimal(18,4)"
 
 
 def _plain_decimal(c: Column) -> Column:
-    """Decimal text with a point: a comma, where present, is the decimal mark."""
-    tight = squeeze(c)
+    """Decimal text with a point: a comma, where present, is the decimal mark and
+    points are dropped. White space goes in the same pass."""
     return F.when(
-        F.contains(tight, F.lit(",")),
-        F.replace(F.replace(tight, F.lit("."), F.lit("")), F.lit(","), F.lit(".")),
-    ).otherwise(tight)
+        F.contains(c, F.lit(",")), F.translate(c, ",." + WHITESPACE, ".")
+    ).otherwise(F.translate(c, WHITESPACE, ""))
 
 
 def european_decimal(c: Column) -> Column:
@@ -52,20 +51,26 @@ def percent(c: Column) -> Column:
 
 def money_to_minor(c: Column) -> Column:
     """Money text to integer minor units; the last separator is the decimal mark."""
-    kept = F.regexp_replace(c, "[^0-9.,-]", "")
-    usable = (kept != "") & ~kept.isin(".", ",", "-")
-    tail = F.regexp_extract(kept, "[.,]([^.,]*)$", 1)
-    has_mark = kept.rlike("[.,]")
-    whole = F.when(kept.rlike(r"^-?\d+$"), kept.try_cast("bigint")) * F.lit(100).cast("bigint")
-    head = F.regexp_replace(F.regexp_extract(kept, "^(.*)[.,][^.,]*$", 1), "[.,]", "")
+    return let(F.regexp_replace(c, "[^0-9.,-]", ""), _kept_to_minor)
+
+
+def _kept_to_minor(kept: Column) -> Column:
+    hundred = F.lit(100).cast("bigint")
+    whole = F.when(kept.rlike(r"^-?\d+$"), kept.try_cast("bigint")) * hundred
+    # Position of the last separator, counted from the end.
+    tail = F.substring_index(F.translate(kept, ",", "."), ".", -1)
+    head = F.translate(F.left(kept, F.length(kept) - F.length(tail) - 1), ",.", "")
     digits = F.ltrim(head, F.lit("-"))
     sign = F.when(F.startswith(head, F.lit("-")), F.lit(-1)).otherwise(F.lit(1)).cast("bigint")
     units = F.when(digits == "", F.lit(0).cast("bigint")).when(
         digits.rlike(r"^\d+$"), digits.try_cast("bigint")
     )
     cents = F.rpad(F.substring(tail, 1, 2), 2, "0").try_cast("bigint")
-    split_value = sign * (units * F.lit(100).cast("bigint") + cents)
-    return F.when(usable, F.when(has_mark, split_value).otherwise(whole))
+    marked = kept.rlike("[.,]")
+    return F.when(
+        (kept != "") & ~kept.isin(".", ",", "-"),
+        F.when(marked, sign * (units * hundred + cents)).otherwise(whole),
+    )
 
 
 def format_amount(minor: Column, currency: Column) -> Column:

@@ -33,14 +33,14 @@ MAX_EXTRA_CHARS = 4
 
 
 def strip(c: Column) -> Column:
-    """Remove white space at both ends.
+    """Remove white space at both ends."""
+    return F.btrim(c, F.lit(WHITESPACE))
 
-    Text that starts and ends with a printable ASCII character is left as it is,
-    which spares most values the search through the white-space set.
-    """
-    first, last = F.left(c, F.lit(1)), F.right(c, F.lit(1))
-    clean = first.between("!", "~") & last.between("!", "~")
-    return F.when(clean, c).otherwise(F.btrim(c, F.lit(WHITESPACE)))
+
+def quick_strip(c: Column) -> Column:
+    """``strip`` for the hot path: text between printable ASCII characters is left as it is."""
+    clean = F.left(c, F.lit(1)).between("!", "~") & F.right(c, F.lit(1)).between("!", "~")
+    return F.when(clean, c).otherwise(strip(c))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -55,7 +55,7 @@ def blank_to_null(c: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """Remove all white space."""
-    return F.regexp_replace(c, SPACE_CLASS + "+", "")
+    return F.translate(c, WHITESPACE, "")
 
 
 def canon(c: Column) -> Column:
@@ -187,7 +187,7 @@ def which_matches(
     most_foreign = ((100 - threshold) * (2 * longest + max_extra_chars)) // 100
     alphabet = "".join(dict.fromkeys("".join(every)))
     labels = _labels(groups, threshold, max_extra_chars)
-    line = strip(text)
+    line = quick_strip(text)
 
     def decide(low: Column) -> Column:
         n = F.length(low)
@@ -276,7 +276,7 @@ def _containment(text: Column, variants: Iterable[str], threshold: int, exact: b
         verbatim = F.exists(labels, lambda label: F.contains(low, label["v"]))
         return (n > 0) & (verbatim | F.exists(labels, hit))
 
-    return F.coalesce(let(F.lower(strip(text)), decide), F.lit(False))
+    return F.coalesce(let(F.lower(quick_strip(text)), decide), F.lit(False))
 
 
 def contains_any(text: Column, variants: Iterable[str], threshold: int = THRESHOLD) -> Column:

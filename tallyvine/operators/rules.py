@@ -11,7 +11,6 @@ from tallyvine.functions.numbers import (
     at_scale,
     european_decimal,
     iban_is_valid,
-    percent,
     percent_text,
     written_scale,
 )
@@ -142,39 +141,63 @@ def _item_rule(
     )
 
 
-def item_rules() -> list[Column]:
-    """Quantity x price = net, and net x (1 + VAT) = gross, over an item row.
+AMOUNTS = ("item_qty", "item_net_price", "item_net_worth", "item_gross_worth")
+
+
+def parsed_items(items: DataFrame) -> DataFrame:
+    """Item amounts as exact decimals (``*_n``) with the decimals they were written with
+    (``*_s``). A step of its own, so that each text is parsed once."""
+    vat = percent_text(F.col("item_vat"))
+    columns = [F.col("doc_id"), F.col("item_index")]
+    for name in AMOUNTS:
+        columns.append(european_decimal(F.col(name)).cast(FACTOR).alias(f"{name}_n"))
+        columns.append(written_scale(F.col(name)).alias(f"{name}_s"))
+    columns.append(european_decimal(vat).cast(FACTOR).alias("item_vat_n"))
+    columns.append(written_scale(vat).alias("item_vat_s"))
+    return items.select(*columns)
+
+
+def expected_amounts(parsed: DataFrame) -> DataFrame:
+    """Add the expected net and gross amounts and their number of decimals.
 
-    A failed product is shown with the decimals of exact decimal arithmetic: the
-    decimals of both factors added up.
+    An exact product has the decimals of both factors added up.
     """
-    qty = european_decimal(F.col("item_qty")).cast(FACTOR)
-    price = european_decimal(F.col("item_net_price")).cast(FACTOR)
-    net = european_decimal(F.col("item_net_worth")).cast(FACTOR)
-    vat = percent(F.col("item_vat")).cast(FACTOR)
-    gross = european_decimal(F.col("item_gross_worth")).cast(FACTOR)
-    base = F.col("item_index").cast("int") * 2 + 6
+    qty, price, net, vat = (
+        F.col(f"{c}_n") for c in ("item_qty", "item_net_price", "item_net_worth", "item_vat")
+    )
     hundred = F.lit(100).cast("decimal(3,0)")
     with_vat = (net * (hundred + vat).cast("decimal(18,4)")).cast("decimal(38,8)") / hundred
-    net_scale = written_scale(F.col("item_net_worth"))
     share = (vat / hundred).cast("decimal(20,6)").cast("string")
-    factor_scale = F.greatest(
-        F.length(F.regexp_extract(share, r"\.(\d*?)0*$", 1)),
-        written_scale(percent_text(F.col("item_vat"))),
+    return parsed.select(
+        "*",
+        (qty * price).cast("decimal(38,8)").alias("net_expected"),
+        (F.col("item_qty_s") + F.col("item_net_price_s")).alias("net_expected_s"),
+        with_vat.cast("decimal(38,8)").alias("gross_expected"),
+        (
+            F.col("item_net_worth_s")
+            + F.greatest(F.length(F.regexp_extract(share, r"\.(\d*?)0*$", 1)), F.col("item_vat_s"))
+        ).alias("gross_expected_s"),
     )
+
+
+def item_rules() -> list[Column]:
+    """Quantity x price = net, and net x (1 + VAT) = gross, over ``expected_amounts``."""
+    c = F.col
+    base = c("item_index").cast("int") * 2 + 6
     return [
         _item_rule(
-            "item_net_worth_consistency", "net_worth", [qty, price, net],
-            (qty * price).cast("decimal(38,8)"),
-            written_scale(F.col("item_qty")) + written_scale(F.col("item_net_price")),
-            net.cast("decimal(38,8)"), net_scale,
+            "item_net_worth_consistency", "net_worth",
+            [c("item_qty_n"), c("item_net_price_n"), c("item_net_worth_n")],
+            c("net_expected"), c("net_expected_s"),
+            c("item_net_worth_n").cast("decimal(38,8)"), c("item_net_worth_s"),
             "missing or unparseable qty / net_price / net_worth",
             "net_worth != qty * net_price beyond tolerance", base,
         ),
         _item_rule(
-            "item_gross_worth_consistency", "gross_worth", [net, vat, gross],
-            with_vat.cast("decimal(38,8)"), net_scale + factor_scale,
-            gross.cast("decimal(38,8)"), written_scale(F.col("item_gross_worth")),
+            "item_gross_worth_consistency", "gross_worth",
+            [c("item_net_worth_n"), c("item_vat_n"), c("item_gross_worth_n")],
+            c("gross_expected"), c("gross_expected_s"),
+            c("item_gross_worth_n").cast("decimal(38,8)"), c("item_gross_worth_s"),
             "missing or unparseable net_worth / vat / gross_worth",
             "gross_worth != net_worth * (1 + VAT/100) beyond tolerance", base + 1,
         ),
@@ -183,7 +206,8 @@ def item_rules() -> list[Column]:
 
 def item_findings(items: DataFrame) -> DataFrame:
     """Two findings per item, net before gross."""
-    return items.select("doc_id", F.inline(F.array(*item_rules())))
+    amounts = expected_amounts(parsed_items(items))
+    return amounts.select("doc_id", F.inline(F.array(*item_rules())))
 
 
 DUPLICATE_KEY = ("invoice_no", "seller_tax_id", "invoice_date")

@@ -39,4 +39,6 @@ def write_csv(rows: DataFrame, path: str, columns: list[str] | None = None) -> N
         rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     rows.select(*chosen).write.mode("errorifexists").option("header", True).option(
         "quote", '"'
-    ).option("escape", '"').option("emptyValue", "").option("quoteAll", False).csv(path)
+    ).option("escape", '"').option("emptyValue", "").option("quoteAll", False).option(
+        "ignoreLeadingWhiteSpace", False
+    ).option("ignoreTrailingWhiteSpace", False).csv(path)

@@ -1 +1,344 @@
-"""Registered queries."""
+"""Table upkeep."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyvine.operators import dashboards as D
+from tallyvine.operators import upkeep as U
+from verification.dashboard_queries import INBOX, INBOX_VIEWS
+from verification.registry import query
+
+SNIFF = """CASE WHEN starts_with(h, '89504E470D0A1A0A') THEN 'image/png'
+  WHEN left(h, 8) IN ('FFD8FFE0', 'FFD8FFE1', 'FFD8FFDB', 'FFD8FFEE') THEN 'image/jpeg'
+  WHEN starts_with(h, '255044462D') THEN 'application/pdf'
+  WHEN left(h, 8) IN ('49492A00', '4D4D002A') THEN 'image/tiff'
+  WHEN starts_with(h, '52494646') AND substr(h, 17, 8) = '57454250' THEN 'image/webp' END"""
+DID = "'{0}-' || left(sha256(concat_ws(chr(1), {1})), 32)"
+UPLOADS = f"""checked AS (SELECT * EXCLUDE (data, h), CASE WHEN file_size_bytes = 0 THEN 'upload is empty'
+    WHEN file_size_bytes > 26214400 THEN 'upload exceeds limit' WHEN content_type IS NULL THEN 'unsupported file type' END
+    AS reject_reason
+  FROM (SELECT *, octet_length(data) AS file_size_bytes, {SNIFF} AS content_type, sha256(data) AS file_sha256
+    FROM (SELECT *, hex(data) AS h FROM uploads))),
+accepted AS (SELECT *, row_number() OVER (PARTITION BY workspace_id, file_sha256 ORDER BY received_at, upload_id) AS n
+  FROM checked WHERE reject_reason IS NULL),
+stored AS (SELECT workspace_id, file_sha256, 'old-' || left(file_sha256, 8) AS id FROM accepted
+  WHERE n = 1 AND content_type IN ('image/jpeg', 'image/tiff')),
+stored_invoice AS (SELECT workspace_id, id AS inbox_message_id, 'oldinv-' || substr(id, 5) AS id FROM stored
+  WHERE file_sha256 < '8'),
+resolved AS (SELECT a.upload_id, a.workspace_id, a.user_id, a.filename, a.received_at, a.file_size_bytes, a.content_type,
+    a.file_sha256, coalesce(s.id, {DID.format('msg', 'a.workspace_id, a.file_sha256')}) AS inbox_message_id,
+    i.id AS known_invoice, n, s.id IS NOT NULL OR n > 1 AS was_duplicate
+  FROM accepted a LEFT JOIN stored s USING (workspace_id, file_sha256)
+  LEFT JOIN stored_invoice i ON i.inbox_message_id = s.id AND i.workspace_id = a.workspace_id),
+linked AS (SELECT * EXCLUDE (known_invoice, n), coalesce(known_invoice, {DID.format('inv', 'inbox_message_id')}) AS invoice_id,
+    {DID.format('job', 'upload_id, inbox_message_id')} AS job_id, known_invoice IS NULL AND n = 1 AS creates_invoice FROM resolved)"""
+UP = ("uploads",)
+
+
+def resolved(g):
+    """Uploads against an inbox that already holds the JPEG and TIFF files."""
+    checked = U.check_uploads(g.uploads)
+    accepted = checked.where("reject_reason is null and content_type in ('image/jpeg', 'image/tiff')")
+    inbox = accepted.select("workspace_id", "file_sha256").distinct().withColumn(
+        "id", F.concat(F.lit("old-"), F.left("file_sha256", F.lit(8)))
+    )
+    invoices = inbox.where("file_sha256 < '8'").select(
+        "workspace_id", F.col("id").alias("inbox_message_id"),
+        F.concat(F.lit("oldinv-"), F.substring("id", 5, 99)).alias("id"), F.lit(0).alias("created_at"),
+    )
+    return U.resolve_uploads(checked, inbox, invoices)
+
+
+@query("u01_checked_uploads",
+       "SELECT upload_id, file_size_bytes, content_type, file_sha256, reject_reason FROM checked", UP, UPLOADS)
+def _(g):
+    return U.check_uploads(g.uploads).select(
+        "upload_id", "file_size_bytes", "content_type", "file_sha256", "reject_reason"
+    )
+
+
+@query("u01_resolved_uploads", "SELECT * FROM linked", UP, UPLOADS)
+def _(g):
+    return resolved(g)
+
+
+@query(
+    "u01_new_rows",
+    """SELECT 'inbox' AS kind, inbox_message_id AS id, workspace_id FROM linked WHERE NOT was_duplicate
+    UNION ALL SELECT 'invoice', invoice_id, workspace_id FROM linked WHERE creates_invoice
+    UNION ALL SELECT 'job', job_id, workspace_id FROM linked
+    UNION ALL SELECT 'event', '{"size_bytes":' || file_size_bytes || ',"content_type":"' || content_type
+      || '","source":"upload"}', workspace_id FROM linked WHERE NOT was_duplicate""", UP, UPLOADS,
+)
+def _(g):
+    r = resolved(g)
+    part = lambda kind, df: df.select(F.lit(kind).alias("kind"), "id", "workspace_id")
+    events = U.new_upload_events(r).drop("id").withColumnRenamed("metadata_json", "id")
+    return (
+        part("inbox", U.new_inbox_rows(r)).unionByName(part("invoice", U.new_invoice_rows(r)))
+        .unionByName(part("job", U.new_job_rows(r))).unionByName(part("event", events))
+    )
+
+
+@query(
+    "u02_find_by_hash",
+    """SELECT m.workspace_id, m.id FROM inbox_messages m SEMI JOIN (SELECT DISTINCT workspace_id, file_sha256 FROM
+    inbox_messages WHERE status = 'extracted') w USING (workspace_id, file_sha256)""", ("inbox_messages",),
+)
+def _(g):
+    wanted = g.inbox_messages.where("status = 'extracted'")
+    return U.find_by_hash(wanted, g.inbox_messages).select("workspace_id", "id")
+
+
+PROJECTED = "projected AS (SELECT doc_id, " + ", ".join(
+    f"nullif(max(value) FILTER (WHERE name = '{n}'), '') AS {c}" for n, c in (
+        ("invoice_no", "invoice_no"), ("invoice_date", "invoice_date"), ("seller", "vendor_name"),
+        ("client", "client_name"), ("seller_tax_id", "seller_gstin"), ("client_tax_id", "client_gstin"))
+) + " FROM field GROUP BY 1)"
+INV_COLUMNS = ("id", "vendor_name", "client_name", "client_gstin", "seller_gstin", "invoice_no", "invoice_date")
+
+
+@query(
+    "u03_coalescing_update",
+    "SELECT i.id, " + ", ".join(f"coalesce(p.{c}, i.{c}) AS {c}" for c in INV_COLUMNS[1:])
+    + " FROM invoices i LEFT JOIN projected p ON i.id = 'inv-' || substr(p.doc_id, 5)",
+    ("invoices", "field"), PROJECTED,
+)
+def _(g):
+    updates = U.project_fields(g.field).withColumn(
+        "id", F.concat(F.lit("inv-"), F.substring("doc_id", 5, 99))
+    ).drop("doc_id")
+    return U.coalescing_update(g.invoices.select(*INV_COLUMNS), updates)
+
+
+@query("u04_projected_fields", "SELECT * FROM projected", ("field",), PROJECTED)
+def _(g):
+    return U.project_fields(g.field)
+
+
+@query(
+    "u05_invoice_totals",
+    """SELECT doc_id, cast(sum(try_cast(replace(replace(item_gross_worth, ' ', ''), ',', '') as bigint)) as bigint) AS total_amount_minor FROM item GROUP BY 1""", ("item",),
+)
+def _(g):
+    return U.invoice_totals(g.item)
+
+
+@query(
+    "u06_promoted_status",
+    """SELECT id, CASE WHEN EXISTS (SELECT 1 FROM validation_findings f WHERE f.invoice_id = i.id AND f.outcome = 'FAIL')
+    THEN 'flagged' ELSE 'under_review' END AS status FROM invoices i""", ("invoices", "validation_findings"),
+)
+def _(g):
+    return U.promoted_status(g.invoices, g.validation_findings).select("id", "status")
+
+
+@query(
+    "u07_replaced_findings",
+    """SELECT id, invoice_id, outcome FROM validation_findings WHERE invoice_id NOT IN (SELECT invoice_id FROM jobs WHERE state = 'failed')
+    UNION ALL SELECT id || '-new', invoice_id, 'PASS' FROM validation_findings
+    WHERE invoice_id IN (SELECT invoice_id FROM jobs WHERE state = 'failed')""", ("validation_findings", "jobs"),
+)
+def _(g):
+    # Invoices whose job failed are validated again.
+    table = g.validation_findings.select("id", "invoice_id", "outcome")
+    again = g.jobs.where("state = 'failed'").select("invoice_id")
+    fresh = table.join(again, "invoice_id", "left_semi").select(
+        F.concat("id", F.lit("-new")).alias("id"), "invoice_id", F.lit("PASS").alias("outcome")
+    )
+    return U.replace_findings(table, fresh)
+
+
+RUN = "id, workspace_id, invoice_id, pipeline_version, created_at"
+
+
+@query(
+    "u08_upserted_runs",
+    f"""SELECT {RUN} FROM pipeline_runs QUALIFY row_number() OVER
+    (PARTITION BY invoice_id, pipeline_version ORDER BY created_at DESC, id DESC) = 1""", ("pipeline_runs",),
+)
+def _(g):
+    runs = g.pipeline_runs.select(*RUN.split(", "))
+    return U.upsert_runs(runs.where("pipeline_version <> 'vR'"), runs.where("pipeline_version = 'vR'"))
+
+
+@query(
+    "u09_latest_runs",
+    f"""SELECT {RUN} FROM pipeline_runs QUALIFY row_number() OVER
+    (PARTITION BY workspace_id, invoice_id ORDER BY created_at DESC, id DESC) = 1""", ("pipeline_runs",),
+)
+def _(g):
+    return U.latest_runs(g.pipeline_runs.select(*RUN.split(", ")))
+
+
+@query(
+    "u10_upload_sources",
+    f"""SELECT t.workspace_id, coalesce(s.id, {DID.format('src', "t.workspace_id, 'upload'")}) AS source_id,
+    s.id IS NULL AS was_created FROM (SELECT DISTINCT workspace_id FROM invoices) t
+    LEFT JOIN sources s ON s.workspace_id = t.workspace_id AND s.kind = 'upload'""", ("invoices", "sources"),
+)
+def _(g):
+    return U.ensure_upload_sources(g.invoices, g.sources)
+
+
+@query(
+    "u10_connections",
+    f"""SELECT w.id AS workspace_id, coalesce(s.id, {DID.format('src', "w.id, 'gmail'")}) AS source_id, 'gmail' AS kind,
+    CASE WHEN u.role = 'business' THEN 'Gmail · ' || u.email ELSE 'Gmail' END AS label, 'connected' AS status,
+    s.id IS NULL AS was_new FROM workspaces w JOIN users u ON u.id = w.owner_user_id
+    LEFT JOIN sources s ON s.workspace_id = w.id AND s.kind = 'gmail'""", ("workspaces", "users", "sources"),
+)
+def _(g):
+    owners = g.users.select(
+        F.col("id").alias("owner_user_id"), F.when(F.col("role") == "business", F.col("email")).alias("email_address")
+    )
+    links = g.workspaces.join(owners, "owner_user_id").select(F.col("id").alias("workspace_id"), "email_address")
+    return U.upsert_connections(g.sources, links)
+
+
+RQ = ("jobs", "inbox_messages", "invoices")
+
+
+def requests(g):
+    return g.jobs.where("state = 'failed'").select(
+        "workspace_id", F.col("inbox_message_id").alias("message_id")
+    )
+
+
+LATEST_INVOICE = """bill AS (SELECT workspace_id, inbox_message_id, id FROM invoices QUALIFY row_number() OVER
+  (PARTITION BY workspace_id, inbox_message_id ORDER BY created_at DESC, id DESC) = 1)"""
+
+
+@query(
+    "u11_requeue_selected",
+    """SELECT m.workspace_id, m.id AS message_id, m.status, b.id AS invoice_id FROM inbox_messages m
+    LEFT JOIN bill b ON b.inbox_message_id = m.id AND b.workspace_id = m.workspace_id
+    WHERE EXISTS (SELECT 1 FROM jobs r WHERE r.state = 'failed' AND r.workspace_id = m.workspace_id
+      AND r.inbox_message_id = m.id)""", RQ, LATEST_INVOICE,
+)
+def _(g):
+    return U.requeue_selected(requests(g), g.inbox_messages, g.invoices)
+
+
+@query(
+    "u11_requeue_counts",
+    """SELECT r.workspace_id, coalesce(c.n, 0) AS queued, greatest(0, r.n - coalesce(c.n, 0)) AS skipped
+    FROM (SELECT workspace_id, count(*) AS n FROM jobs WHERE state = 'failed' GROUP BY 1) r LEFT JOIN
+    (SELECT workspace_id, count(*) AS n FROM inbox_messages m WHERE EXISTS (SELECT 1 FROM jobs j WHERE j.state = 'failed'
+      AND j.workspace_id = m.workspace_id AND j.inbox_message_id = m.id) GROUP BY 1) c USING (workspace_id)""",
+    ("jobs", "inbox_messages"),
+)
+def _(g):
+    return U.requeue_counts(requests(g), U.requeue_selected(requests(g), g.inbox_messages, g.invoices))
+
+
+@query(
+    "u11_requeue_pending",
+    f"""SELECT workspace_id, id, invoice_id, status FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id
+      ORDER BY received_at DESC, invoice_id) AS rank FROM ({INBOX})) WHERE rank <= 500 AND status IN ('queued', 'failed')""",
+    INBOX_VIEWS,
+)
+def _(g):
+    # The window of the newest 500 listed rows per tenant is the operator's own rule.
+    listed = D.inbox_list(g.inbox_messages, g.sources, g.invoices)
+    page = D.page_per_tenant(listed, "workspace_id", "received_at", "invoice_id", U.REQUEUE_WINDOW)
+    return U.requeue_pending(page).select("workspace_id", "id", "invoice_id", "status")
+
+
+@query(
+    "u12_stuck_messages",
+    """SELECT m.workspace_id, m.id AS inbox_message_id, m.status, 'queued' AS new_status, (SELECT min(i.id) FROM invoices i
+      WHERE i.inbox_message_id = m.id AND i.workspace_id = m.workspace_id) AS invoice_id
+    FROM inbox_messages m WHERE m.status IN ('extracting', 'queued') AND NOT EXISTS (SELECT 1 FROM jobs j
+      WHERE j.inbox_message_id = m.id AND j.state IN ('queued', 'running'))""", RQ,
+)
+def _(g):
+    return U.stuck_messages(g.inbox_messages, g.jobs, g.invoices)
+
+
+@query(
+    "u13_status_flips",
+    """SELECT id, CASE WHEN status = 'failed' THEN 'queued' ELSE status END AS status FROM inbox_messages""",
+    ("inbox_messages",),
+)
+def _(g):
+    failed = g.inbox_messages.where("status = 'failed'")
+    return U.flip_status(g.inbox_messages, failed, "queued").select("id", "status")
+
+
+@query(
+    "u13_marked_ignored",
+    """SELECT id, CASE WHEN status = 'queued' THEN 'ignored' ELSE status END AS status,
+    CASE WHEN status = 'queued' THEN coalesce(sender, 'user_marked') ELSE ignored_reason END AS ignored_reason
+    FROM inbox_messages""", ("inbox_messages",),
+)
+def _(g):
+    chosen = g.inbox_messages.where("status = 'queued'").select("workspace_id", "id", F.col("sender").alias("reason"))
+    return U.mark_ignored(g.inbox_messages, chosen).select("id", "status", "ignored_reason")
+
+
+FILES = """listing AS (SELECT file_storage_key || CASE WHEN status = 'failed' THEN '.bak' ELSE '' END AS file_storage_key,
+    file_size_bytes AS length FROM inbox_messages),
+report AS (SELECT 'orphan' AS kind, file_storage_key, length AS bytes FROM listing
+    WHERE file_storage_key NOT IN (SELECT file_storage_key FROM inbox_messages)
+  UNION ALL SELECT DISTINCT 'missing', file_storage_key, 0 FROM inbox_messages
+    WHERE file_storage_key NOT IN (SELECT file_storage_key FROM listing))"""
+
+
+def file_report(g):
+    listing = g.inbox_messages.select(
+        F.concat("file_storage_key", F.when(F.col("status") == "failed", ".bak").otherwise(""))
+        .alias("file_storage_key"), F.col("file_size_bytes").alias("length"),
+    )
+    return U.reconcile_files(listing, g.inbox_messages)
+
+
+@query("u14_file_reconciliation", "SELECT * FROM report", ("inbox_messages",), FILES)
+def _(g):
+    return file_report(g)
+
+
+@query("u14_file_summary", "SELECT kind, count(*) AS files, cast(sum(bytes) as bigint) AS bytes FROM report GROUP BY 1",
+       ("inbox_messages",), FILES)
+def _(g):
+    return U.reconcile_summary(file_report(g))
+
+
+LINKS = """request AS (SELECT id AS workspace_id, CASE WHEN name = 'NATION_3' THEN 'short' WHEN ca_gstin IS NULL THEN '99ZZZZZ9999Z9Z9'
+    WHEN name = 'NATION_7' THEN '01ABCDE0001F1Z5' ELSE ca_gstin END AS ca_gstin FROM workspaces),
+checked AS (SELECT r.workspace_id, r.ca_gstin, CASE WHEN length(r.ca_gstin) <> 15 THEN 'GSTIN must be 15 characters'
+    WHEN o.id IS NULL THEN 'no CA registered with that GSTIN' WHEN u.role IS DISTINCT FROM 'ca'
+    THEN 'that GSTIN is registered but not as a CA workspace' END AS reject_reason, o.id AS oid, o.name AS oname
+  FROM request r LEFT JOIN workspaces o ON o.gstin = r.ca_gstin LEFT JOIN users u ON u.id = o.owner_user_id)"""
+
+
+def links(g):
+    asked = g.workspaces.select(
+        F.col("id").alias("workspace_id"),
+        F.when(F.col("name") == "NATION_3", "short").when(F.col("ca_gstin").isNull(), "99ZZZZZ9999Z9Z9")
+        .when(F.col("name") == "NATION_7", "01ABCDE0001F1Z5").otherwise(F.col("ca_gstin")).alias("ca_gstin"),
+    )
+    return U.check_links(asked, g.workspaces, g.users)
+
+
+@query(
+    "u15_link_checks",
+    """SELECT workspace_id, ca_gstin, reject_reason, CASE WHEN reject_reason IS NULL THEN oid END AS ca_workspace_id,
+    CASE WHEN reject_reason IS NULL THEN oname END AS ca_name FROM checked""", ("workspaces", "users"), LINKS,
+)
+def _(g):
+    return links(g)
+
+
+@query(
+    "u15_applied_links",
+    """SELECT w.id, CASE WHEN w.name = 'NATION_9' THEN NULL ELSE coalesce(c.ca_gstin, w.ca_gstin) END AS ca_gstin
+    FROM workspaces w LEFT JOIN checked c ON c.workspace_id = w.id AND c.reject_reason IS NULL""",
+    ("workspaces", "users"), LINKS,
+)
+def _(g):
+    unlink = g.workspaces.where("name = 'NATION_9'").select(F.col("id").alias("workspace_id"))
+    return U.apply_links(g.workspaces, links(g), unlink).select("id", "ca_gstin")
+
+
