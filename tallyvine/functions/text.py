@@ -175,6 +175,23 @@ def ratio(text: Column, label: str) -> Column:
     return F.lit(200.0) * _lcs(text, constant) / (F.length(text) + F.lit(len(label)))
 
 
+def _class_of(chars: Iterable[str]) -> str:
+    return "[" + "".join("\\" + c if c in "\\]^-[&" else c for c in dict.fromkeys(chars)) + "]"
+
+
+def _shares_a_letter(text: Column, variants: list[str], threshold: int) -> Column:
+    """Cheap necessary condition of any match: a letter of some variant occurs.
+
+    It holds when more characters must agree than a variant has non-letters; for
+    other variants every line passes.
+    """
+    for v in variants:
+        agree = math.ceil(threshold * len(v) / (200 - threshold))
+        if agree <= sum(not ch.isalpha() for ch in v):
+            return F.lit(True)
+    return text.rlike("(?iu)" + _class_of(ch for v in variants for ch in v if ch.isalpha()))
+
+
 def which_matches(
     text: Column,
     groups: dict[str, Iterable[str]],
@@ -204,7 +221,8 @@ def which_matches(
         plausible = F.length(F.translate(low, alphabet, "")) <= most_foreign
         return F.when(plausible, F.get(F.filter(labels, hit), F.lit(0))["key"])
 
-    return F.when(F.length(line) <= longest + max_extra_chars, let(F.lower(line), decide))
+    gate = _shares_a_letter(text, every, threshold) & (F.length(line) <= longest + max_extra_chars)
+    return F.when(gate, let(F.lower(line), decide))
 
 
 def matches_any(
@@ -253,7 +271,29 @@ def _line_in_label(low: Column, label: Column, threshold: int) -> Column:
     return F.exists(F.sequence(F.lit(2) - n, m), good)
 
 
-def _containment(text: Column, variants: Iterable[str], threshold: int, exact: bool) -> Column:
+def may_contain_any(text: Column, variants: Iterable[str], threshold: int = THRESHOLD) -> Column:
+    """Cheap necessary condition of ``contains_any``, one pattern for all variants.
+
+    A label within so many edits keeps one of its pieces verbatim; a line that is
+    itself shorter than a label shares a letter with it.
+    """
+    every = _distinct_lower(variants)
+    pieces: dict[str, None] = {}
+    for v in every:
+        edits = ((100 - threshold) * 2 * len(v)) // 100
+        pieces.update(dict.fromkeys(_pieces(v, edits + 1) if edits + 1 <= len(v) else [""]))
+    longest = max(len(v) for v in every)
+    quoted = "|".join("\\Q" + p + "\\E" for p in pieces)
+    short = (F.length(quick_strip(text)) <= longest) & _shares_a_letter(text, every, threshold)
+    return text.rlike("(?iu)" + quoted) | short
+
+
+def contains_any(text: Column, variants: Iterable[str], threshold: int = THRESHOLD) -> Column:
+    """True when the best alignment of one of ``variants`` with the line scores enough.
+
+    The shorter of the two is aligned inside the longer, whichever that is, so a
+    very short line may "contain" a longer label.
+    """
     labels = _labels({"": variants}, threshold, MAX_EXTRA_CHARS)
 
     def decide(low: Column) -> Column:
@@ -261,33 +301,19 @@ def _containment(text: Column, variants: Iterable[str], threshold: int, exact: b
 
         def hit(label: Column) -> Column:
             m = label["m"]
-            # Cheap necessary conditions: a piece of the label in the line, or a
-            # short line with hardly any character the label lacks.
+            # Cheap necessary conditions first: a piece of the label in the line, or
+            # a short line with hardly any character the label lacks.
             foreign = F.length(F.call_function("translate", low, label["v"], F.lit("")))
             longer = (n >= m) & F.exists(label["pieces"], lambda p: F.contains(low, p))
-            shorter = (n <= m) & (
-                F.lit(100) * foreign <= F.lit((100 - threshold) * 2) * n
+            shorter = (n <= m) & (F.lit(100) * foreign <= F.lit((100 - threshold) * 2) * n)
+            return (longer & _label_in_line(low, label, threshold)) | (
+                shorter & _line_in_label(low, label, threshold)
             )
-            if exact:
-                longer = longer & _label_in_line(low, label, threshold)
-                shorter = shorter & _line_in_label(low, label, threshold)
-            return longer | shorter
 
         verbatim = F.exists(labels, lambda label: F.contains(low, label["v"]))
         return (n > 0) & (verbatim | F.exists(labels, hit))
 
-    return F.coalesce(let(F.lower(quick_strip(text)), decide), F.lit(False))
-
-
-def contains_any(text: Column, variants: Iterable[str], threshold: int = THRESHOLD) -> Column:
-    """True when the best alignment of one of ``variants`` with the line scores enough.
-
-    The shorter of the two is aligned inside the longer, whichever that is, so a
-    very short line may "contain" a longer label.
-    """
-    return _containment(text, variants, threshold, exact=True)
-
-
-def may_contain_any(text: Column, variants: Iterable[str], threshold: int = THRESHOLD) -> Column:
-    """Cheap necessary condition of ``contains_any``, for thinning out rows before a join."""
-    return _containment(text, variants, threshold, exact=False)
+    fuzzy = let(F.lower(quick_strip(text)), decide)
+    return F.coalesce(
+        F.when(may_contain_any(text, variants, threshold), fuzzy), F.lit(False)
+    )

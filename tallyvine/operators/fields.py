@@ -67,25 +67,34 @@ def choose_split(anchors: DataFrame) -> DataFrame:
     return anchors.withColumn("split_x", F.coalesce(midway, F.col("page_width") / 2.0))
 
 
-def party_lines(labelled: DataFrame, layout: DataFrame) -> DataFrame:
-    """Lines of the party block with their side; the anchor lines are left out."""
-    joined = labelled.select("doc_id", "line_no", "text", "x0", "x1", "y0", "label").join(
+def party_lines(lines: DataFrame, layout: DataFrame) -> DataFrame:
+    """Lines of the party block with their side; the anchor lines have no text.
+
+    The block is cut out by position first; only its lines are tested for labels.
+    Anchor lines stay as rows without text: a filter on the label would make Spark
+    compute it again below the projection.
+    """
+    joined = lines.select("doc_id", "line_no", "text", "x0", "x1", "y0").join(
         layout.select(
             "doc_id", "seller_y", "client_y",
             F.least("seller_y", "client_y").alias("block_top"), "items_start_y", "split_x",
         ).where("block_top is not null"),
         "doc_id",
     )
-    own_label = ((F.col("label") == "seller") & (F.col("y0") == F.col("seller_y"))) | (
-        (F.col("label") == "client") & (F.col("y0") == F.col("client_y"))
-    )
     in_block = (F.col("y0") >= F.col("block_top")) & (
         F.col("items_start_y").isNull() | (F.col("y0") < F.col("items_start_y"))
     )
-    return joined.where(in_block & ~F.coalesce(own_label, F.lit(False))).select(
-        "doc_id", "line_no", "text", "label",
+    party_label = structural_label(F.col("text"), ("seller", "client"))
+    block = joined.where(in_block).select(
+        "doc_id", "line_no", "text", "y0", "seller_y", "client_y",
         F.when(center_x() < F.col("split_x"), "left").otherwise("right").alias("side"),
+        party_label.alias("label"),
+    )
+    own_label = ((F.col("label") == "seller") & (F.col("y0") == F.col("seller_y"))) | (
+        (F.col("label") == "client") & (F.col("y0") == F.col("client_y"))
     )
+    text = F.when(~F.coalesce(own_label, F.lit(False)), F.col("text"))
+    return block.select("doc_id", "line_no", text.alias("text"), "label", "side")
 
 
 def _candidate(
@@ -257,7 +266,7 @@ def extract_fields(lines: DataFrame) -> DataFrame:
     """All header fields of all documents."""
     labelled = label_lines(lines)
     layout = choose_split(find_anchors(labelled))
-    parties = party_values(party_lines(labelled, layout))
+    parties = party_values(party_lines(lines, layout))
     candidates = (
         anchored_candidates(lines)
         .unionByName(following_candidates(lines))
@@ -270,7 +279,7 @@ def field_diagnostics(lines: DataFrame) -> DataFrame:
     """One row per document: split, anchors, line counts of the two columns."""
     labelled = label_lines(lines)
     layout = choose_split(find_anchors(labelled))
-    counts = party_lines(labelled, layout).groupBy("doc_id").agg(
+    counts = party_lines(lines, layout).where("text is not null").groupBy("doc_id").agg(
         F.count_if(F.col("side") == "left").alias("left_count"),
         F.count_if(F.col("side") == "right").alias("right_count"),
     )

@@ -21,6 +21,8 @@ _ADAPTIVE = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot key also where the next step needs the join's partitioning.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
 

@@ -312,8 +312,8 @@ def _(g):
 
 
 def layout(g):
-    labelled = X.label_lines(g.ocr_line)
-    return labelled, X.choose_split(X.find_anchors(labelled))
+    lines = g.ocr_line
+    return lines, X.choose_split(X.find_anchors(X.label_lines(lines)))
 
 
 @query("x02_column_split", "SELECT doc_id, split_x FROM layout", OL, LAYOUT)
@@ -323,7 +323,7 @@ def _(g):
 
 @query("x03_party_lines", "SELECT doc_id, line_no, side FROM block", OL, LAYOUT)
 def _(g):
-    return X.party_lines(*layout(g)).select("doc_id", "line_no", "side")
+    return X.party_lines(*layout(g)).where("text is not null").select("doc_id", "line_no", "side")
 
 
 def found(expr_pattern: str, upper: bool = False) -> str:
@@ -401,7 +401,7 @@ def _(g):
 
 @query("x09_id_lines", "SELECT doc_id, line_no, tax_line, iban_line FROM party", OL, f"{LAYOUT}, {PARTY}")
 def _(g):
-    return X.party_lines(*layout(g)).select(
+    return X.party_lines(*layout(g)).where("text is not null").select(
         "doc_id", "line_no", X.is_tax_id_line(F.col("text")).alias("tax_line"),
         X.is_iban_line(F.col("text")).alias("iban_line"),
     )

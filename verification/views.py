@@ -265,7 +265,7 @@ def _page_header(d):
          "when st = 'O' and pr = '2-HIGH' then good_iban "
          "when st = 'O' then concat('iban:', lower(good_iban)) else concat('IBAN: ', good_iban) end"),
         (15, 30, 400, 120, 422,
-         "case when st = 'P' and pr = '1-URGENT' then 'Positions' when st = 'O' then 'ITEM5' "
+         "case when st = 'P' and pr = '1-URGENT' then 'Positions' when st = 'O' and pr = '1-URGENT' then 'ITEM5' when st = 'O' then 'ITEMS:' "
          "when st = 'P' then 'Line items' else 'ITEMS' end"),
         (16, 30, 430, 60, 450, "'No.'"),
         (17, 70, 430, 180, 450, "'Description'"),
