@@ -392,7 +392,7 @@ def _sources(d):
       concat(kind, ' source') AS label,
       case when kind <> 'gmail' then 'connected' when n_regionkey = 0 then 'disconnected'
            when n_regionkey = 1 then 'error' else 'connected' end AS status,
-      case when kind = 'gmail' and n_regionkey = 2 then cast(1704800000123 as bigint) end AS last_polled_at
+      case when kind = 'gmail' and n_regionkey = 2 then cast(1704200000123 as bigint) end AS last_polled_at
     FROM ({inner}) x
     WHERE not (kind = 'folder' and n_regionkey = 3) and not (kind = 'upload' and n_regionkey = 2)"""
 
