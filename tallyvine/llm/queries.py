@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyvine.llm import chat, imatch, mixing, quality, url_reputation, warc
+from tallyvine.llm import chat, imatch, mixing, neardup, quality, url_reputation, warc
 from tallyvine.llm.common import table
 from tallyvine.session import prepare
 
@@ -25,6 +25,11 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.windows(turns.unionByName(more)))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(prepare(spark), sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.compared(prepare(spark), table(spark, sf_dir, "documents"))
 
@@ -47,6 +52,6 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_mix": op1_mix, "op2_chat": op2_chat, "op5_imatch": op5_imatch, "op4_url_reputation": op4_url_reputation, "op7_quality": op7_quality, "op8_warc": op8_warc,
+    "op1_mix": op1_mix, "op2_chat": op2_chat, "op3_near_duplicates": op3_near_duplicates, "op5_imatch": op5_imatch, "op4_url_reputation": op4_url_reputation, "op7_quality": op7_quality, "op8_warc": op8_warc,
 }
 ORACLES = {"op1_mix": mixing.SQL, "op4_url_reputation": url_reputation.SQL, "op8_warc": warc.SQL}
