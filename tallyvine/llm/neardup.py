@@ -35,9 +35,12 @@ _FULL = "array<bigint>"
 
 def shingles(text: Column) -> Column:
     """Hashes of the text's 5-word shingles, repeats included; of the whole sequence if it has fewer words; none without words."""
-    w = words(F.translate(text, *_LOWER))
-    five = F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]))
-    return F.when(F.size(w) >= SHINGLE, five).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast(_FULL))
+    def of(w: Column) -> Column:
+        five = F.transform(F.sequence(F.lit(1), F.size(w) - (SHINGLE - 1)), lambda i: F.xxhash64(F.slice(w, i, F.lit(SHINGLE))))
+        return F.when(F.size(w) >= SHINGLE, five).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast(_FULL))
+
+    # The outer transform binds the words, which are else split again for every shingle.
+    return F.element_at(F.transform(F.array(words(F.translate(text, *_LOWER))), of), 1)
 
 
 def sketch(hashes: np.ndarray) -> tuple[int, bytes, list[int] | None, list[int] | None]:
@@ -67,8 +70,10 @@ def _prepared(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
         for part in parts:
             yield pd.DataFrame([sketch(np.asarray(h)) for h in part], columns=["n_shingles", "set_key", "minhashes", "bits"])
 
-    rows = docs.select("doc_id", "text", *[c for c in keep if c not in ("doc_id", "text")], sketched(shingles(F.col("text"))).alias("s"))
-    return staged(rows.withColumn("row", F.monotonically_increasing_id()).select("*", "s.*").drop("s"), "near-docs")
+    others = [c for c in keep if c not in ("doc_id", "text")]
+    rows = docs.select("doc_id", "text", *others, F.monotonically_increasing_id().alias("row"))
+    marked = rows.select("row", "doc_id", "text", *others, sketched(shingles(F.col("text"))).alias("s"))
+    return staged(marked.select("row", "doc_id", "text", *others, "s.n_shingles", "s.set_key", "s.minhashes", "s.bits"), "near-docs")
 
 
 def _coordinates(node: Column) -> Column:
@@ -126,7 +131,7 @@ def _candidates(sets: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame
         level = level.distinct() if depth else level
         sizes = level.groupBy("node").agg(
             F.count("*").alias("n"), F.min("group").alias("g0"), F.max("group").alias("g1"),
-            F.min(F.struct(F.xxhash64("row", F.lit(depth)) if depth else F.col("row"), "row", "group")).alias("pivot"),
+            F.min(F.struct((F.xxhash64("row", F.lit(depth)) if depth else F.col("row")).alias("rank"), "row", "group")).alias("pivot"),
         ).where("n > 1 and g0 <> g1").select("node", "n", F.col("pivot.row").alias("pivot"), F.col("pivot.group").alias("pivot_group"))
         alive = staged(level.join(sizes, "node"), f"near-level{depth}")
         small = alive.where(F.col("n") <= SMALL).join(sketches, "row").withColumn("side", F.lit(0))
