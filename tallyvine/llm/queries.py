@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyvine.llm import chat, imatch, mixing, neardup, quality, url_reputation, warc
+from tallyvine.llm import chat, imatch, metric_join, mixing, neardup, quality, url_reputation, warc
 from tallyvine.llm.common import table
 from tallyvine.session import prepare
 
@@ -41,6 +41,10 @@ def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judged(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.linked(table(prepare(spark), sf_dir, "embeddings"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.scored(docs, quality.train(docs, labels)).select("doc_id", "held_out", "score", "predicted")
@@ -52,6 +56,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_mix": op1_mix, "op2_chat": op2_chat, "op3_near_duplicates": op3_near_duplicates, "op5_imatch": op5_imatch, "op4_url_reputation": op4_url_reputation, "op7_quality": op7_quality, "op8_warc": op8_warc,
+    "op1_mix": op1_mix, "op2_chat": op2_chat, "op3_near_duplicates": op3_near_duplicates, "op5_imatch": op5_imatch, "op4_url_reputation": op4_url_reputation, "op6_embeddings": op6_embeddings,
+    "op7_quality": op7_quality, "op8_warc": op8_warc,
 }
-ORACLES = {"op1_mix": mixing.SQL, "op4_url_reputation": url_reputation.SQL, "op8_warc": warc.SQL}
+ORACLES = {"op1_mix": mixing.SQL, "op4_url_reputation": url_reputation.SQL, "op6_embeddings": metric_join.SQL, "op8_warc": warc.SQL}
