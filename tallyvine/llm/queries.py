@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyvine.llm import chat, imatch, metric_join, mixing, neardup, quality, url_reputation, warc
+from tallyvine.llm import chat, imatch, metric_join, mixing, neardup, pii, quality, url_reputation, warc
 from tallyvine.llm.common import table
 from tallyvine.session import prepare
 
@@ -55,8 +55,13 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(prepare(spark), sf_dir, "documents")).select("doc_id", "text", "n_private")
+
+
 QUERIES = {
     "op1_mix": op1_mix, "op2_chat": op2_chat, "op3_near_duplicates": op3_near_duplicates, "op5_imatch": op5_imatch, "op4_url_reputation": op4_url_reputation, "op6_embeddings": op6_embeddings,
     "op7_quality": op7_quality, "op8_warc": op8_warc,
+    "op10_pseudonyms": op10_pseudonyms,
 }
 ORACLES = {"op1_mix": mixing.SQL, "op4_url_reputation": url_reputation.SQL, "op6_embeddings": metric_join.SQL, "op8_warc": warc.SQL}
