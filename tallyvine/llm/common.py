@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyvine.session import materialise
+from tallyvine.session import materialise, prepare
 
 #: Tables counted to have at most this many rows may be broadcast.
 FEW_ROWS = 50_000
@@ -13,6 +13,17 @@ FEW_ROWS = 50_000
 SPACES = r"[\x20\x09-\x0D]+"
 
 
+#: Rows and bytes that a Python worker is handed at once. Documents may be long.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """The session with the settings that these operators need."""
+    for key, value in _BATCHES.items():
+        spark.conf.set(key, value)
+    return prepare(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,7 +40,7 @@ def broadcast_if_few(df: DataFrame) -> DataFrame:
 
 def words(text: Column) -> Column:
     """Maximal runs outside U+0020 and U+0009..U+000D; null and blank texts have none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
 def word_count(text: Column) -> Column:

@@ -7,8 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 from tallyvine.llm.common import words
 
@@ -84,15 +86,34 @@ class Fingerprints:
         return self._of(term_hashes(text))
 
 
-def with_next(rows: DataFrame, columns: list[str], most_buckets: int = 20_000, rows_a_bucket: int = 500) -> DataFrame:
+@F.pandas_udf(BinaryType())
+def packed(texts: pd.Series) -> pd.Series:
+    pack = zstandard.ZstdCompressor(level=3).compress
+    return texts.map(lambda t: pack(t.encode("utf-8", "surrogatepass")))
+
+
+@F.pandas_udf(StringType())
+def edited_text(own: pd.Series, after: pd.Series) -> pd.Series:
+    """The last half of one packed text replaced by as many code points of the other's start."""
+    unpack = zstandard.ZstdDecompressor().decompress
+
+    def edit(a: bytes, b: bytes) -> str:
+        text = unpack(a).decode("utf-8", "surrogatepass")
+        half = len(text) // 2
+        return text[: len(text) - half] + unpack(b).decode("utf-8", "surrogatepass")[:half]
+
+    return pd.Series([edit(a, b) for a, b in zip(own, after, strict=True)], dtype=object)
+
+
+def with_next(rows: DataFrame, columns: list[str], tie: str, most_buckets: int = 20_000, rows_a_bucket: int = 500) -> DataFrame:
     """``columns`` with ``next``, a struct of the same columns of the next document in descending doc_id.
 
-    Order: doc_id descending, null last, then text; the first follows the last. Documents
+    Order: doc_id descending, null last, then ``tie``; the first follows the last. Documents
     are dealt into ranges of doc_id between quantiles (at most ``most_buckets`` numbers on
     the driver); the head of each range goes to the range before it too.
     """
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    n = rows.count()
+    n = rows.select("doc_id").count()
     k = min(most_buckets, max(1, n // rows_a_bucket))
     cut = rows.select(key.alias("key")).agg(
         F.max("key").alias("top"), F.percentile_approx("key", [i / k for i in range(1, k + 1)], max(10_000, 20 * k)).alias("cuts")
@@ -106,7 +127,7 @@ def with_next(rows: DataFrame, columns: list[str], most_buckets: int = 20_000, r
         return pd.Series([[a, (a + 1) % len(heads)] if h else [a] for a, h in zip(at, head, strict=True)], dtype=object)
 
     dealt = rows.withColumn("key", key).withColumn("ranges", ranges("key")).select("key", *columns, F.posexplode("ranges").alias("also", "range"))
-    order = Window.partitionBy("range").orderBy("also", F.col("key").desc(), "text")
+    order = Window.partitionBy("range").orderBy("also", F.col("key").desc(), tie)
     after = F.lead(F.struct(*columns)).over(order)
     return dealt.withColumn("next", after).where("also = 0").select(*columns, "next")
 
@@ -116,17 +137,15 @@ def compared(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     The edited text has its last floor(n/2) code points replaced by the first as many of
     the next document's. Null text is the empty text, whose fingerprint is that of no
-    term. Rows with equal ids follow each other by text; repeated rows are kept. Other
+    term. Rows with equal ids follow each other by a hash of the text; repeated rows are kept. Other
     columns are not looked at. An empty table gives an empty one.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     mark = Fingerprints(spark, rows)
-    rows = rows.withColumn("fingerprint", mark(F.col("text")))
-    pairs = with_next(rows, ["doc_id", "text", "fingerprint"])
-    edited = F.concat(F.expr("left(text, length(text) - cast(length(text) div 2 as int))"), F.expr("left(next.text, cast(length(text) div 2 as int))"))
-    out = pairs.select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", F.col("next.fingerprint").alias("after")
-    )
+    # Texts travel compressed: one shuffle by range of doc_id is all that moves them.
+    slim = rows.select("doc_id", F.xxhash64("text").alias("tie"), F.length("text").cast("long").alias("n_chars"), packed("text").alias("pack"), mark(F.col("text")).alias("fingerprint"))
+    pairs = with_next(slim, ["doc_id", "tie", "n_chars", "pack", "fingerprint"], "tie")
+    out = pairs.select("doc_id", "n_chars", "fingerprint", F.col("next.fingerprint").alias("after"), edited_text("pack", "next.pack").alias("edited"))
     out = out.withColumn("edited_fingerprint", mark(F.col("edited")))
     return out.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
