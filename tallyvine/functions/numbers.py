@@ -9,8 +9,8 @@ from tallyvine.functions import patterns as P
 from tallyvine.functions.text import WHITESPACE, let, strip
 
 DECIMAL = "decimal(38,10)"
-# Inputs of products are cut to this type so that the product stays exact.
-FACTOR = "decimal(18,4)"
+# Unscaled amounts: 38 digits at most, in products too.
+UNSCALED = "decimal(38,0)"
 
 
 def _plain_decimal(c: Column) -> Column:
@@ -36,12 +36,24 @@ def percent_text(c: Column) -> Column:
     return strip(F.rtrim(strip(c), F.lit("%")))
 
 
-def at_scale(amount: Column, scale: Column) -> Column:
-    """Exact decimal as text with the given number of decimals (at most 8)."""
-    full = amount.cast("decimal(38,8)").cast("string")
-    return F.substring(
-        full, F.lit(1), F.length(full) - F.when(scale > 0, F.lit(8) - scale).otherwise(F.lit(9))
-    )
+def exact_number(c: Column) -> tuple[Column, Column, Column]:
+    """``(readable, unscaled, scale)`` of a number text; unscaled is null beyond 38 digits."""
+    plain = _plain_decimal(c)
+    readable = F.coalesce(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), F.lit(False))
+    return readable, F.when(readable, F.translate(plain, ".+", "").try_cast(UNSCALED)), written_scale(c)
+
+
+def power_of_ten(n: Column) -> Column:
+    """``10 ** n`` as an unscaled amount, null beyond 37."""
+    return F.when(n <= 37, F.rpad(F.lit("1"), n + 1, "0").try_cast(UNSCALED))
+
+
+def at_scale(unscaled: Column, scale: Column, shown: Column) -> Column:
+    """``unscaled / 10 ** scale`` as text with ``shown`` decimals; the rest are zeros."""
+    digits = F.lpad(F.abs(unscaled).cast("string"), F.greatest(scale + 1, F.length(F.abs(unscaled).cast("string"))), "0")
+    whole = F.substr(digits, F.lit(1), F.length(digits) - scale)
+    decimals = F.substr(digits, F.length(digits) - scale + 1, shown)
+    return F.concat(F.when(unscaled < 0, "-").otherwise(""), whole, F.when(shown > 0, F.concat(F.lit("."), decimals)).otherwise(""))
 
 
 def percent(c: Column) -> Column:
@@ -56,7 +68,8 @@ def money_to_minor(c: Column) -> Column:
 
 def _kept_to_minor(kept: Column) -> Column:
     hundred = F.lit(100).cast("bigint")
-    whole = F.when(kept.rlike(r"^-?\d+$"), kept.try_cast("bigint")) * hundred
+    # Amounts that 64 bits do not hold are null, like unreadable ones.
+    whole = F.try_multiply(F.when(kept.rlike(r"^-?\d+$"), kept.try_cast("bigint")), hundred)
     # Position of the last separator, counted from the end.
     tail = F.substring_index(F.translate(kept, ",", "."), ".", -1)
     head = F.translate(F.left(kept, F.length(kept) - F.length(tail) - 1), ",.", "")
@@ -69,7 +82,7 @@ def _kept_to_minor(kept: Column) -> Column:
     marked = kept.rlike("[.,]")
     return F.when(
         (kept != "") & ~kept.isin(".", ",", "-"),
-        F.when(marked, sign * (units * hundred + cents)).otherwise(whole),
+        F.when(marked, sign * F.try_add(F.try_multiply(units, hundred), cents)).otherwise(whole),
     )
 
 
@@ -112,6 +125,6 @@ def itc_estimate(clean_minor: Column) -> Column:
 
 
 __all__ = [
-    "DECIMAL", "FACTOR", "at_scale", "european_decimal", "format_amount", "iban_is_valid",
-    "itc_estimate", "money_to_minor", "percent", "percent_text", "written_scale",
+    "DECIMAL", "UNSCALED", "at_scale", "european_decimal", "exact_number", "format_amount", "iban_is_valid",
+    "itc_estimate", "money_to_minor", "percent", "percent_text", "power_of_ten", "written_scale",
 ]

@@ -7,22 +7,18 @@ from pyspark.sql import functions as F
 
 from tallyvine.functions import patterns as P
 from tallyvine.functions.numbers import (
-    FACTOR,
+    UNSCALED,
     at_scale,
-    european_decimal,
+    exact_number,
     iban_is_valid,
     percent_text,
-    written_scale,
+    power_of_ten,
 )
 from tallyvine.functions.text import canon
 from tallyvine.operators.fields import FIELD_ORDER, header_wide
 
 PASS, FAIL, NA = "pass", "fail", "not_applicable"
 
-# Largest duplicate group whose member list is written into the reason text.
-# Bigger groups are listed row by row in ``duplicate_members``.
-INLINE_MEMBERS = 1000
-
 
 def _text(value: Column | str | None) -> Column:
     if isinstance(value, Column):
@@ -120,23 +116,35 @@ def within_tolerance(expected: Column, observed: Column) -> Column:
     return F.abs(expected - observed).cast("decimal(38,8)") <= allowed
 
 
+BEYOND = "amount beyond 38 digits"
+
+
 def _item_rule(
-    rule: str, label: str, inputs: list[Column], expected: Column, expected_scale: Column,
-    observed: Column, observed_scale: Column, missing: str, failing: str, order: Column,
+    rule: str, label: str, inputs: list[str], expected: str, observed: str,
+    missing: str, failing: str, order: Column,
 ) -> Column:
+    """Compare two unscaled amounts (``<name>_u`` at scale ``<name>_s``, shown with ``<name>_d`` decimals)."""
     absent = F.lit(False)
-    for c in inputs:
-        absent = absent | c.isNull()
-    good = within_tolerance(expected, observed)
-    outcome = F.when(absent, NA).when(good, PASS).otherwise(FAIL)
-    failed = ~absent & ~good
+    for name in inputs:
+        absent = absent | ~F.col(f"{name}_ok")
+    c = F.col
+    scale = F.greatest(c(f"{expected}_s"), c(f"{observed}_s"))
+    lifted = lambda name: F.try_multiply(c(f"{name}_u"), power_of_ten(scale - c(f"{name}_s")))
+    hundred = F.lit(100).cast(UNSCALED)
+    # At most 1 apart, or 1 % of the expected amount; all a hundredfold, so that nothing is divided.
+    apart = F.try_multiply(F.abs(F.try_subtract(lifted(expected), lifted(observed))), hundred)
+    allowed = F.greatest(F.try_multiply(power_of_ten(scale), hundred), F.abs(lifted(expected)))
+    good = apart <= allowed
+    beyond = ~absent & (apart.isNull() | lifted(expected).isNull() | power_of_ten(scale + 2).isNull())
+    failed = ~absent & ~beyond & ~good
+    outcome = F.when(absent | beyond, NA).when(good, PASS).otherwise(FAIL)
     return finding(
         rule,
         F.concat(F.lit("item["), F.col("item_index").cast("string"), F.lit(f"].{label}")),
         outcome,
-        F.when(absent, missing).when(failed, failing),
-        expected=F.when(failed, at_scale(expected, expected_scale)),
-        observed=F.when(failed, at_scale(observed, observed_scale)),
+        F.when(absent, missing).when(beyond, BEYOND).when(failed, failing),
+        expected=F.when(failed, at_scale(c(f"{expected}_u"), c(f"{expected}_s"), c(f"{expected}_d"))),
+        observed=F.when(failed, at_scale(c(f"{observed}_u"), c(f"{observed}_s"), c(f"{observed}_s"))),
         order=order,
     )
 
@@ -145,60 +153,49 @@ AMOUNTS = ("item_qty", "item_net_price", "item_net_worth", "item_gross_worth")
 
 
 def parsed_items(items: DataFrame) -> DataFrame:
-    """Item amounts as exact decimals (``*_n``) with the decimals they were written with
-    (``*_s``). A step of its own, so that each text is parsed once."""
-    vat = percent_text(F.col("item_vat"))
+    """Item amounts as whole numbers (``*_u``) with their number of decimals (``*_s``) and
+    whether the text is a number (``*_ok``). A step of its own, so that each text is parsed once."""
     columns = [F.col("doc_id"), F.col("item_index")]
-    for name in AMOUNTS:
-        columns.append(european_decimal(F.col(name)).cast(FACTOR).alias(f"{name}_n"))
-        columns.append(written_scale(F.col(name)).alias(f"{name}_s"))
-    columns.append(european_decimal(vat).cast(FACTOR).alias("item_vat_n"))
-    columns.append(written_scale(vat).alias("item_vat_s"))
+    texts = {name: F.col(name) for name in AMOUNTS} | {"item_vat": percent_text(F.col("item_vat"))}
+    for name, text in texts.items():
+        ok, unscaled, scale = exact_number(text)
+        columns += [ok.alias(f"{name}_ok"), unscaled.alias(f"{name}_u"), scale.alias(f"{name}_s")]
     return items.select(*columns)
 
 
 def expected_amounts(parsed: DataFrame) -> DataFrame:
-    """Add the expected net and gross amounts and their number of decimals.
+    """Add the expected net and gross amounts; null where 38 digits do not hold them.
 
-    An exact product has the decimals of both factors added up.
+    An exact product has the decimals of both factors added up. The share ``vat / 100``
+    is shown without trailing zeros, but with no fewer decimals than the text has.
     """
-    qty, price, net, vat = (
-        F.col(f"{c}_n") for c in ("item_qty", "item_net_price", "item_net_worth", "item_vat")
-    )
-    hundred = F.lit(100).cast("decimal(3,0)")
-    with_vat = (net * (hundred + vat).cast("decimal(18,4)")).cast("decimal(38,8)") / hundred
-    share = (vat / hundred).cast("decimal(20,6)").cast("string")
+    c = F.col
+    one = F.try_multiply(F.lit(100).cast(UNSCALED), power_of_ten(c("item_vat_s")))
+    zeros = F.length(F.regexp_extract(F.abs(c("item_vat_u")).cast("string"), "(0*)$", 1))
+    share = F.when(c("item_vat_u") == 0, F.lit(0)).otherwise(F.greatest(c("item_vat_s") + 2 - zeros, F.lit(0)))
     return parsed.select(
         "*",
-        (qty * price).cast("decimal(38,8)").alias("net_expected"),
-        (F.col("item_qty_s") + F.col("item_net_price_s")).alias("net_expected_s"),
-        with_vat.cast("decimal(38,8)").alias("gross_expected"),
-        (
-            F.col("item_net_worth_s")
-            + F.greatest(F.length(F.regexp_extract(share, r"\.(\d*?)0*$", 1)), F.col("item_vat_s"))
-        ).alias("gross_expected_s"),
+        F.try_multiply(c("item_qty_u"), c("item_net_price_u")).cast(UNSCALED).alias("net_u"),
+        (c("item_qty_s") + c("item_net_price_s")).alias("net_s"),
+        (c("item_qty_s") + c("item_net_price_s")).alias("net_d"),
+        F.try_multiply(c("item_net_worth_u"), F.try_add(one, c("item_vat_u")).cast(UNSCALED)).cast(UNSCALED).alias("gross_u"),
+        (c("item_net_worth_s") + c("item_vat_s") + 2).alias("gross_s"),
+        (c("item_net_worth_s") + F.greatest(share, c("item_vat_s"))).alias("gross_d"),
     )
 
 
 def item_rules() -> list[Column]:
     """Quantity x price = net, and net x (1 + VAT) = gross, over ``expected_amounts``."""
-    c = F.col
-    base = c("item_index").cast("int") * 2 + 6
+    base = F.col("item_index").cast("int") * 2 + 6
     return [
         _item_rule(
-            "item_net_worth_consistency", "net_worth",
-            [c("item_qty_n"), c("item_net_price_n"), c("item_net_worth_n")],
-            c("net_expected"), c("net_expected_s"),
-            c("item_net_worth_n").cast("decimal(38,8)"), c("item_net_worth_s"),
-            "missing or unparseable qty / net_price / net_worth",
+            "item_net_worth_consistency", "net_worth", ["item_qty", "item_net_price", "item_net_worth"],
+            "net", "item_net_worth", "missing or unparseable qty / net_price / net_worth",
             "net_worth != qty * net_price beyond tolerance", base,
         ),
         _item_rule(
-            "item_gross_worth_consistency", "gross_worth",
-            [c("item_net_worth_n"), c("item_vat_n"), c("item_gross_worth_n")],
-            c("gross_expected"), c("gross_expected_s"),
-            c("item_gross_worth_n").cast("decimal(38,8)"), c("item_gross_worth_s"),
-            "missing or unparseable net_worth / vat / gross_worth",
+            "item_gross_worth_consistency", "gross_worth", ["item_net_worth", "item_vat", "item_gross_worth"],
+            "gross", "item_gross_worth", "missing or unparseable net_worth / vat / gross_worth",
             "gross_worth != net_worth * (1 + VAT/100) beyond tolerance", base + 1,
         ),
     ]
@@ -228,47 +225,40 @@ def duplicate_members(header: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_findings(header: DataFrame, inline_members: int = INLINE_MEMBERS) -> DataFrame:
+def duplicate_findings(header: DataFrame) -> DataFrame:
     """Exact duplicates in a batch; every member of a group is flagged.
 
-    ``header`` has ``doc_id``, ``batch_index`` and the key columns. The outcome
-    needs only the size of the group, which is counted with map-side combine and
-    joined back (the adaptive join splits a key that holds many rows). The
-    reason lists the other members. Listing them for every member of a group is
-    quadratic, so groups above ``inline_members`` name their size instead and
-    are listed once, row by row, in ``duplicate_members``.
+    ``header`` has ``doc_id``, ``batch_index`` and the key columns. The size of a group
+    is counted with map-side combine and joined back (the adaptive join splits a key
+    that holds many rows). The reason names the number of other members, at every size;
+    the members themselves are the rows of ``duplicate_members``.
     """
     key = list(DUPLICATE_KEY)
-    groups = _duplicate_groups(header)
-    rows = header.select("doc_id", "batch_index", *key).join(groups, key, "left")
-    lists = (
-        rows.where((F.col("members") > 1) & (F.col("members") <= inline_members))
-        .groupBy(*key)
-        .agg(F.array_sort(F.collect_list("batch_index")).alias("indexes"))
-    )
-    listed = rows.join(lists, key, "left")
+    rows = header.select("doc_id", "batch_index", *key).join(_duplicate_groups(header), key, "left")
     missing = F.lit(False)
     for k in key:
         missing = missing | F.col(k).isNull()
     repeated = F.col("members").isNotNull()
-    others = F.array_remove("indexes", F.col("batch_index"))
-    listing = F.concat(
-        F.lit("duplicate (invoice_no, seller_tax_id, invoice_date) with batch index(es) ["),
-        F.array_join(others, ", "), F.lit("]"),
-    )
-    large = F.concat(
+    others = F.concat(
         F.lit("duplicate (invoice_no, seller_tax_id, invoice_date) with "),
-        (F.col("members") - 1).cast("string"), F.lit(" other record(s), see duplicate_members"),
+        (F.col("members") - 1).cast("string"), F.lit(" other record(s)"),
     )
     row = finding(
         "batch_duplicate", "record",
         F.when(missing, NA).when(repeated, FAIL).otherwise(PASS),
-        F.when(missing, "missing invoice_no / seller_tax_id / invoice_date")
-        .when(repeated, F.coalesce(listing, large)),
+        F.when(missing, "missing invoice_no / seller_tax_id / invoice_date").when(repeated, others),
         observed=F.when(repeated, F.concat_ws(" / ", *key)),
         order=DUPLICATE_ORDER,
     )
-    return listed.select("doc_id", F.inline(F.array(row)))
+    return rows.select("doc_id", F.inline(F.array(row)))
+
+
+def other_members(header: DataFrame, doc_ids: DataFrame) -> DataFrame:
+    """``doc_id, other_index, other_doc_id``: the other members of the groups of the documents a caller names."""
+    members = duplicate_members(header)
+    named = members.join(doc_ids.select("doc_id").distinct(), "doc_id").select("doc_id", "batch_index", *DUPLICATE_KEY)
+    others = members.select(*DUPLICATE_KEY, F.col("batch_index").alias("other_index"), F.col("doc_id").alias("other_doc_id"))
+    return named.join(others, list(DUPLICATE_KEY)).where("other_index <> batch_index").select("doc_id", "other_index", "other_doc_id")
 
 
 def validate(header: DataFrame, items: DataFrame | None = None) -> DataFrame:

@@ -15,10 +15,9 @@ from tallyvine.operators.dashboards import invoice_per_message, latest_per_key
 from tallyvine.operators.fields import header_wide
 from tallyvine.session import materialise
 
-# Job attempts, default reason, re-queue window.
+# Job attempts, default reason.
 MAX_ATTEMPTS = 3
 IGNORE_REASON = "user_marked"
-REQUEUE_WINDOW = 500
 
 
 def derive_id(prefix: str, *parts: Column) -> Column:
@@ -201,9 +200,9 @@ def project_fields(fields: DataFrame) -> DataFrame:
 
 
 def invoice_totals(items: DataFrame) -> DataFrame:
-    """Sum of the readable gross amounts per document, null when none is readable."""
+    """Sum of the readable gross amounts per document, null when none is readable or 64 bits do not hold it."""
     return items.groupBy("doc_id").agg(
-        F.sum(money_to_minor(F.col("item_gross_worth"))).alias("total_amount_minor")
+        F.try_sum(money_to_minor(F.col("item_gross_worth"))).alias("total_amount_minor")
     )
 
 
@@ -300,10 +299,7 @@ def requeue_counts(requests: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 def requeue_pending(listed: DataFrame) -> DataFrame:
-    """All queued or failed rows among the newest listed rows of each tenant.
-
-    ``listed`` is a page of the inbox list (``REQUEUE_WINDOW`` rows per tenant).
-    """
+    """All queued or failed rows of the inbox list, or of the page of it that a caller passes."""
     return listed.where("status in ('queued', 'failed')")
 
 

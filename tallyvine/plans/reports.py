@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 
 from tallyvine.operators import evaluate as E
 
-# Reports render aggregates only; a frame with more rows is listed in its files.
-MOST_ROWS = 100
+# Frames with a row per document; they are left to their files, all others are aggregates or short lists.
+ONE_ROW_A_DOCUMENT = ("samples",)
 
 
 def header_report(fields: DataFrame, truth: DataFrame) -> dict[str, DataFrame]:
@@ -48,17 +48,16 @@ def write_report(frames: dict[str, DataFrame], path: str) -> None:
 
 
 def markdown(title: str, frames: dict[str, DataFrame]) -> str:
-    """Markdown tables of the small frames of a report."""
+    """Markdown tables of a report's aggregates and lists."""
     out = [f"# {title}", ""]
     for name, frame in frames.items():
-        rows = frame.limit(MOST_ROWS + 1).collect()
         out += [f"## {name}", ""]
-        if len(rows) > MOST_ROWS:
-            out += [f"More than {MOST_ROWS} rows; see the `{name}` files.", ""]
+        if name in ONE_ROW_A_DOCUMENT:
+            out += [f"See the `{name}` files.", ""]
             continue
         out.append("| " + " | ".join(frame.columns) + " |")
         out.append("|" + "---|" * len(frame.columns))
-        for row in rows:
+        for row in frame.collect():
             cells = ["" if v is None else str(v).replace("|", "\\|").replace("\n", " ") for v in row]
             out.append("| " + " | ".join(cells) + " |")
         out.append("")

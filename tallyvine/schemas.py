@@ -81,7 +81,7 @@ OTP_CHALLENGES = (
 )
 CLIENT_LABEL_OVERRIDES = "workspace_id string, client_gstin string, display_name string, created_at bigint"
 MESSAGE = (
-    "source_id string, message_id string, received_at bigint, "
+    "source_id string, message_id string, received_at bigint, folder string, "
     "headers array<struct<name: string, value: string>>, "
     "parts array<struct<filename: string, mimeType: string, attachmentId: string, data: string>>"
 )

@@ -54,8 +54,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``; only a session without
-    that setting (a local test) gets a temporary one.
+    The cluster names it in ``spark.checkpoint.dir``. Without that setting only a
+    local master, whose executors share the driver's disk, gets a temporary one.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -63,6 +63,9 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="tallyvine-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder

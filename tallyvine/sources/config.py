@@ -14,11 +14,12 @@ KEYWORDS: tuple[str, ...] = (
     "invoice", "bill", "receipt", "gst", "tax invoice", "purchase order", "po", "statement",
     "payment", "rechnung", "factura",
 )
-# Name -> (default, lowest, highest).
-BOUNDS: dict[str, tuple[int, int, int]] = {
+# Name -> (default, lowest, highest). Caps hold only where a configuration
+# sets them: by default every message and every attachment is taken.
+BOUNDS: dict[str, tuple[int | None, int, int]] = {
     "backfill_days": (30, 1, 365),
-    "max_attachments_per_message": (10, 1, 100),
-    "max_messages_per_poll": (100, 1, 1000),
+    "max_attachments_per_message": (None, 1, 100),
+    "max_messages_per_poll": (None, 1, 1000),
 }
 
 
@@ -27,8 +28,8 @@ class MailboxConfig:
     subject_keywords: tuple[str, ...] = KEYWORDS
     supported_content_types: tuple[str, ...] = CONTENT_TYPES
     backfill_days: int = BOUNDS["backfill_days"][0]
-    max_attachments_per_message: int = BOUNDS["max_attachments_per_message"][0]
-    max_messages_per_poll: int = BOUNDS["max_messages_per_poll"][0]
+    max_attachments_per_message: int | None = None
+    max_messages_per_poll: int | None = None
 
     def keywords(self) -> tuple[str, ...]:
         """Trimmed, lower-cased, blank ones dropped."""
@@ -49,6 +50,9 @@ def mailbox_config(document: dict[str, Any] | str) -> MailboxConfig:
         values[name] = tuple(given)
     for name, (default, low, high) in BOUNDS.items():
         given = section.get(name, default)
+        if given is None and name not in section:
+            values[name] = None
+            continue
         if isinstance(given, bool) or not isinstance(given, int) or not low <= given <= high:
             raise ValueError(f"'{name}' must be an integer in [{low}, {high}]")
         values[name] = given

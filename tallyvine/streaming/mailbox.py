@@ -25,8 +25,9 @@ EXCLUDED_FOLDERS = ("spam", "trash")
 
 
 def header_map(headers: Column) -> Column:
-    """Header values by lower-cased name; the last of a repeated name wins."""
-    entries = F.transform(headers, lambda h: F.struct(F.lower(h["name"]), h["value"]))
+    """Header values by lower-cased name; the last of a repeated name wins, ones without a name do not count."""
+    named = F.filter(headers, lambda h: h["name"].isNotNull())
+    entries = F.transform(named, lambda h: F.struct(F.lower(h["name"]), h["value"]))
     return F.map_from_entries(entries)
 
 
@@ -59,12 +60,10 @@ def has_attachment(parts: Column) -> Column:
 
 def select_messages(messages: DataFrame, config: MailboxConfig) -> DataFrame:
     """Messages with an attachment and a matching subject, outside spam and trash."""
-    kept = with_headers(messages).where(
+    return with_headers(messages).where(
         has_attachment(F.col("parts")) & subject_matches(F.col("subject"), config)
+        & ~F.coalesce(F.lower("folder").isin(*EXCLUDED_FOLDERS), F.lit(False))
     )
-    if "folder" in messages.columns:
-        kept = kept.where(~F.coalesce(F.lower("folder").isin(*EXCLUDED_FOLDERS), F.lit(False)))
-    return kept
 
 
 def new_since_cursor(
@@ -91,9 +90,23 @@ def new_since_cursor(
     return joined.drop("last_polled_at")
 
 
-def advance_cursors(sources: DataFrame, polled: DataFrame, now_ms: int) -> DataFrame:
-    """Move the cursor of the polled sources; a fetch-now run does not call this."""
-    done = polled.select(F.col("source_id").alias("id"), F.lit(now_ms).cast("bigint").alias("at")).distinct()
+def advance_cursors(
+    sources: DataFrame, polled: DataFrame, now_ms: int, taken: DataFrame | None = None
+) -> DataFrame:
+    """Move the cursor of the polled sources; a fetch-now run does not call this.
+
+    ``taken`` is what a capped poll took (``cap_messages``): a source with more than that
+    goes on after the last second taken, so the rest comes with the next poll.
+    """
+    seen = polled.groupBy("source_id").agg(F.count("*").alias("seen"))
+    at = F.lit(now_ms).cast("bigint")
+    if taken is not None:
+        read = taken.groupBy("source_id").agg(F.count("*").alias("read"), F.max("received_at").alias("last"))
+        seen = seen.join(read, "source_id", "left")
+        second = F.lit(1000).cast("bigint")
+        after = (F.call_function("div", F.col("last"), second) + F.lit(1).cast("bigint")) * second
+        at = F.when(F.col("read") < F.col("seen"), after).otherwise(at)
+    done = seen.select(F.col("source_id").alias("id"), at.alias("at"))
     return sources.join(done, "id", "left").withColumn(
         "last_polled_at", F.coalesce("at", "last_polled_at")
     ).select(*sources.columns)
@@ -108,13 +121,17 @@ def disconnect_sources(sources: DataFrame, revoked: DataFrame) -> DataFrame:
 
 
 def cap_messages(messages: DataFrame, config: MailboxConfig, limit: int | None = None) -> DataFrame:
-    """At most so many messages per source and poll, newest first.
+    """At most about so many messages per source and poll, oldest first; all without a cap.
 
-    Each task keeps only the newest ones of a source before the shuffle.
+    Messages of one second stay together, so that the cursor can go on after them. Each
+    task keeps only the oldest ones of a source before the shuffle.
     """
-    w = Window.partitionBy("source_id").orderBy(F.desc("received_at"), F.asc("message_id"))
     most = config.max_messages_per_poll if limit is None else limit
-    return messages.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")
+    if most is None:
+        return messages
+    second = F.call_function("div", F.col("received_at"), F.lit(1000).cast("bigint"))
+    w = Window.partitionBy("source_id").orderBy(second)
+    return messages.withColumn("n", F.rank().over(w)).where(F.col("n") <= most).drop("n")
 
 
 def flatten_parts(messages: DataFrame) -> DataFrame:
@@ -128,8 +145,9 @@ def flatten_parts(messages: DataFrame) -> DataFrame:
 def judge_parts(messages: DataFrame, config: MailboxConfig) -> DataFrame:
     """Parts with their verdict: ``take``, ``skip`` or ``abandon``.
 
-    A part of another type is skipped. The first part beyond the cap is skipped
-    and the parts after it are not looked at any more. The position among the
+    A part of another type is skipped. Without a cap every other part is taken; with one,
+    the first part beyond it is skipped and the parts after that are abandoned, which
+    their rows say. The position among the
     accepted parts is found inside the message's own part list, so no row of
     one message ever has to meet the rows of another.
     """
@@ -148,7 +166,7 @@ def judge_parts(messages: DataFrame, config: MailboxConfig) -> DataFrame:
     allowed_at = F.filter(
         F.transform("parts", lambda p, i: F.when(allowed(p), i)), lambda i: i.isNotNull()
     )
-    cut = F.get(allowed_at, F.lit(most))
+    cut = F.lit(None).cast("int") if most is None else F.get(allowed_at, F.lit(most))
     kept = [c for c in messages.columns if c not in ("parts", "headers")]
     rows = messages.withColumn("cut", cut).select(
         *kept, "cut", F.posexplode("parts").alias("part_no", "p")
@@ -216,30 +234,33 @@ def read_messages(spark: SparkSession, path: str, files_per_trigger: int = 100)
 
 def attachment_stream(
     messages: DataFrame, sources: DataFrame, workspaces: DataFrame, config: MailboxConfig,
-    lateness: str = "1 day",
 ) -> DataFrame:
-    """Stream of checked attachments of connected mailboxes, repeats in a burst removed.
+    """Stream of checked attachments of connected mailboxes.
 
     The join with the sources is stream-static and re-reads them per batch, so a
-    disconnected source drops out. State holds hashes only within the watermark;
-    repeats over all time are removed in ``ingest_batch`` against the stored keys.
+    disconnected source drops out. No state and no watermark: a message is taken
+    however late it comes, and ``ingest_batch`` removes repeats against the stored keys.
     """
     live = connected_mailboxes(sources, workspaces).select("source_id", "workspace_id")
     selected = select_messages(messages.join(live, "source_id"), config)
     checked = check_uploads(to_uploads(judge_parts(selected, config)))
-    return (
-        checked.where("reject_reason is null").drop("reject_reason")
-        .withColumn("event_time", F.timestamp_millis("received_at"))
-        .withWatermark("event_time", lateness)
-        .dropDuplicatesWithinWatermark(["workspace_id", "file_sha256"])
-    )
+    return checked.where("reject_reason is null").drop("reject_reason")
+
+
+STORED = (
+    "workspace_id string, file_sha256 string, id string, source_id string, external_id string, "
+    "sender string, subject string, received_at bigint, content_type string, file_size_bytes bigint, "
+    "status string, batch_id bigint, prefix string"
+)
 
 
 def ingest_batch(inbox_path: str) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` writer: append what the stored inbox does not hold.
 
     Every batch writes its own partition ``batch_id`` with overwrite, and reads
-    only partitions of other batches, so a repeated batch gives the same table.
+    only partitions of other batches, so a repeated batch gives the same table. Below
+    it rows lie by the first two digits of their hash, and only the digits that a batch
+    has are read.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -254,11 +275,12 @@ def ingest_batch(inbox_path: str) -> Callable[[DataFrame, int], None]:
         fresh = rows.groupBy(*key).agg(
             F.min_by(F.struct(*rest), F.struct("received_at", "external_id")).alias("f")
         ).select(*key, "f.*")
-        path = spark._jvm.org.apache.hadoop.fs.Path(inbox_path)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            stored = spark.read.parquet(inbox_path).where(F.col("batch_id") != batch_id)
-            fresh = fresh.join(stored.select(*key), key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{inbox_path}/batch_id={batch_id}")
+        fresh = fresh.withColumn("prefix", F.left("file_sha256", F.lit(2)))
+        prefixes = [r.prefix for r in fresh.select("prefix").distinct().collect()]  # 256 at most
+        stored = spark.read.schema(STORED).parquet(inbox_path)
+        stored = stored.where((F.col("batch_id") != batch_id) & F.col("prefix").isin(*prefixes))
+        fresh = fresh.join(stored.select(*key), key, "left_anti")
+        fresh.write.mode("overwrite").partitionBy("prefix").parquet(f"{inbox_path}/batch_id={batch_id}")
 
     return write
 
@@ -267,6 +289,8 @@ def start_ingest(
     attachments: DataFrame, inbox_path: str, checkpoint: str, once: bool = True
 ):
     """Run the ingest; ``once`` processes what is available and stops."""
+    empty = attachments.sparkSession.createDataFrame([], STORED)
+    empty.write.mode("append").partitionBy("batch_id", "prefix").parquet(inbox_path)
     writer = attachments.writeStream.foreachBatch(ingest_batch(inbox_path)).option(
         "checkpointLocation", checkpoint
     )

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallyvine.operators import ocr, rules
+from tallyvine.operators import ocr, rules, upkeep
 from tallyvine.operators.fields import extract_fields, field_diagnostics, header_wide
 from tallyvine.operators.items import extract_items, item_diagnostics
 from tallyvine.plans.extraction import batch_findings, document_report, extract_documents
@@ -121,13 +121,34 @@ def test_rules(spark):
     assert got["item_gross_worth_consistency", "item[2].gross_worth"] == ("fail", "324.2100", "400.00")
 
 
-def test_large_duplicate_groups_are_listed_row_by_row(spark):
-    rows = [(f"d{i}", i, "1", "2", "3") for i in range(6)] + [("e", 6, "9", "2", "3"), ("f", 7, None, "2", "3")]
+def test_amounts_are_exact_and_never_stop_the_job(spark):
+    big = "9" * 20
+    items = spark.createDataFrame(
+        [("d", 0, "x", "1000000", "0,00001", "10,00", "7 %", "10,70"), ("d", 1, "x", "1", "1,00", "99,123456", "0 %", "x"),
+         ("d", 2, "x", big, "1,00", f"{big},00", "5 %", "1"), ("d", 3, "x", big, big, "1", "7 %", "1"),
+         ("d", 4, "x", "-2", "1,5", "-3", "100 %", "-5,00")], ITEM)
+    got = {(r.rule_name[5:8], r.target[5]): r for r in rules.item_findings(items).collect()}
+    tell = lambda r: (r.outcome, r.expected, r.observed)
+    assert got["net", "0"].outcome == "pass" and got["gro", "0"].outcome == "pass"
+    assert tell(got["net", "1"]) == ("fail", "1.00", "99.123456")
+    assert got["net", "2"].outcome == "pass"
+    assert tell(got["gro", "2"]) == ("fail", "104999999999999999998.9500", "1")
+    assert got["net", "3"].outcome == "not_applicable" and got["net", "3"].reason == "amount beyond 38 digits"
+    assert tell(got["net", "4"]) == ("pass", None, None)
+    assert tell(got["gro", "4"]) == ("pass", None, None)
+    totals = spark.createDataFrame([("a", "99999999999999999,99"), ("a", "1,00"), ("b", "2,50")], "doc_id string, item_gross_worth string")
+    assert {r.doc_id: r.total_amount_minor for r in upkeep.invoice_totals(totals).collect()} == {"a": 100, "b": 250}
+
+
+def test_duplicate_groups_have_one_form_at_every_size(spark):
+    rows = [(f"d{i}", i, "1", "2", "3") for i in range(5000)] + [(f"p{i}", 6000 + i, "4", "2", "3") for i in range(2)]
+    rows += [("e", 7000, "9", "2", "3"), ("f", 7001, None, "2", "3")]
     header = spark.createDataFrame(rows, "doc_id string, batch_index int, invoice_no string, seller_tax_id string, invoice_date string")
-    small = {r.doc_id: r for r in rules.duplicate_findings(header).collect()}
-    large = {r.doc_id: r for r in rules.duplicate_findings(header, inline_members=3).collect()}
-    assert small["d1"].reason.endswith("batch index(es) [0, 2, 3, 4, 5]") and small["d1"].observed == "1 / 2 / 3"
-    assert {d: r.outcome for d, r in small.items()} == {d: r.outcome for d, r in large.items()}
-    assert "5 other record(s)" in large["d1"].reason
-    assert rules.duplicate_members(header).count() == 6
-    assert small["e"].outcome == "pass" and small["f"].outcome == "not_applicable"
+    got = {r.doc_id: r for r in rules.duplicate_findings(header).collect()}
+    text = "duplicate (invoice_no, seller_tax_id, invoice_date) with {} other record(s)"
+    assert all(got[f"d{i}"].reason == text.format(4999) and got[f"d{i}"].outcome == "fail" for i in range(5000))
+    assert got["p0"].reason == text.format(1) and got["p0"].observed == "4 / 2 / 3"
+    assert got["e"].outcome == "pass" and got["f"].outcome == "not_applicable"
+    assert rules.duplicate_members(header).count() == 5002
+    others = rules.other_members(header, spark.createDataFrame([("p0",), ("e",)], "doc_id string")).collect()
+    assert [(r.doc_id, r.other_index, r.other_doc_id) for r in others] == [("p0", 6001, "p1")]

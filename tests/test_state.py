@@ -4,10 +4,12 @@ import base64
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyvine.operators import audit
 from tallyvine.operators.dashboards import corpus_list
+from tallyvine.session import shared_folder
 from tallyvine.sources import csv_export, seed, store
 from tallyvine.sources.config import MailboxConfig
 from tallyvine.streaming import audit_stream, mailbox
@@ -94,10 +96,10 @@ def test_corpus_order(spark):
     assert [r.doc_id for r in corpus_list(docs, done).collect()] == ["c", "a", "b"]
 
 
-def message(source, number, ts, texts, subject="Invoice"):
+def message(source, number, ts, texts, subject="Invoice", folder=None):
     data = lambda t: base64.urlsafe_b64encode(b"%PDF-" + t.encode()).decode()
-    return {"source_id": source, "message_id": number, "received_at": ts,
-            "headers": [{"name": "Subject", "value": subject}, {"name": "From", "value": "a@b"}],
+    return {"source_id": source, "message_id": number, "received_at": ts, "folder": folder,
+            "headers": [{"value": "nameless"}, {"name": "Subject", "value": subject}, {"name": "From", "value": "a@b"}],
             "parts": [{"filename": f"f{i}.pdf", "mimeType": "application/pdf", "attachmentId": f"t{i}", "data": data(t)} for i, t in enumerate(texts)]}
 
 
@@ -123,6 +125,49 @@ def test_mailbox_stream_keeps_first_arrival_over_all_time(spark, tmp_path):
     assert {r.external_id for r in rows} == {"gmail:m1:t0", "gmail:m1:t1", "gmail:m4:t1"}
 
 
+def test_mailbox_stream_takes_messages_however_late(spark, tmp_path):
+    feed, inbox = tmp_path / "feed", str(tmp_path / "inbox")
+    feed.mkdir()
+    sources = spark.createDataFrame([(f"s{i}", f"w{i}", "gmail", "connected", None) for i in (1, 2)],
+                                    "id string, workspace_id string, kind string, status string, last_polled_at bigint")
+    shops = spark.createDataFrame([("w1", "u1"), ("w2", "u2")], "id string, owner_user_id string")
+    now, days = 1704067200000, 5 * 86_400_000
+    for name, m in (("1.json", message("s1", "m1", now, ["one"])), ("2.json", message("s2", "m2", now - days, ["two"])),
+                    ("3.json", message("s2", "m3", now, ["three"], folder="SPAM")), ("4.json", message("s2", "m4", now, ["two"]))):
+        (feed / name).write_text(json.dumps(m))
+        stream = mailbox.attachment_stream(mailbox.read_messages(spark, str(feed)), sources, shops, MailboxConfig())
+        mailbox.start_ingest(stream, inbox, str(tmp_path / "state")).awaitTermination()
+    assert {r.external_id for r in spark.read.parquet(inbox).collect()} == {"gmail:m1:t0", "gmail:m2:t0"}
+
+
+def test_capped_polls_read_everything_in_the_end(spark):
+    rows = [("s", f"m{i}", 1000 * (i // 3) + i % 3) for i in range(20)]
+    messages = spark.createDataFrame(rows, "source_id string, message_id string, received_at bigint")
+    sources = spark.createDataFrame([("s", "w", "connected", 1)], "id string, workspace_id string, status string, last_polled_at bigint")
+    config, seen = MailboxConfig(max_messages_per_poll=2), []
+    for _ in range(20):
+        new = mailbox.new_since_cursor(messages, sources, config, 10**6)
+        taken = mailbox.cap_messages(new, config)
+        seen += [r.message_id for r in taken.collect()]
+        sources = spark.createDataFrame(mailbox.advance_cursors(sources, new, 10**6, taken).collect(), sources.schema)
+    assert sorted(seen) == sorted(r[1] for r in rows)
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark):
+    class Conf:
+        get = staticmethod(lambda key, default=None: None)
+
+    class Context:
+        master = "local-cluster[3,2,3000]"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(ValueError):
+        shared_folder(Session)
+
+
 def test_throttle_stream_equals_batch(spark, tmp_path):
     events = sorted(sample_events(200), key=lambda e: e[2])
     feed = tmp_path / "events"

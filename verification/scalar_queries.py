@@ -302,14 +302,12 @@ def _(g):
     return R.item_findings(g.item).select(*COLUMNS)
 
 
-DUPLICATES = """dup_group AS (SELECT invoice_no, seller_tax_id, invoice_date, count(*) AS n,
-    list(batch_index ORDER BY batch_index) AS members FROM header
+DUPLICATES = """dup_group AS (SELECT invoice_no, seller_tax_id, invoice_date, count(*) AS n FROM header
     WHERE invoice_no IS NOT NULL AND seller_tax_id IS NOT NULL AND invoice_date IS NOT NULL GROUP BY 1, 2, 3),
 dup AS (SELECT doc_id, 'batch_duplicate' AS rule_name, 'record' AS target,
     CASE WHEN n IS NULL THEN 'not_applicable' WHEN n > 1 THEN 'fail' ELSE 'pass' END AS outcome,
     CASE WHEN n IS NULL THEN 'missing invoice_no / seller_tax_id / invoice_date' WHEN n > 1 THEN
-      'duplicate (invoice_no, seller_tax_id, invoice_date) with batch index(es) [' ||
-      array_to_string(list_filter(members, lambda x: x <> batch_index), ', ') || ']' END AS reason,
+      'duplicate (invoice_no, seller_tax_id, invoice_date) with ' || (n - 1) || ' other record(s)' END AS reason,
     cast(NULL as varchar) AS expected,
     CASE WHEN n > 1 THEN h.invoice_no || ' / ' || h.seller_tax_id || ' / ' || h.invoice_date END AS observed
   FROM header h LEFT JOIN dup_group d USING (invoice_no, seller_tax_id, invoice_date))"""

@@ -236,14 +236,12 @@ def _(g):
 @query(
     "u11_requeue_pending",
     f"""SELECT workspace_id, id, invoice_id, status FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id
-      ORDER BY received_at DESC, invoice_id) AS rank FROM ({INBOX})) WHERE rank <= 500 AND status IN ('queued', 'failed')""",
+      ORDER BY received_at DESC, invoice_id) AS rank FROM ({INBOX})) WHERE status IN ('queued', 'failed')""",
     INBOX_VIEWS,
 )
 def _(g):
-    # The window of the newest 500 listed rows per tenant is the operator's own rule.
     listed = D.inbox_list(g.inbox_messages, g.sources, g.invoices)
-    page = D.page_per_tenant(listed, "workspace_id", "received_at", "invoice_id", U.REQUEUE_WINDOW)
-    return U.requeue_pending(page).select("workspace_id", "id", "invoice_id", "status")
+    return U.requeue_pending(listed).select("workspace_id", "id", "invoice_id", "status")
 
 
 @query(
