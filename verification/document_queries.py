@@ -289,8 +289,8 @@ _pattern_query("f11_iban_bare", P.IBAN_BARE, upper=True)
 
 ANCHORS = ", ".join(f"arg_min(y0, line_no) FILTER (WHERE is_{k}) AS {k}_y" for k in X.ANCHOR_KEYS)
 LAYOUT = f"""{label_ctes()},
-flagged AS (SELECT *, {FLAGS} FROM ocr_line),
-anchor AS (SELECT doc_id, {ANCHORS}, max(page_width) AS page_width, max(page_height) AS page_height
+flagged AS MATERIALIZED (SELECT *, {FLAGS} FROM ocr_line),
+anchor AS MATERIALIZED (SELECT doc_id, {ANCHORS}, max(page_width) AS page_width, max(page_height) AS page_height
   FROM flagged GROUP BY 1),
 centre AS (SELECT f.doc_id,
     arg_max((x0 + x1) / 2, line_no) FILTER (WHERE is_seller AND y0 = seller_y) AS s_cx,
@@ -461,21 +461,21 @@ def value_lines(fields, lines):
 # --- line items -----------------------------------------------------------------------
 
 ITEMS = rf"""{label_ctes()},
-flagged AS (SELECT *, {FLAGS} FROM ocr_line),
-anchor AS (SELECT doc_id, {ANCHORS}, max(page_width) AS page_width, max(page_height) AS page_height
+flagged AS MATERIALIZED (SELECT *, {FLAGS} FROM ocr_line),
+anchor AS MATERIALIZED (SELECT doc_id, {ANCHORS}, max(page_width) AS page_width, max(page_height) AS page_height
   FROM flagged GROUP BY 1),
-region AS (SELECT doc_id, items_start_y AS region_top, coalesce(summary_start_y, page_height) AS region_bottom,
+region AS MATERIALIZED (SELECT doc_id, items_start_y AS region_top, coalesce(summary_start_y, page_height) AS region_bottom,
   page_width FROM anchor WHERE items_start_y IS NOT NULL),
-inside AS (SELECT l.*, region_top, region_bottom FROM ocr_line l JOIN region r USING (doc_id)
+inside AS MATERIALIZED (SELECT l.*, region_top, region_bottom FROM ocr_line l JOIN region r USING (doc_id)
   WHERE y0 > region_top AND y0 < region_bottom),
-numbers AS (SELECT doc_id, line_no AS anchor_line_no, x1 AS anchor_x1, y0 AS anchor_y0,
+numbers AS MATERIALIZED (SELECT doc_id, line_no AS anchor_line_no, x1 AS anchor_x1, y0 AS anchor_y0,
     greatest(4.0, greatest(1.0, y1 - y0) * 0.4) AS tol, region_bottom, page_width
   FROM inside WHERE regexp_matches(text, '{P.ITEM_NUMBER}')),
-item_anchor AS (SELECT doc_id, anchor_line_no,
+item_anchor AS MATERIALIZED (SELECT doc_id, anchor_line_no,
     cast(row_number() OVER w as int) - 1 AS item_index, anchor_x1, anchor_y0, anchor_y0 - tol AS band_top,
     anchor_y0 + tol AS band_bottom, coalesce(lead(anchor_y0 - tol) OVER w, region_bottom) AS limit_y, page_width
   FROM numbers WINDOW w AS (PARTITION BY doc_id ORDER BY anchor_y0, anchor_line_no)),
-band AS (SELECT a.doc_id, item_index, line_no, trim(text) AS text, x0, anchor_x1,
+band AS MATERIALIZED (SELECT a.doc_id, item_index, line_no, trim(text) AS text, x0, anchor_x1,
     CASE WHEN regexp_matches(trim(text), '{P.DECIMAL_COMMA}') THEN 'decimal'
       WHEN regexp_matches(trim(text), '{P.VAT_PERCENT}') THEN 'vat'
       WHEN regexp_matches(trim(text), '{P.UNIT_OF_MEASURE}') THEN 'unit'
@@ -489,7 +489,7 @@ vals AS (SELECT doc_id, item_index,
     list(text ORDER BY x0, line_no) FILTER (WHERE kind = 'text') AS words,
     min(x0) FILTER (WHERE kind = 'text') AS word_x
   FROM band GROUP BY 1, 2),
-cols AS (SELECT a.*, decimals, vat, words[1] AS line_one, coalesce(word_x, anchor_x1 + 10) AS desc_left,
+cols AS MATERIALIZED (SELECT a.*, decimals, vat, words[1] AS line_one, coalesce(word_x, anchor_x1 + 10) AS desc_left,
     coalesce(first_x - 10, page_width / 3.0) AS desc_right
   FROM item_anchor a LEFT JOIN vals v USING (doc_id, item_index)),
 below AS (SELECT c.doc_id, c.item_index, line_no, trim(text) AS text FROM cols c JOIN inside l
