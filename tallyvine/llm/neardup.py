@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyvine.llm.common import broadcast_if_few, components, staged, words
 
-#: Words in a shingle; a link needs ``100 * both >= PERCENT * either``.
+#: Words in a shingle; a link needs ``100 * both >= percent * either``.
 SHINGLE, PERCENT = 5, 85
 #: Minhashes of a document, independent trees, and levels of a tree.
 HASHES, TREES, LEVELS = 128, 16, 5
@@ -20,14 +20,21 @@ HASHES, TREES, LEVELS = 128, 16, 5
 SECOND = 18
 #: Nodes of up to so many documents are compared exhaustively.
 SMALL = 24
-#: Sketch bits (one of each of 2 * HASHES tokens) and how many may differ: 5 standard deviations above what 0.85 gives.
-BITS = 2 * HASHES
-_expected = (1 - PERCENT / 100) / 2
-MOST_DIFFERENT = int(BITS * _expected + 5 * (BITS * _expected * (1 - _expected)) ** 0.5) + 1
+#: A sketch has 4 bits of every minhash. How many minhashes may differ in it: 4.5 standard
+#: deviations more than the least similarity gives, so a link is passed over in 3 of a million cases.
+NIBBLES = HASHES // 16
+
+
+def _most_different(percent: int) -> int:
+    expected = (1 - percent / 100) * 15 / 16
+    return int(HASHES * expected + 4.5 * (HASHES * expected * (1 - expected)) ** 0.5) + 1
+
 
 _rng = np.random.default_rng(5)
-_MULTIPLY = _rng.integers(0, 1 << 63, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 1 << 63, BITS, dtype=np.uint64)
+_MULTIPLY = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+_PLACES = _rng.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 _LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _FULL = "array<bigint>"
@@ -43,23 +50,42 @@ def shingles(text: Column) -> Column:
     return F.element_at(F.transform(F.array(words(F.translate(text, *_LOWER))), of), 1)
 
 
+def word_hashes(text: Column) -> Column:
+    return F.transform(words(F.translate(text, *_LOWER)), lambda w: F.xxhash64(w))
+
+
+def shingle_set(w: np.ndarray) -> np.ndarray:
+    """Hashes of the distinct shingles, from the hashes of the words."""
+    w = w.astype(np.int64).view(np.uint64)
+    if len(w) >= SHINGLE:
+        n = len(w) - SHINGLE + 1
+        mixed = sum((w[k : k + n] * _PLACES[k] for k in range(SHINGLE)), np.zeros(n, dtype=np.uint64))
+    elif len(w):
+        mixed = np.asarray([(w * _PLACES[: len(w)]).sum(dtype=np.uint64) + np.uint64(len(w))])
+    else:
+        return w
+    mixed ^= mixed >> np.uint64(31)
+    mixed *= _GOLDEN
+    return np.unique(mixed ^ (mixed >> np.uint64(29)))
+
+
 def sketch(hashes: np.ndarray) -> tuple[int, bytes, list[int] | None, list[int] | None]:
-    """``(distinct shingles, key of the set, minhashes, sketch words)``."""
-    s = np.unique(hashes.astype(np.int64).view(np.uint64))
+    """``(distinct shingles, key of the set, minhashes of 16 bits, sketch words)`` from word hashes."""
+    s = shingle_set(hashes)
     key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
     if not len(s):
         return 0, key, None, None
-    low = np.full(BITS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    low = np.full(HASHES, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(s), 4096):  # bounds the matrix for very long texts
         part = s[at : at + 4096]
-        mixed = part ^ (part >> np.uint64(31))
-        for i in range(0, BITS, 32):
-            m = mixed[:, None] * _MULTIPLY[i : i + 32] + _ADD[i : i + 32]
+        for i in range(0, HASHES, 32):
+            m = part[:, None] * _MULTIPLY[i : i + 32] + _ADD[i : i + 32]
             m ^= m >> np.uint64(29)
             np.minimum(low[i : i + 32], m.min(axis=0), out=low[i : i + 32])
-    low = low * np.uint64(0x9E3779B97F4A7C15)
-    bits = np.packbits(((low >> np.uint64(63)) & np.uint64(1)).astype(np.uint8)).view(np.int64)
-    return len(s), key, (low[:HASHES] >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist(), bits.tolist()
+    low *= _GOLDEN
+    nibbles = (low >> np.uint64(60)).astype(np.uint8)
+    bits = ((nibbles[0::2] << 4) | nibbles[1::2]).view(np.int64)
+    return len(s), key, ((low >> np.uint64(40)) & np.uint64(0xFFFF)).astype(np.int32).tolist(), bits.tolist()
 
 
 def _prepared(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
@@ -71,9 +97,10 @@ def _prepared(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
             yield pd.DataFrame([sketch(np.asarray(h)) for h in part], columns=["n_shingles", "set_key", "minhashes", "bits"])
 
     others = [c for c in keep if c not in ("doc_id", "text")]
-    rows = docs.select("doc_id", "text", *others, F.monotonically_increasing_id().alias("row"))
-    marked = rows.select("row", "doc_id", "text", *others, sketched(shingles(F.col("text"))).alias("s"))
-    return staged(marked.select("row", "doc_id", "text", *others, "s.n_shingles", "s.set_key", "s.minhashes", "s.bits"), "near-docs")
+    rows = docs.select("doc_id", "text", *others, word_hashes(F.col("text")).alias("hashes"), F.monotonically_increasing_id().alias("row"))
+    # Used twice, the hashes are a column of their own when the sketch is taken.
+    marked = rows.select("row", "doc_id", "text", *others, F.size("hashes").alias("n_places"), sketched("hashes").alias("s"))
+    return staged(marked.select("row", "doc_id", "text", *others, "n_places", "s.n_shingles", "s.set_key", "s.minhashes", "s.bits"), "near-docs")
 
 
 def _coordinates(node: Column) -> Column:
@@ -86,7 +113,7 @@ def _child(node: Column, coordinate: Column, minhashes: Column) -> Column:
     return F.xxhash64(node, coordinate, F.get(minhashes, coordinate))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs(a, b)`` whose full shingle sets are similar enough.
 
     Texts, not sets, are moved: they compress, hashes do not.
@@ -96,28 +123,40 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     sets = both.select("a", "b", F.array_distinct(shingles(F.col("ta"))).alias("sa"), F.array_distinct(shingles(F.col("tb"))).alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
     return sets.select("a", "b", shared.alias("both"), (F.size("sa") + F.size("sb") - shared).alias("either")).where(
-        100 * F.col("both") >= PERCENT * F.col("either")
+        100 * F.col("both") >= percent * F.col("either")
     ).select("a", "b")
 
 
 def _differ(x: Column, y: Column) -> Column:
-    return sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+    """How many minhashes differ in two sketches."""
+    out = F.lit(0)
+    for i in range(NIBBLES):
+        d = F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))
+        for s in (1, 2):
+            d = d.bitwiseOR(F.shiftrightunsigned(d, s))
+        out = out + F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
+    return out
+
 
+def _may_link(n: Column, m: Column, x: Column, y: Column, percent: int) -> Column:
+    """By the sizes of two sets, which is certain, then by their sketches."""
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (_differ(x, y) <= _most_different(percent))
 
-def _pairs_within(nodes: DataFrame, by: list[str]) -> DataFrame:
+
+def _pairs_within(nodes: DataFrame, by: list[str], percent: int) -> DataFrame:
     """Pairs of rows of one node that may be similar and are not known to be linked; nodes are small here."""
-    members = nodes.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("row", "group", "bits", "side"))).alias("m"))
+    members = nodes.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("row", "group", "bits", "n_shingles", "side"))).alias("m"))
     likely = lambda x: lambda y: (
-        (y["row"] > x["row"]) & (y["group"] != x["group"]) & ((x["side"] != y["side"]) | (x["side"] == 0)) & (_differ(x["bits"], y["bits"]) <= MOST_DIFFERENT)
+        (y["row"] > x["row"]) & (y["group"] != x["group"]) & ((x["side"] != y["side"]) | (x["side"] == 0)) & _may_link(x["n_shingles"], y["n_shingles"], x["bits"], y["bits"], percent)
     )
     pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", likely(x)), lambda y: F.struct(x["row"].alias("a"), y["row"].alias("b")))))
     return members.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
 
 
-def _candidates(sets: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _candidates(sets: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """``(links, pairs)``: confirmed links to pivots of large nodes, and pairs from small ones still to be confirmed.
 
-    One level at a time, all trees together. Rows that a pivot's link has put into one
+    One level at a time, all trees together. Rows that pivots' links have put into one
     group need no further comparison with each other; a node of one group is done. A
     large node of several groups gets a pivot, then branches. What is still large after
     the last level is compared in blocks, every block with every other.
@@ -126,7 +165,7 @@ def _candidates(sets: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame
     first = sets.select("row", "minhashes", F.explode(roots).alias("root")).select("row", "minhashes", "root", F.explode(_coordinates(F.col("root"))).alias("c"))
     level = first.select(_child(F.col("root"), F.col("c"), F.col("minhashes")).alias("node"), "row", F.col("row").alias("group"))
     links, pairs = [], []
-    sketches = sets.select("row", "bits")
+    sketches = sets.select("row", "bits", "n_shingles")
     for depth in range(LEVELS):
         level = level.distinct() if depth else level
         sizes = level.groupBy("node").agg(
@@ -135,22 +174,25 @@ def _candidates(sets: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame
         ).where("n > 1 and g0 <> g1").select("node", "n", F.col("pivot.row").alias("pivot"), F.col("pivot.group").alias("pivot_group"))
         alive = staged(level.join(sizes, "node"), f"near-level{depth}")
         small = alive.where(F.col("n") <= SMALL).join(sketches, "row").withColumn("side", F.lit(0))
-        pairs.append(staged(_pairs_within(small, ["node"]).distinct(), f"near-pairs{depth}"))
+        pairs.append(staged(_pairs_within(small, ["node"], percent).distinct(), f"near-pairs{depth}"))
         large = alive.where(F.col("n") > SMALL)
         if large.isEmpty():
             break
         to_pivot = large.where("row <> pivot and group = row").select(F.col("row").alias("a"), F.col("pivot").alias("b")).distinct()
-        near = to_pivot.join(sketches.select(F.col("row").alias("a"), F.col("bits").alias("x")), "a").join(
-            sketches.select(F.col("row").alias("b"), F.col("bits").alias("y")), "b"
-        ).where(_differ(F.col("x"), F.col("y")) <= MOST_DIFFERENT).select("a", "b")
-        star = staged(_verified(near, texts), f"near-star{depth}")
+        near = to_pivot.join(sketches.select(F.col("row").alias("a"), F.col("bits").alias("x"), F.col("n_shingles").alias("n")), "a").join(
+            sketches.select(F.col("row").alias("b"), F.col("bits").alias("y"), F.col("n_shingles").alias("m")), "b"
+        ).where(_may_link(F.col("n"), F.col("m"), F.col("x"), F.col("y"), percent)).select("a", "b")
+        star = staged(_verified(near, texts, percent), f"near-star{depth}")
         links.append(star)
         found = star.select(F.col("a").alias("row"), F.col("b").alias("pivot"), F.lit(True).alias("linked"))
         grouped = large.join(found, ["row", "pivot"], "left").select(
             "node", "row", F.when(F.col("linked"), F.col("pivot_group")).otherwise(F.col("group")).alias("group")
         )
+        if depth:  # other nodes' pivots may have joined the groups of this one
+            roots = staged(components(_all(links, sets.sparkSession), "near-cc"), f"near-groups{depth}")
+            grouped = _regrouped(grouped, roots)
         if depth + 1 == LEVELS:
-            pairs.append(_blockwise(staged(grouped, "near-rest"), sketches))
+            pairs.append(_blockwise(staged(grouped, "near-rest"), sketches, percent))
             break
         mixed = grouped.groupBy("node").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 <> g1").select("node")
         kept = grouped.join(mixed, "node").join(sets.select("row", "minhashes"), "row")
@@ -160,6 +202,11 @@ def _candidates(sets: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame
     return union(links), union(pairs).distinct()
 
 
+def _regrouped(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    known = roots.select(F.col("node").alias("row"), "root")
+    return rows.join(known, "row", "left").select("node", "row", F.coalesce("root", "row").alias("group"))
+
+
 def _all(parts: list[DataFrame], spark) -> DataFrame:
     out = parts[0] if parts else spark.createDataFrame([], "a long, b long")
     for p in parts[1:]:
@@ -167,26 +214,22 @@ def _all(parts: list[DataFrame], spark) -> DataFrame:
     return out
 
 
-def _blockwise(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+def _blockwise(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """All pairs of several groups in nodes that no level could make small: blocks against blocks."""
     sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 <> g1")
     blocks = F.ceil(F.col("n") / SMALL).cast("int")
     own = rows.join(sizes.select("node", blocks.alias("k")), "node").join(sketches, "row").withColumn("block", F.pmod(F.xxhash64("row", F.lit(9)), F.col("k")).cast("int"))
     meets = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
-    dealt = meets.select("node", "row", "group", "bits", side.alias("side"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return staged(_pairs_within(dealt, ["node", "i", "j"]).distinct(), "near-blocks")
-
-
-def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    return rows.join(roots, F.col("row") == F.col("node"), "left").select("row", F.coalesce("root", "row").alias("root"))
+    dealt = meets.select("node", "row", "group", "bits", "n_shingles", side.alias("side"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return staged(_pairs_within(dealt, ["node", "i", "j"], percent).distinct(), "near-blocks")
 
 
-def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = (), percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept, first`` (and ``keep``) of every row of ``docs(doc_id, text)``.
 
     Documents are linked if their sets of distinct 5-word shingles (A-Z lower-cased) have
-    ``100 * intersection >= 85 * union``. Equal sets are found by their hash and join as
+    ``100 * intersection >= percent * union``. Equal sets are found by their hash and join as
     one; all other links are searched by chosen paths and confirmed on full sets.
     Within a group only the links that join it are confirmed, not all pairs.
 
@@ -198,18 +241,18 @@ def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     rows = _prepared(docs, keep)
     filled = rows.where("n_shingles > 0")
     by_key = staged(filled.groupBy("set_key").agg(F.min("row").alias("rep"), F.count("*").alias("n")), "near-keys")
-    sets = filled.select("row", "minhashes", "bits").join(broadcast_if_few(by_key.select(F.col("rep").alias("row"))), "row", "left_semi")
+    sets = filled.select("row", "minhashes", "bits", "n_shingles").join(broadcast_if_few(by_key.select(F.col("rep").alias("row"))), "row", "left_semi")
     sets = staged(sets, "near-sets")
     texts = rows.select("row", "text")
-    links, pairs = _candidates(sets, texts)
+    links, pairs = _candidates(sets, texts, percent)
     pairs, links = staged(pairs, "near-pairs"), staged(links, "near-links")
     # First every document with its smallest likely partner, then what that leaves in different components.
     nearest = pairs.groupBy(F.col("b").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
-    links = staged(links.unionByName(_verified(nearest, texts)), "near-links")
+    links = staged(links.unionByName(_verified(nearest, texts, percent)), "near-links")
     roots = staged(components(links, "near-cc"), "near-roots")
     mark = lambda df, c: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left")
     open_ = mark(mark(pairs, "a"), "b").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
-    links = links.unionByName(staged(_verified(open_, texts), "near-links"))
+    links = links.unionByName(staged(_verified(open_, texts, percent), "near-links"))
     roots = staged(components(links, "near-cc"), "near-roots")
     keyed = by_key.join(roots, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("root", "rep").alias("root"))
     slim = rows.select("row", "doc_id", "n_shingles", "set_key")
@@ -228,6 +271,6 @@ def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return out.drop("row")
 
 
-def deduplicated(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text", "lang", "source", "n_chars")) -> DataFrame:
+def deduplicated(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text", "lang", "source", "n_chars"), percent: int = PERCENT) -> DataFrame:
     """One row of every group of near-duplicates, with the given columns."""
-    return near_duplicates(docs, columns).where("first").select(*columns)
+    return near_duplicates(docs, columns, percent).where("first").select(*columns)

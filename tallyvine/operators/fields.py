@@ -118,50 +118,49 @@ def _explode_candidates(df: DataFrame, options: list[Column]) -> DataFrame:
     return df.select("doc_id", F.inline(kept))
 
 
-def anchored_candidates(lines: DataFrame) -> DataFrame:
-    """Values found by a pattern anywhere on the page."""
-    text = F.col("text")
-    sure, bare = CONFIDENCE["anchored"], CONFIDENCE["bare"]
-    options = [
-        _candidate("invoice_no", P.find(text, P.INVOICE_NO), 0, sure, "invoice_no anchor"),
-        _candidate("invoice_date", P.find(text, P.DATE_ANCHORED), 0, sure, "date anchored"),
-        _candidate("iban", F.upper(P.find(text, P.IBAN_ANCHORED)), 0, sure, "IBAN anchored"),
-        _candidate("iban", F.upper(P.find(text, P.IBAN_BARE)), 1, bare, "IBAN bare"),
-    ]
-    return _explode_candidates(lines.select("doc_id", "line_no", "text"), options)
-
-
-def following_candidates(lines: DataFrame) -> DataFrame:
-    """Bare numbers and dates on the line after a line with the matching label.
-
-    Both sides are thinned out before they meet: bare values on one, lines that
-    may contain a label on the other. They meet on document and line number, so
-    a very long document spreads over many tasks; the exact fuzzy test runs on
-    the pairs only.
+def line_candidates(lines: DataFrame) -> DataFrame:
+    """Values found by a pattern on a line, and bare ones on the line after a fitting label.
+
+    One pass over the lines. A line counts for itself (its pattern values, and its text
+    where it may be a label) and, with its bare number and date, for the line before.
+    What is left of a document is a few rows; the two kinds meet in an aggregate on
+    document and line number, so a very long document spreads over many tasks. The
+    exact fuzzy test runs on the pairs only.
     """
     text = F.col("text")
-    bare = lines.select(
-        "doc_id",
+    own = F.struct(
+        F.col("line_no").alias("line_no"),
+        P.find(text, P.INVOICE_NO).alias("invoice_no"), P.find(text, P.DATE_ANCHORED).alias("invoice_date"),
+        F.upper(P.find(text, P.IBAN_ANCHORED)).alias("iban"), F.upper(P.find(text, P.IBAN_BARE)).alias("iban_bare"),
+        F.when(may_contain_label(text, "invoice_no") | may_contain_label(text, "date"), text).alias("text"),
+        F.lit(None).cast("string").alias("number"), F.lit(None).cast("string").alias("date"),
+    )
+    names = ("invoice_no", "invoice_date", "iban", "iban_bare", "text", "number", "date")
+    before = F.struct(
         (F.col("line_no") - 1).alias("line_no"),
-        P.find(text, P.INVOICE_NO_BARE).alias("number"),
-        P.find(text, P.DATE_BARE).alias("date"),
-    ).where("number is not null or date is not null")
-    labels = lines.select("doc_id", "line_no", "text").where(
-        may_contain_label(text, "invoice_no") | may_contain_label(text, "date")
+        *[F.lit(None).cast("string").alias(n) for n in names[:5]],
+        P.find(text, P.INVOICE_NO_BARE).alias("number"), P.find(text, P.DATE_BARE).alias("date"),
     )
-    pairs = labels.join(bare, ["doc_id", "line_no"])
+    some = lambda s: F.coalesce(*[s[n] for n in names]).isNotNull()
+    found = lines.select("doc_id", F.inline(F.filter(F.array(own, before), some)))
+    met = found.groupBy("doc_id", "line_no").agg(*[F.max(n).alias(n) for n in names])
+    sure, bare = CONFIDENCE["anchored"], CONFIDENCE["bare"]
     number, date = F.col("number"), F.col("date")
     options = [
+        _candidate("invoice_no", F.col("invoice_no"), 0, sure, "invoice_no anchor"),
+        _candidate("invoice_date", F.col("invoice_date"), 0, sure, "date anchored"),
+        _candidate("iban", F.col("iban"), 0, sure, "IBAN anchored"),
+        _candidate("iban", F.col("iban_bare"), 1, bare, "IBAN bare"),
         _candidate(
             "invoice_no", F.when(number.isNotNull() & contains_label(text, "invoice_no"), number),
-            1, CONFIDENCE["bare"], "invoice_no bare (following anchor)",
+            1, bare, "invoice_no bare (following anchor)",
         ),
         _candidate(
             "invoice_date", F.when(date.isNotNull() & contains_label(text, "date"), date),
-            1, CONFIDENCE["bare"], "date bare (following anchor)",
+            1, bare, "date bare (following anchor)",
         ),
     ]
-    return _explode_candidates(pairs, options)
+    return _explode_candidates(met, options)
 
 
 def is_tax_id_line(text: Column) -> Column:
@@ -262,23 +261,21 @@ def assemble_fields(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(*best).select("doc_id", F.inline(full))
 
 
-def extract_fields(lines: DataFrame) -> DataFrame:
-    """All header fields of all documents."""
-    labelled = label_lines(lines)
-    layout = choose_split(find_anchors(labelled))
+def document_layout(lines: DataFrame) -> DataFrame:
+    """One row per document: anchors of its labels, page size, split of the columns."""
+    return choose_split(find_anchors(label_lines(lines)))
+
+
+def extract_fields(lines: DataFrame, layout: DataFrame | None = None) -> DataFrame:
+    """All header fields of all documents; ``layout`` where it is already there."""
+    layout = document_layout(lines) if layout is None else layout
     parties = party_values(party_lines(lines, layout))
-    candidates = (
-        anchored_candidates(lines)
-        .unionByName(following_candidates(lines))
-        .unionByName(party_candidates(parties))
-    )
-    return assemble_fields(layout, candidates)
+    return assemble_fields(layout, line_candidates(lines).unionByName(party_candidates(parties)))
 
 
 def field_diagnostics(lines: DataFrame) -> DataFrame:
     """One row per document: split, anchors, line counts of the two columns."""
-    labelled = label_lines(lines)
-    layout = choose_split(find_anchors(labelled))
+    layout = document_layout(lines)
     counts = party_lines(lines, layout).where("text is not null").groupBy("doc_id").agg(
         F.count_if(F.col("side") == "left").alias("left_count"),
         F.count_if(F.col("side") == "right").alias("right_count"),

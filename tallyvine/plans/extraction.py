@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyvine.operators.fields import extract_fields, header_wide
+from tallyvine.operators.fields import document_layout, extract_fields, header_wide
 from tallyvine.operators.items import extract_items
 from tallyvine.operators.rules import outcome_summary, validate, validate_batch
 from tallyvine.operators.upkeep import invoice_totals, project_fields
@@ -21,15 +21,16 @@ class Extraction:
     findings: DataFrame
 
 
-def extract_documents(lines: DataFrame, keep: bool = False) -> Extraction:
+def extract_documents(lines: DataFrame) -> Extraction:
     """Fields, items and single-document findings of all documents.
 
-    ``keep`` writes fields and items to the shared folder first. Use it when
-    more than one result is read: the findings depend on both.
+    Labels are scored once, into a layout of one row per document. Layout, fields and
+    items are written to the shared folder, so the lines are read five times in all,
+    however many results are taken from the extraction.
     """
-    fields, items = extract_fields(lines), extract_items(lines)
-    if keep:
-        fields, items = materialise(fields, "fields"), materialise(items, "items")
+    layout = materialise(document_layout(lines), "layout")
+    fields = materialise(extract_fields(lines, layout), "fields")
+    items = materialise(extract_items(lines, layout), "items")
     return Extraction(fields, items, validate(header_wide(fields), items))
 
 

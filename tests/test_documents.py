@@ -77,7 +77,7 @@ def test_line_items(spark):
 
 def test_whole_extraction(spark):
     lines = page(spark, {"a": HEADER + [(t, x0, y0 + 300, x1, y1 + 300) for t, x0, y0, x1, y1 in ONE[1:]]}, 900, 1500)
-    result = extract_documents(lines, keep=True)
+    result = extract_documents(lines)
     report = document_report(result).collect()
     assert len(report) == 1 and report[0].total_amount_minor == 97812 and report[0].item_count == 1
     # The sample IBAN is not valid; everything else passes.

@@ -353,7 +353,7 @@ QUALIFY row_number() OVER (PARTITION BY doc_id, name ORDER BY tier, line_no) = 1
 
 
 def page_candidates(g):
-    return X.anchored_candidates(g.ocr_line).unionByName(X.following_candidates(g.ocr_line))
+    return X.line_candidates(g.ocr_line)
 
 
 for _name, _field in (("x04_invoice_no", "invoice_no"), ("x05_invoice_date", "invoice_date"), ("x06_iban", "iban")):
@@ -549,7 +549,7 @@ def _(g):
 
 def described(g):
     a = anchors(g)
-    return I.with_description_column(a, I.item_parts(I.classify(I.item_lines(g.ocr_line, a))))
+    return I.item_details(g.ocr_line, a)
 
 
 @query("t07_continuation_lines", "SELECT * FROM below", OL, ITEMS)
