@@ -233,11 +233,10 @@ def replace_findings(table: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def upsert_runs(table: DataFrame, fresh: DataFrame) -> DataFrame:
-    """One run per (invoice, version), the newest; other versions stay."""
-    both = table.unionByName(fresh)
-    return latest_per_key(both, ["invoice_id", "pipeline_version"], ["created_at", "id"]).select(
-        *table.columns
-    )
+    """One run per (invoice, version): the fresh one where there is one, however old its time; other versions stay."""
+    key = ["invoice_id", "pipeline_version"]
+    newest = lambda runs: latest_per_key(runs, key, ["created_at", "id"]).select(*table.columns)
+    return newest(table).join(fresh.select(*key).distinct(), key, "left_anti").select(*table.columns).unionByName(newest(fresh))
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:

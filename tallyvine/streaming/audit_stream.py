@@ -26,24 +26,18 @@ def hourly_rollup(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
 
 
 def throttle_stream(events: DataFrame, capacity: int, per_seconds: int) -> DataFrame:
-    """Token-bucket verdicts on a stream ``(key, event_id, ts)``.
+    """Token-bucket verdicts on a stream ``(key, event_id, ts)``; every event gets one.
 
-    The bucket of a key is its state: tokens and the time of the last event. It is
-    dropped when the watermark shows that it must be full again, so state stays
-    bounded by the keys active in that time. Events of one batch are put in time
+    The bucket of a key is its state: tokens and the time of the last event, two numbers
+    a key. There is no watermark, which would drop late events, and so no timeout: state
+    grows with the number of keys, not of events. Events of one batch are put in time
     order; an event older than the bucket refills nothing.
     """
     rate = capacity / float(per_seconds)
-    timed = events.withColumn("event_time", F.timestamp_millis("ts")).withWatermark(
-        "event_time", f"{per_seconds} seconds"
-    )
 
     def walk(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         tokens, last = state.get if state.exists else (float(capacity), None)
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         allowed, retry = [], []
@@ -57,14 +51,12 @@ def throttle_stream(events: DataFrame, capacity: int, per_seconds: int) -> DataF
             if ok:
                 tokens -= 1.0
         state.update((tokens, last))
-        due = max(last + per_seconds * 1000, state.getCurrentWatermarkMs() + 1)
-        state.setTimeoutTimestamp(due)
         yield pd.DataFrame({
             "key": key[0], "event_id": rows["event_id"], "ts": rows["ts"],
             "allowed": allowed, "retry_after": pd.array(retry, dtype="Int64"),
         })
 
-    return timed.groupBy("key").applyInPandasWithState(
+    return events.groupBy("key").applyInPandasWithState(
         walk, THROTTLE_SCHEMA, "tokens double, last bigint", "append",
-        GroupStateTimeout.EventTimeTimeout,
+        GroupStateTimeout.NoTimeout,
     )

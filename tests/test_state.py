@@ -180,3 +180,15 @@ def test_throttle_stream_equals_batch(spark, tmp_path):
     job.awaitTermination()
     got = {r.event_id: (r.allowed, r.retry_after) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == throttle_loop(events, 3, 10)
+
+
+def test_throttle_stream_gives_late_events_a_verdict(spark, tmp_path):
+    feed, state, out = tmp_path / "events", str(tmp_path / "state"), str(tmp_path / "out")
+    schema = "key string, event_id bigint, ts bigint"
+    for rows in ([("a", 1, 1_000_000)], [("b", 2, 9_000_000)], [("a", 3, 900_000), ("a", 4, 1_000_500)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(feed))
+        verdicts = audit_stream.throttle_stream(spark.readStream.schema(schema).parquet(str(feed)), 2, 10)
+        (verdicts.writeStream.format("parquet").outputMode("append").option("path", out)
+         .option("checkpointLocation", state).trigger(availableNow=True).start()).awaitTermination()
+    got = {r.event_id: r.allowed for r in spark.read.parquet(out).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: False}

@@ -401,15 +401,15 @@ def _inbox_messages(d):
     """Stored messages: one per document whose id is a customer's key."""
     return f"""
     SELECT concat('msg-', cast(doc_id as string)) AS id,
-      concat('ws-', cast(c_nationkey as string)) AS workspace_id,
+      concat('ws-', cast(coalesce(c_nationkey, doc_id % 25) as string)) AS workspace_id,
       case when lang = 'es' then null
-           when lang = 'en' then concat('src-', cast(c_nationkey as string), '-gmail')
-           else concat('src-', cast(c_nationkey as string), '-folder') end AS source_id,
+           when lang = 'en' then concat('src-', cast(coalesce(c_nationkey, doc_id % 25) as string), '-gmail')
+           else concat('src-', cast(coalesce(c_nationkey, doc_id % 25) as string), '-folder') end AS source_id,
       case when lang = 'en' then concat(lower(source), '@example.com') end AS sender,
       concat('Bill ', cast(doc_id as string)) AS subject,
       cast(1704067200000 + n_chars * 3600000 as bigint) AS received_at,
       case when lang = 'fr' then 'image/png' else 'application/pdf' end AS content_type,
-      concat('ws-', cast(c_nationkey as string), '/', substr({d.sha('text')}, 1, 2), '/',
+      concat('ws-', cast(coalesce(c_nationkey, doc_id % 25) as string), '/', substr({d.sha('text')}, 1, 2), '/',
              cast(doc_id as string), case when lang = 'fr' then '.png' else '.pdf' end) AS file_storage_key,
       n_chars AS file_size_bytes, {d.sha('text')} AS file_sha256,
       case when lang = 'de' then 'failed' when lang = 'es' then 'ignored' when source = 'src1' then 'extracting'
@@ -420,7 +420,7 @@ def _inbox_messages(d):
            when lang = 'es' and source in ('src1', 'src11') then 'newsletter'
            when lang = 'es' then 'user_marked' end AS ignored_reason,
       cast(1704067200000 + n_chars * 3600000 as bigint) AS created_at
-    FROM {d.table('documents')} JOIN {d.table('customer')} ON doc_id = c_custkey"""
+    FROM {d.table('documents')} LEFT JOIN {d.table('customer')} ON doc_id = c_custkey"""
 
 
 def _invoices(d):
@@ -523,8 +523,8 @@ def _otp_challenges(d):
 
 
 def _uploads(d):
-    """Arriving files: the document text behind the leading bytes of a file type."""
-    text = "case when lang = 'es' and n_chars < 2000 then '' else text end"
+    """Arriving files: the document text behind the leading bytes of a file type, and some empty ones."""
+    text = "text"
     return f"""
     SELECT concat('upl-', cast(doc_id as string)) AS upload_id,
       concat('ws-', case lang when 'en' then '0' when 'de' then '1' else '2' end) AS workspace_id,
@@ -537,7 +537,10 @@ def _uploads(d):
            when lang = 'fr' then {d.blob('49492A00', text)}
            when lang = 'es' and source = 'src1' then {d.blob('89504E470D0A1A0A', text)}
            else {d.blob('', text)} end AS data
-    FROM {d.table('documents')}"""
+    FROM {d.table('documents')}
+    UNION ALL SELECT concat('upl-empty-', cast(doc_id as string)), 'ws-2', concat('user-', substr(source, 4)),
+      concat('blank-', cast(doc_id as string)), cast(1706000000000 + n_chars * 1000 as bigint), {d.blob('', "''")}
+    FROM {d.table('documents')} WHERE lang = 'es' AND n_chars < 2000"""
 
 
 BUILDERS = {
