@@ -20,6 +20,8 @@ HASHES, TREES, LEVELS = 128, 16, 5
 SECOND = 18
 #: Nodes of up to so many documents are compared exhaustively.
 SMALL = 24
+#: Documents, and their shingles, on one side of a block that is compared with others.
+CLUSTER_ROWS, CLUSTER_SHINGLES = 512, 1_000_000
 #: A sketch has 4 bits of every minhash. How many minhashes may differ in it: 4.5 standard
 #: deviations more than the least similarity gives, so a link is passed over in 3 of a million cases.
 NIBBLES = HASHES // 16
@@ -37,17 +39,6 @@ _PLACES = _rng.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + n
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 _LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_FULL = "array<bigint>"
-
-
-def shingles(text: Column) -> Column:
-    """Hashes of the text's 5-word shingles, repeats included; of the whole sequence if it has fewer words; none without words."""
-    def of(w: Column) -> Column:
-        five = F.transform(F.sequence(F.lit(1), F.size(w) - (SHINGLE - 1)), lambda i: F.xxhash64(F.slice(w, i, F.lit(SHINGLE))))
-        return F.when(F.size(w) >= SHINGLE, five).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast(_FULL))
-
-    # The outer transform binds the words, which are else split again for every shingle.
-    return F.element_at(F.transform(F.array(words(F.translate(text, *_LOWER))), of), 1)
 
 
 def word_hashes(text: Column) -> Column:
@@ -113,20 +104,6 @@ def _child(node: Column, coordinate: Column, minhashes: Column) -> Column:
     return F.xxhash64(node, coordinate, F.get(minhashes, coordinate))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose full shingle sets are similar enough.
-
-    Texts, not sets, are moved: they compress, hashes do not.
-    """
-    left = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("row").alias("b"), F.col("text").alias("tb")), "b")
-    sets = both.select("a", "b", F.array_distinct(shingles(F.col("ta"))).alias("sa"), F.array_distinct(shingles(F.col("tb"))).alias("sb"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return sets.select("a", "b", shared.alias("both"), (F.size("sa") + F.size("sb") - shared).alias("either")).where(
-        100 * F.col("both") >= percent * F.col("either")
-    ).select("a", "b")
-
-
 def _differ(x: Column, y: Column) -> Column:
     """How many minhashes differ in two sketches."""
     out = F.lit(0)
@@ -143,86 +120,158 @@ def _may_link(n: Column, m: Column, x: Column, y: Column, percent: int) -> Colum
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (_differ(x, y) <= _most_different(percent))
 
 
-def _pairs_within(nodes: DataFrame, by: list[str], percent: int) -> DataFrame:
-    """Pairs of rows of one node that may be similar and are not known to be linked; nodes are small here."""
-    members = nodes.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("row", "group", "bits", "n_shingles", "side"))).alias("m"))
-    likely = lambda x: lambda y: (
-        (y["row"] > x["row"]) & (y["group"] != x["group"]) & ((x["side"] != y["side"]) | (x["side"] == 0)) & _may_link(x["n_shingles"], y["n_shingles"], x["bits"], y["bits"], percent)
-    )
-    pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", likely(x)), lambda y: F.struct(x["row"].alias("a"), y["row"].alias("b")))))
-    return members.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+class _Forest:
+    """Which rows of a cell are joined already."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def find(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.find(i), self.find(j)
+        self.parent[i] = j
+        return i != j
+
+
+def _likely_pairs(batch: dict[str, np.ndarray], percent: int) -> Iterator[tuple[int, int, int]]:
+    """``(differing minhashes, i, j)`` of pairs of a cell that may be linked, by size and sketch; of one side with the other where there are two."""
+    bits, n, group, side = batch["bits"], batch["n_shingles"], batch["group"], batch["side"]
+    most = _most_different(percent)
+    for i in range(len(n) - 1):
+        x = bits[i + 1 :] ^ bits[i]
+        differ = ((x & 15) != 0).sum(axis=1) + ((x >> 4) != 0).sum(axis=1)
+        m = n[i + 1 :]
+        fits = (differ <= most) & (100 * np.minimum(m, n[i]) >= percent * np.maximum(m, n[i])) & (group[i + 1 :] != group[i])
+        fits &= (side[i + 1 :] != side[i]) | (side[i] == 0)
+        for j in np.flatnonzero(fits):
+            yield int(differ[j]), i, int(i + 1 + j)
 
 
-def _candidates(sets: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """``(links, pairs)``: confirmed links to pivots of large nodes, and pairs from small ones still to be confirmed.
+def _in_cells(rows: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """``(a, b)``: pairs that span what is alike within each cell of ``rows(cell, row, group, side, n_shingles, bits)``.
 
-    One level at a time, all trees together. Rows that pivots' links have put into one
-    group need no further comparison with each other; a node of one group is done. A
-    large node of several groups gets a pivot, then branches. What is still large after
-    the last level is compared in blocks, every block with every other.
+    A cell is compared exhaustively, but of pairs that only close a circle none is
+    returned, so the result is never longer than the cells. Alike is by sketch; with
+    ``exact`` by the full shingle sets, from ``text``. Rows of a cell follow each other,
+    and a worker holds no more than one cell.
+    """
+
+    def pairs(held: list[tuple]) -> list[tuple[int, int]]:
+        row, group, side, n, bits, *rest = zip(*held, strict=True)
+        cell = {
+            "bits": np.asarray([np.asarray(x, dtype=np.int64).view(np.uint8) for x in bits]), "n_shingles": np.asarray(n),
+            "group": np.asarray(group), "side": np.asarray(side),
+        }
+        forest, out = _Forest(len(row)), []
+        found = _likely_pairs(cell, percent)
+        sets = [shingle_set(np.asarray(w)) for w in rest[0]] if exact else []
+        for _, i, j in sorted(found) if exact else found:
+            if forest.find(i) == forest.find(j):
+                continue
+            if exact:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both < percent * (len(sets[i]) + len(sets[j]) - both):
+                    continue
+            forest.join(i, j)
+            out.append((row[i], row[j]))
+        return out
+
+    names = ["cell", "row", "group", "side", "n_shingles", "bits", *(["hashes"] if exact else [])]
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, held = None, []
+        for batch in batches:
+            out = []
+            for key, *values in zip(*(batch[c] for c in names), strict=True):
+                if key != cell:
+                    out += pairs(held) if len(held) > 1 else []
+                    cell, held = key, []
+                held.append(tuple(values))
+            yield pd.DataFrame(out, columns=["a", "b"])
+        if len(held) > 1:
+            yield pd.DataFrame(pairs(held), columns=["a", "b"])
+
+    dealt = rows.repartition("cell").sortWithinPartitions("cell")
+    if exact:
+        dealt = dealt.withColumn("hashes", word_hashes(F.col("text")))
+    return dealt.select(*names).mapInPandas(stream, "a long, b long")
+
+
+def _blocks(rows: DataFrame, by: str, k: Column) -> DataFrame:
+    """Rows dealt into ``k`` blocks of their group, and every block with every other: ``cell`` and ``side``."""
+    own = rows.withColumn("k", k).withColumn("block", F.pmod(F.xxhash64("row", F.lit(9)), F.col("k")).cast("int"))
+    meets = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+    return meets.withColumns({"side": side, "cell": F.xxhash64(by, F.least("block", "other"), F.greatest("block", "other"))})
+
+
+def _likely_links(sets: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)`` that span, with the wanted recall, what is alike by sketch: the trees of the chosen paths.
+
+    One level at a time, all trees together. Rows already joined need no further
+    comparison with each other; a node of one group is done. A small node is compared
+    exhaustively. The members of a large one are compared with a pivot, then it branches.
+    What is still large after the last level is compared in blocks, each with every other.
     """
     roots = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.lit(0)))
     first = sets.select("row", "minhashes", F.explode(roots).alias("root")).select("row", "minhashes", "root", F.explode(_coordinates(F.col("root"))).alias("c"))
     level = first.select(_child(F.col("root"), F.col("c"), F.col("minhashes")).alias("node"), "row", F.col("row").alias("group"))
-    links, pairs = [], []
+    links = []
     sketches = sets.select("row", "bits", "n_shingles")
     for depth in range(LEVELS):
         level = level.distinct() if depth else level
         sizes = level.groupBy("node").agg(
             F.count("*").alias("n"), F.min("group").alias("g0"), F.max("group").alias("g1"),
-            F.min(F.struct((F.xxhash64("row", F.lit(depth)) if depth else F.col("row")).alias("rank"), "row", "group")).alias("pivot"),
-        ).where("n > 1 and g0 <> g1").select("node", "n", F.col("pivot.row").alias("pivot"), F.col("pivot.group").alias("pivot_group"))
+            F.min(F.struct((F.xxhash64("row", F.lit(depth)) if depth else F.col("row")).alias("rank"), "row")).alias("pivot"),
+        ).where("n > 1 and g0 <> g1").select("node", "n", F.col("pivot.row").alias("pivot"))
         alive = staged(level.join(sizes, "node"), f"near-level{depth}")
-        small = alive.where(F.col("n") <= SMALL).join(sketches, "row").withColumn("side", F.lit(0))
-        pairs.append(staged(_pairs_within(small, ["node"], percent).distinct(), f"near-pairs{depth}"))
+        small = alive.where(F.col("n") <= SMALL).join(sketches, "row").withColumns({"side": F.lit(0), "cell": F.col("node")})
+        links.append(staged(_in_cells(small, percent, False).distinct(), f"near-small{depth}"))
         large = alive.where(F.col("n") > SMALL)
         if large.isEmpty():
             break
-        to_pivot = large.where("row <> pivot and group = row").select(F.col("row").alias("a"), F.col("pivot").alias("b")).distinct()
+        to_pivot = large.where("row <> pivot").select(F.col("row").alias("a"), F.col("pivot").alias("b")).distinct()
         near = to_pivot.join(sketches.select(F.col("row").alias("a"), F.col("bits").alias("x"), F.col("n_shingles").alias("n")), "a").join(
             sketches.select(F.col("row").alias("b"), F.col("bits").alias("y"), F.col("n_shingles").alias("m")), "b"
         ).where(_may_link(F.col("n"), F.col("m"), F.col("x"), F.col("y"), percent)).select("a", "b")
-        star = staged(_verified(near, texts, percent), f"near-star{depth}")
-        links.append(star)
-        found = star.select(F.col("a").alias("row"), F.col("b").alias("pivot"), F.lit(True).alias("linked"))
-        grouped = large.join(found, ["row", "pivot"], "left").select(
-            "node", "row", F.when(F.col("linked"), F.col("pivot_group")).otherwise(F.col("group")).alias("group")
-        )
-        if depth:  # other nodes' pivots may have joined the groups of this one
-            roots = staged(components(_all(links, sets.sparkSession), "near-cc"), f"near-groups{depth}")
-            grouped = _regrouped(grouped, roots)
+        links.append(staged(near, f"near-star{depth}"))
+        groups = staged(components(_all(links), "near-cc"), f"near-groups{depth}").select(F.col("node").alias("row"), "root")
+        grouped = large.join(groups, "row", "left").select("node", "row", F.coalesce("root", "row").alias("group"))
+        several = grouped.groupBy("node").agg(F.count("*").alias("n"), F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 <> g1").select("node", "n")
+        kept = grouped.join(several, "node")
         if depth + 1 == LEVELS:
-            pairs.append(_blockwise(staged(grouped, "near-rest"), sketches, percent))
+            rest = _blocks(kept.join(sketches, "row"), "node", F.ceil(F.col("n") / CLUSTER_ROWS).cast("int"))
+            links.append(staged(_in_cells(rest, percent, False).distinct(), "near-rest"))
             break
-        mixed = grouped.groupBy("node").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 <> g1").select("node")
-        kept = grouped.join(mixed, "node").join(sets.select("row", "minhashes"), "row")
-        branched = kept.select("node", "row", "group", "minhashes", F.explode(_coordinates(F.col("node"))).alias("c"))
+        branched = kept.join(sets.select("row", "minhashes"), "row").select("node", "row", "group", "minhashes", F.explode(_coordinates(F.col("node"))).alias("c"))
         level = staged(branched.select(_child(F.col("node"), F.col("c"), F.col("minhashes")).alias("node"), "row", "group"), f"near-branch{depth}")
-    union = lambda parts: _all(parts, sets.sparkSession)
-    return union(links), union(pairs).distinct()
+    return _all(links)
 
 
-def _regrouped(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    known = roots.select(F.col("node").alias("row"), "root")
-    return rows.join(known, "row", "left").select("node", "row", F.coalesce("root", "row").alias("group"))
-
-
-def _all(parts: list[DataFrame], spark) -> DataFrame:
-    out = parts[0] if parts else spark.createDataFrame([], "a long, b long")
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def _blockwise(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """All pairs of several groups in nodes that no level could make small: blocks against blocks."""
-    sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 <> g1")
-    blocks = F.ceil(F.col("n") / SMALL).cast("int")
-    own = rows.join(sizes.select("node", blocks.alias("k")), "node").join(sketches, "row").withColumn("block", F.pmod(F.xxhash64("row", F.lit(9)), F.col("k")).cast("int"))
-    meets = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
-    dealt = meets.select("node", "row", "group", "bits", "n_shingles", side.alias("side"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return staged(_pairs_within(dealt, ["node", "i", "j"], percent).distinct(), "near-blocks")
+def _links(sets: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Confirmed ``(a, b)`` that span every group of linked documents.
+
+    What hangs together by likely links is a cluster; its documents' full sets are
+    compared in blocks, a likely pair only if nothing in the block joins it already.
+    """
+    clusters = staged(components(_likely_links(sets, percent), "near-cc"), "near-clusters")
+    members = clusters.select(F.col("node").alias("row"), F.col("root").alias("cluster")).join(sets.select("row", "bits", "n_shingles"), "row")
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("words"))
+    k = F.greatest(F.ceil(F.col("n") / CLUSTER_ROWS), F.ceil(F.col("words") / CLUSTER_SHINGLES)).cast("int")
+    dealt = _blocks(members.join(sizes, "cluster").join(texts, "row").withColumn("group", F.col("row")), "cluster", k)
+    return staged(_in_cells(dealt, percent, True).distinct(), "near-links")
 
 
 def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = (), percent: int = PERCENT) -> DataFrame:
@@ -231,7 +280,7 @@ def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = (), percent: int =
     Documents are linked if their sets of distinct 5-word shingles (A-Z lower-cased) have
     ``100 * intersection >= percent * union``. Equal sets are found by their hash and join as
     one; all other links are searched by chosen paths and confirmed on full sets.
-    Within a group only the links that join it are confirmed, not all pairs.
+    Only links that join a group are confirmed, not all pairs in it.
 
     Null, empty and blank texts have the empty set and are linked with nothing. A null
     doc_id never names a component, unless all its members have none (then null, and
@@ -243,17 +292,7 @@ def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = (), percent: int =
     by_key = staged(filled.groupBy("set_key").agg(F.min("row").alias("rep"), F.count("*").alias("n")), "near-keys")
     sets = filled.select("row", "minhashes", "bits", "n_shingles").join(broadcast_if_few(by_key.select(F.col("rep").alias("row"))), "row", "left_semi")
     sets = staged(sets, "near-sets")
-    texts = rows.select("row", "text")
-    links, pairs = _candidates(sets, texts, percent)
-    pairs, links = staged(pairs, "near-pairs"), staged(links, "near-links")
-    # First every document with its smallest likely partner, then what that leaves in different components.
-    nearest = pairs.groupBy(F.col("b").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
-    links = staged(links.unionByName(_verified(nearest, texts, percent)), "near-links")
-    roots = staged(components(links, "near-cc"), "near-roots")
-    mark = lambda df, c: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left")
-    open_ = mark(mark(pairs, "a"), "b").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
-    links = links.unionByName(staged(_verified(open_, texts, percent), "near-links"))
-    roots = staged(components(links, "near-cc"), "near-roots")
+    roots = staged(components(_links(sets, rows.select("row", "text"), percent), "near-cc"), "near-roots")
     keyed = by_key.join(roots, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("root", "rep").alias("root"))
     slim = rows.select("row", "doc_id", "n_shingles", "set_key")
     member = slim.where("n_shingles > 0").join(keyed, "set_key").select("row", "doc_id", "n_shingles", "root").unionByName(

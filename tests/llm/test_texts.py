@@ -84,6 +84,7 @@ def test_near_duplicates_of_nothing(spark):
 
 def test_large_nodes_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL", 4)
+    monkeypatch.setattr(neardup, "CLUSTER_ROWS", 4)
     monkeypatch.setattr(neardup, "LEVELS", 2)
     rows = sample()
     got = neardup.near_duplicates(documents(spark, rows, more=False)).select("doc_id", "component_id").collect()
@@ -262,7 +263,7 @@ def test_chunks_give_the_librarys_ids(size):
     texts = TEXTS + ["".join(rng.choice("aehinorst  .,\n") for _ in range(300)) for _ in range(20)]
     for t in texts:
         full = p.normal(t)
-        assert p.whole(full) == lib.encode(t)
+        assert p.whole(full) == p.encode(t) == lib.encode(t)
         assert p.text(lib.encode(t)) == t.replace("\u2581", " ")
         if len(full) > size:
             assert chunked(p, full, size) == lib.encode(t)
