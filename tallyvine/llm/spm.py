@@ -26,7 +26,7 @@ from tallyvine.llm.common import staged
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Code points of a chunk. Texts of one chunk are encoded where they are.
 CHUNK = 32_768
-#: Entries of a worker's table of words before it starts anew.
+#: A worker keeps the ids of the words it met last: two tables of at most so many entries.
 WORDS = 200_000
 SPACE = "▁"
 _LOW = -np.inf
@@ -60,8 +60,24 @@ class Pieces:
         ]
         #: Whether no piece crosses into a run of spaces, so that every such place is a boundary of any path.
         self.cuts = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
+        #: The pieces as a tree of characters: ``{character: [id or -1, tree]}``.
+        self._tree: dict[str, list] = {}
+        for piece, i in self.ids.items():
+            node, entry = self._tree, None
+            for c in piece:
+                entry = node.setdefault(c, [-1, {}])
+                node = entry[1]
+            entry[0] = i
+        self._names = [p.piece for p in proto.pieces]
+        #: Length of every piece, and the longest piece that begins it.
+        self._length = list(map(len, self._names))
+        self._shorter = [next((self.ids[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in self.ids), -1) for p in self._names]
         self._fits: dict[tuple[str, str], bool] = {}
-        self._words: dict[str, list[int]] = {}
+        #: By the id before (the last row: none before), which ids fit after it.
+        self._pairs: list[dict[int, bool]] = [{} for _ in range(len(proto.pieces) + 1)]
+        #: Ids of words with their spaces, and of words after one space, without it; the last met and those before.
+        self._words: list[dict[str, tuple[int, ...]]] = [{}, {}]
+        self._plain: list[dict[str, tuple[int, ...]]] = [{}, {}]
 
     def normal(self, text: str | None) -> str:
         return (SPACE if self.prefix else "") + text.replace(" ", SPACE) if text else ""
@@ -85,7 +101,7 @@ class Pieces:
             return self.scores.get(piece, self.unknown)
         fits = self._fits.get((before, piece))
         if fits is None:
-            if len(self._fits) > 4 * WORDS:
+            if len(self._fits) > WORDS:
                 self._fits.clear()
             fits = self._fits[before, piece] = self.merged(before + piece) == ([before, piece] if before else [piece])
         return 0.0 if fits else _LOW
@@ -113,6 +129,50 @@ class Pieces:
             p = best[p][1]
         return out[::-1]
 
+    def _pair(self, a: int, i: int) -> bool:
+        """``weight`` of two ids; -1 is the start."""
+        before, piece = self._names[a] if a >= 0 else "", self._names[i]
+        fits = self._pairs[a][i] = self.merged(before + piece) == ([before, piece] if before else [piece])
+        return fits
+
+    def _word(self, text: str) -> tuple[int, ...]:
+        """The ids of ``trace`` for a whole word in a byte-pair model.
+
+        The only path whose neighbours all fit, searched depth first, long pieces first.
+        Every place has one path into it at most, so a place that led nowhere is done.
+        """
+        length, shorter, pairs, tree, n = self._length, self._shorter, self._pairs, self._tree, len(text)
+        out: list[int] = []
+        dead, pos, a, i, fresh = set(), 0, -1, -1, True
+        while pos < n:
+            if fresh:  # the longest piece that begins here
+                node, i, fresh = tree, -1, False
+                for c in text[pos:]:
+                    entry = node.get(c)
+                    if entry is None:
+                        break
+                    k, node = entry
+                    if k >= 0:
+                        i = k
+            row = pairs[a]
+            while i >= 0:
+                if pos + length[i] not in dead:
+                    fits = row.get(i)
+                    if self._pair(a, i) if fits is None else fits:
+                        break
+                i = shorter[i]
+            if i >= 0:
+                out.append(i)
+                pos, a, fresh = pos + length[i], i, True
+            elif out:
+                dead.add(pos)
+                pos -= length[a]
+                i = shorter[out.pop()]
+                a = out[-1] if out else -1
+            else:  # some character is no piece
+                return tuple(self.numbers(self.trace(text, 0, n)))
+        return tuple(out)
+
     def numbers(self, pieces: list[str]) -> list[int]:
         out: list[int] = []
         for p in pieces:
@@ -125,19 +185,49 @@ class Pieces:
 
     def whole(self, text: str) -> list[int]:
         """Ids of a normalised text whose two ends are boundaries. Repeated words are looked up."""
+        if not self.cuts:
+            return self.numbers(self.trace(text, 0, len(text)))
         out: list[int] = []
-        known = self._words
-        for word in re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", text) if self.cuts else [text]:
-            ids = known.get(word)
-            if ids is None:
-                ids = self.numbers(self.trace(word, 0, len(word)))
-                if len(word) <= 64:
-                    if len(known) >= WORDS:
-                        known.clear()
-                    known[word] = ids
-            out += ids
+        for word in re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", text):
+            out += self._remembered(self._words, word, "")
         return out
 
+    def encode(self, text: str | None) -> list[int]:
+        """Ids of a whole text."""
+        if not text or not self.cuts or not self.prefix or SPACE in text:
+            return self.whole(self.normal(text))
+        out: list[int] = []
+        known, gap = self._plain, ""
+        get = known[0].get
+        for word in text.split(" "):
+            if not word:
+                gap += SPACE
+            elif gap:
+                out += self._remembered(self._words, gap + SPACE + word, "")
+                gap = ""
+            else:
+                ids = get(word)
+                if ids is None:
+                    ids = self._remembered(known, word, SPACE)
+                    get = known[0].get
+                out += ids
+        if gap:
+            out += self._remembered(self._words, gap, "")
+        return out
+
+    def _remembered(self, known: list[dict[str, tuple[int, ...]]], key: str, before: str) -> tuple[int, ...]:
+        ids = known[0].get(key)
+        if ids is None:
+            ids = known[1].get(key)
+            if ids is None:
+                word = before + key
+                ids = self._word(word) if self.merges else tuple(self.numbers(self.trace(word, 0, len(word))))
+            if len(key) <= 64:
+                if len(known[0]) >= WORDS:
+                    known[:] = [{}, known[0]]
+                known[0][key] = ids
+        return ids
+
     def crossing(self, text: str, at: int) -> list[tuple[int, int]]:
         """Edges ``(start, end)`` with ``start < at <= end`` that a path may take; offsets count from ``at``."""
         spans = ((a, b) for a in range(max(0, at - self.longest), at) for b in range(at, min(len(text), a + self.longest) + 1))
@@ -214,7 +304,7 @@ class Pieces:
         return self.numbers(self.trace(text, at, c1, before)) + self.whole(text[c1:c2]) + self.numbers(self.trace(text, c2, stop) + tail)
 
     def text(self, ids) -> str:
-        out = b"".join(self.content[i] for i in ids).decode("utf-8", "replace")
+        out = b"".join(map(self.content.__getitem__, ids)).decode("utf-8", "replace")
         return out[1:] if self.prefix and out.startswith(" ") else out
 
 
@@ -321,7 +411,7 @@ def encoded(docs: DataFrame, path: str = MODEL, size: int = CHUNK) -> DataFrame:
     def short(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pieces = pieces_of(model.value)
         for part in parts:
-            yield pd.Series([np.asarray(pieces.whole(pieces.normal(t)), dtype=np.int32) for t in part], dtype=object)
+            yield pd.Series([np.asarray(pieces.encode(t), dtype=np.int32) for t in part], dtype=object)
 
     length = F.coalesce(F.length("text"), F.lit(0))
     rows = docs.select("doc_id", "text")
@@ -337,6 +427,6 @@ def decoded(spark, ids: Column, path: str = MODEL) -> Column:
     def back(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pieces = pieces_of(model.value)
         for part in parts:
-            yield pd.Series([pieces.text(p) for p in part], dtype=object)
+            yield pd.Series([pieces.text(p.tolist()) for p in part], dtype=object)
 
     return back(ids)
