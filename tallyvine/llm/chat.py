@@ -73,7 +73,9 @@ def _stretches(rows: DataFrame, budget: int, history: int) -> DataFrame:
     return own.unionByName(near).unionByName(system)
 
 
-WINDOW = "conv_id long, place long, text string, context int, own int, starts array<int>, ends array<int>"
+WINDOW = "key string, place long, text string, context int, own int, starts array<int>, ends array<int>"
+_WINDOW = ["key", "place", "text", "context", "own", "starts", "ends"]
+_PACKED = ["key", "stretch", "kind", "place", "role", "tokens", "head", "body"]
 
 
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
@@ -90,9 +92,7 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     columns are not looked at. No turns, no windows.
     """
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["kind", "place"])
-        rows = list(zip(group.kind, group.place, group.role, group.tokens, group["head"], group.body, strict=True))
+    def pack(conv, rows: list[tuple]) -> list[tuple]:
         system = next((r for r in rows if r[0] == _SYSTEM), None)
         line = sorted((r for r in rows if r[0] != _SYSTEM), key=lambda r: r[1])
         if system is None and line[0][1] == 0 and line[0][2] == "system" and line[0][3] <= budget // 2:
@@ -119,13 +119,28 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
                     ends.append(size + len(lead) + len(r[5]))
                 text.append(f"{lead}{r[5]}<|im_end|>\n")
                 size += len(text[-1])
-            conv = group.conv_id.iloc[0]
-            out.append((None if pd.isna(conv) else int(conv), line[at][1], "".join(text), len(context), end - at, starts, ends))
+            out.append((conv, line[at][1], "".join(text), len(context), end - at, starts, ends))
             at = end
-        return pd.DataFrame(out, columns=[c.split(" ")[0] for c in WINDOW.split(", ")]).astype({"conv_id": "Int64"})
+        return out
 
-    rows = _stretches(measured(turns), budget, history)
-    return rows.groupBy("conv_id", "stretch").applyInPandas(pack, WINDOW)
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows = None, []
+        for batch in batches:
+            out = []
+            for key, stretch, *row in zip(*(batch[c] for c in _PACKED), strict=True):
+                if (key, stretch) != held:
+                    out += pack(held[0], rows) if rows else []
+                    held, rows = (key, stretch), []
+                rows.append(tuple(row))
+            yield pd.DataFrame(out, columns=_WINDOW)
+        if rows:
+            yield pd.DataFrame(pack(held[0], rows), columns=_WINDOW)
+
+    rows = _stretches(measured(turns), budget, history).withColumn("key", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
+    # Rows of one stretch follow each other, so that a worker holds no more than one.
+    dealt = rows.select(*_PACKED).repartition("key", "stretch").sortWithinPartitions("key", "stretch", "kind", "place")
+    made = dealt.mapInPandas(stream, WINDOW)
+    return made.withColumn("conv_id", F.when(F.col("key") != "", F.col("key").cast("long"))).select("conv_id", *_WINDOW[1:])
 
 
 def parsed(text: str) -> list[tuple[str, str]]:
