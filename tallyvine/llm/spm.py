@@ -187,19 +187,23 @@ class Pieces:
         """Ids of a normalised text whose two ends are boundaries. Repeated words are looked up."""
         if not self.cuts:
             return self.numbers(self.trace(text, 0, len(text)))
-        out: list[int] = []
-        for word in re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", text):
-            out += self._remembered(self._words, word, "")
-        return out
+        if not text.startswith(SPACE):
+            head, space, rest = text.partition(SPACE)
+            return [*(self._remembered(self._words, head, "") if head else ()), *(self._spaced(rest.split(SPACE)) if space else ())]
+        return self._spaced(text[1:].split(SPACE))
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text."""
         if not text or not self.cuts or not self.prefix or SPACE in text:
             return self.whole(self.normal(text))
+        return self._spaced(text.split(" "))
+
+    def _spaced(self, words: list[str]) -> list[int]:
+        """Ids of words with one space before each; an empty word is one more space."""
         out: list[int] = []
         known, gap = self._plain, ""
         get = known[0].get
-        for word in text.split(" "):
+        for word in words:
             if not word:
                 gap += SPACE
             elif gap:
@@ -216,16 +220,15 @@ class Pieces:
         return out
 
     def _remembered(self, known: list[dict[str, tuple[int, ...]]], key: str, before: str) -> tuple[int, ...]:
-        ids = known[0].get(key)
+        newer, older = known
+        ids = newer.get(key) or older.get(key)
         if ids is None:
-            ids = known[1].get(key)
-            if ids is None:
-                word = before + key
-                ids = self._word(word) if self.merges else tuple(self.numbers(self.trace(word, 0, len(word))))
-            if len(key) <= 64:
-                if len(known[0]) >= WORDS:
-                    known[:] = [{}, known[0]]
-                known[0][key] = ids
+            word = before + key
+            ids = self._word(word) if self.merges else tuple(self.numbers(self.trace(word, 0, len(word))))
+        if len(key) <= 64:
+            if len(newer) >= WORDS:
+                known[:] = newer, older = {}, newer
+            newer[key] = ids
         return ids
 
     def crossing(self, text: str, at: int) -> list[tuple[int, int]]:
