@@ -93,6 +93,8 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     """
 
     def pack(conv, rows: list[tuple]) -> list[tuple]:
+        if all(r[0] != _OWN for r in rows):  # no turn begins here: the last one, or one that spans it, was the end before
+            return []
         system = next((r for r in rows if r[0] == _SYSTEM), None)
         line = sorted((r for r in rows if r[0] != _SYSTEM), key=lambda r: r[1])
         if system is None and line[0][1] == 0 and line[0][2] == "system" and line[0][3] <= budget // 2:

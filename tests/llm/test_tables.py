@@ -57,6 +57,22 @@ def test_chat_reads_back_and_keeps_the_budget(spark):
     assert chat.digests(chat.windows(spark.createDataFrame([], TURN))).collect() == []
 
 
+@pytest.mark.parametrize("last", [["end " * 2], ["giant " * 2500, "after", "end"]])
+def test_chat_stretches_without_a_turn_of_their_own(spark, last):
+    """The last turn, or one longer than a stretch, begins in what the next stretch would repeat."""
+    budget, history = 16, 12
+    length = budget * chat.STRETCH
+    texts = ["w " * 4] * (length // 8 - 1) + last
+    rows = [(7, t, ("user", "assistant")[t % 2], text) for t, text in enumerate(texts)] + [(None, *r[1:]) for r in turns_sample()[:4]]
+    rows += [(8, t, "assistant", "w " * 4) for t in range(3)]
+    windows = chat.windows(spark.createDataFrame(rows, TURN), budget, history)
+    got = {r.conv_id: r for r in chat.digests(windows).collect()}
+    own = [r for r in rows if r[0] == 7]
+    assert set(got) == {None, 7, 8} and got[7].n_turns == len(own)
+    assert got[7].turns_sha256 == hexed("".join(f"{r[2]}\n{r[3]}\n" for r in own))
+    assert got[7].loss_sha256 == hexed("".join(r[3] for r in own if r[2] == "assistant"))
+
+
 def test_escape_is_reversible(spark):
     texts = ["".join(random.Random(i).choice(["\\", "<", "|", "im_start", "im_end", ">", "s", "/", "[", "INST", "]", "\n", "é", "SYS"]) for _ in range(40)) for i in range(200)]
     for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", chat.escaped(F.col("t")).alias("e")).collect():
