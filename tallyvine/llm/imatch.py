@@ -14,9 +14,6 @@ from pyspark.sql.types import BinaryType, StringType
 
 from tallyvine.llm.common import words
 
-#: Terms are counted in 2 ** BITS hash buckets: the lexicon is a bitmap of that fixed size (512 kB),
-#: however large the vocabulary. Take more for a corpus of many million terms.
-BITS = 22
 #: Terms in at least LEAST_DOCS documents and at most MOST_SHARE of all: the band of inverse document frequency.
 LEAST_DOCS, MOST_SHARE = 2, 0.1
 #: Each lexicon is a random 1/2, 1/8, 1/32, 1/128 or 1/512 of all terms: large ones tell texts apart, small ones outlast edits.
@@ -32,25 +29,27 @@ def term_hashes(text: Column) -> Column:
     return F.transform(words(F.lower(text)), lambda w: F.xxhash64(w))
 
 
-def lexicon(docs: DataFrame, bits: int = BITS, least_docs: int = LEAST_DOCS, most_share: float = MOST_SHARE) -> np.ndarray:
-    """Bitmap of the buckets in the band. Counts are over all documents; what reaches the driver is 2 ** bits bits at most."""
-    mask = (1 << bits) - 1
-    buckets = F.array_distinct(F.transform(term_hashes(F.col("text")), lambda h: h.bitwiseAND(F.lit(mask)).cast("int")))
-    counts = docs.select(F.explode(buckets).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("df"))
+def lexicon(docs: DataFrame, least_docs: int = LEAST_DOCS, most_share: float = MOST_SHARE) -> np.ndarray:
+    """Sorted hashes of the terms in the band.
+
+    Documents are counted for every term by its 64-bit hash, over all documents. Eight
+    bytes a term in the band reach the driver and every worker; terms of fewer documents,
+    which are most of a vocabulary, and those of too many do not.
+    """
+    terms = F.array_distinct(term_hashes(F.col("text")))
+    counts = docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     most = most_share * docs.count()
-    chosen = counts.where((F.col("df") >= least_docs) & (F.col("df") <= most))
-    bit = F.expr("shiftleft(1L, bucket & 63)")
-    packed = chosen.groupBy(F.shiftright("bucket", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
-    out = np.zeros(max(1, (1 << bits) >> 6), dtype=np.int64)
-    out[packed["word"].to_numpy(dtype=np.int64)] = packed["bits"].to_numpy(dtype=np.int64)
-    return out.view(np.uint64)
+    chosen = counts.where((F.col("df") >= least_docs) & (F.col("df") <= most)).select("term").toArrow()
+    return np.sort(chosen["term"].to_numpy().astype(np.int64).view(np.uint64))
 
 
-def fingerprint(hashes: np.ndarray, bitmap: np.ndarray, bits: int = BITS) -> str:
+def fingerprint(hashes: np.ndarray, band: np.ndarray) -> str:
     """Distinct terms in the lexicon, sorted; one hash for each of the smaller lexicons."""
     h = np.unique(hashes.astype(np.int64).view(np.uint64))
-    at = h & np.uint64((1 << bits) - 1)
-    terms = h[(bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+    at = np.searchsorted(band, h)
+    inside = at < len(band)
+    inside[inside] = band[at[inside]] == h[inside]
+    terms = h[inside]
     if not len(terms):  # nothing in the band: the terms themselves, so that only equal ones match
         return "=" + hashlib.blake2b(h.tobytes(), digest_size=16).hexdigest()
     out = []
@@ -72,13 +71,13 @@ def likeness(a: Column, b: Column) -> Column:
 class Fingerprints:
     """A lexicon taken from a corpus, and fingerprints of any text under it."""
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, bits: int = BITS, **band):
-        shared = spark.sparkContext.broadcast(lexicon(docs, bits, **band))  # 2 ** bits bits
+    def __init__(self, spark: SparkSession, docs: DataFrame, **band):
+        shared = spark.sparkContext.broadcast(lexicon(docs, **band))  # 8 bytes a term in the band
 
         @F.pandas_udf("string")
         def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for part in parts:
-                yield pd.Series([fingerprint(np.asarray(h), shared.value, bits) for h in part], dtype=object)
+                yield pd.Series([fingerprint(np.asarray(h), shared.value) for h in part], dtype=object)
 
         self._of = of
 

@@ -170,6 +170,22 @@ def test_fingerprints(spark):
     assert alone.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and alone.near_next == 1
 
 
+def test_band_counts_terms_not_buckets(spark):
+    """Terms whose hashes agree in 22 bits are counted apart."""
+    made = spark.range(20_000).select(F.concat(F.lit("t"), "id").alias("t")).withColumn("low", F.xxhash64("t").bitwiseAND(F.lit((1 << 22) - 1)))
+    pairs = made.groupBy("low").agg(F.sort_array(F.collect_list("t")).alias("ts")).where("size(ts) = 2").orderBy("low").limit(2).collect()
+    (a, b), (c, common) = pairs[0].ts, pairs[1].ts
+    rows = [(1, f"p q {a}", "s"), (2, f"p q {b}", "s"), (3, f"r s {c}", "s"), (4, "r s", "s"), (5, c, "s")]
+    rows += [(10 + i, f"{common} only{i}", "s") for i in range(30)]
+    docs = documents(spark, rows)
+    prints = {r.doc_id: r.fingerprint for r in imatch.compared(spark, docs).collect()}
+    assert prints[1] == prints[2]  # each has one term of one document, which is outside the band
+    assert prints[3] != prints[4] and not prints[5].startswith("=")  # a term of two documents is inside
+    assert prints[10].startswith("=")
+    signed = lambda ws: {r[0] for r in spark.createDataFrame([(w,) for w in ws], "t string").select(F.xxhash64("t")).collect()}
+    assert set(imatch.lexicon(docs).view("int64").tolist()) == signed(["p", "q", "r", "s", c])
+
+
 def test_quality(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
