@@ -238,6 +238,23 @@ def test_pseudonyms(spark):
     assert pii.pseudonymised(documents(spark, [])).collect() == []
 
 
+ACCOUNTS = ["BE68 5390 0754 7034", "BE68539007547034", "ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201", "SE45 5000 0000 0583 9825 7466",
+            "PL61 1090 1014 0000 0712 1981 2874", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606"]
+
+
+def test_accounts_end_where_their_country_says(spark):
+    after = [" EUR 500", " EUR", " BIC", " 1234", " A1", " 2024 X", ", EUR", ""]
+    rows = [(100 * i + j, f"to {a}{b}", "s") for i, a in enumerate(ACCOUNTS) for j, b in enumerate(after)]
+    rows += [(9000, f"{ACCOUNTS[0]} {ACCOUNTS[2]}", "s"), (9001, "BE68 5390 0754 7035 EUR", "s")]
+    got = {r.doc_id: r for r in pii.pseudonymised(documents(spark, rows)).collect()}
+    valid = lambda a: int("".join(str(int(c, 36)) for c in a[4:] + a[:4])) % 97 == 1
+    for i, a in enumerate(ACCOUNTS):
+        made = {got[100 * i + j].text[3 : 3 + len(a)] for j in range(len(after))}
+        assert len(made) == 1 and a not in made and all(valid(m.replace(" ", "")) and m[:2] == a[:2] for m in made), a
+        assert all(got[100 * i + j].text[3 + len(a) :] == b for j, b in enumerate(after))
+    assert got[9000].n_private == 2 and got[9001].text == "BE68 5390 0754 7035 EUR"
+
+
 def test_permutations_are_bijective(spark):
     n = spark.range(pii.DAYS).select(pii.permuted_number(F.col("id"), pii.DATE_MODULI, "k", "date").alias("n"))
     assert n.agg(F.count_distinct("n"), F.min("n"), F.max("n")).first() == (pii.DAYS, 0, pii.DAYS - 1)
