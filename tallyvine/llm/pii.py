@@ -26,7 +26,7 @@ _SIZED = "|".join(
 IBAN = rf"{_EDGE}(?=[A-Z]{{2}}[0-9]{{2}})(?:(?:{_SIZED}){_END}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_END})"
 SECRET = rf"{_EDGE}(?=[a-fA-F]{{0,63}}[0-9])[0-9a-fA-F]{{32,128}}{_END}"
 CARD = rf"{_EDGE}(?:[0-9]{{13,19}}|[0-9]{{4}}([ -])[0-9]{{4}}\1[0-9]{{4}}\1[0-9]{{1,7}}){_END}"
-DATE = rf"{_EDGE}(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}|[0-9]{{2}}\.[0-9]{{2}}\.[0-9]{{4}}){_END}"
+DATE = rf"{_EDGE}(?:[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}|[0-9]{{1,2}}\.[0-9]{{1,2}}\.[0-9]{{4}}){_END}"
 SOCIAL = rf"{_EDGE}(?!000|666|9)[0-9]{{3}}-(?!00)[0-9]{{2}}-(?!0000)[0-9]{{4}}{_END}"
 PHONE = rf"(?<![A-Za-z0-9+])(?:\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)|[0-9]{{1,4}})(?:[ .-]?[0-9]{{2,4}}){{2,4}}|\([0-9]{{3}}\) ?[0-9]{{3}}-[0-9]{{4}}|[0-9]{{3}}[.-][0-9]{{3}}[.-][0-9]{{4}}){_END}"
 #: In this order; an earlier kind wins where two begin at the same place.
@@ -36,6 +36,8 @@ ANY = "|".join(p.replace(r"\1", r"\k<sep>").replace("([ -])", "(?<sep>[ -])") fo
 #: Days from 1900-01-01 to 2100-01-01, both included: 487 * 150.
 DATE_MODULI = (487, 150)
 FIRST_DAY, DAYS = "1900-01-01", 487 * 150
+#: Steps in which a day that can be written in a narrower form is found; over a fifth of all days can, so none is missed but by 1 in 10^24.
+WALK = 256
 #: Areas 001-665 and 667-899; groups 01-99 with serials 0001-9999.
 SOCIAL_MODULI = (898, 99 * 9999)
 
@@ -153,17 +155,42 @@ def _address(x: Column, key: str) -> Column:
 
 
 def _date(x: Column, key: str) -> Column:
-    """Another day of 1900-01-01 to 2100-01-01, written alike; left alone if it is no such day."""
-    out = x
-    for shape, pattern in ((r"^[0-9]{4}-", "yyyy-MM-dd"), (r"^[0-9]{2}/", "MM/dd/yyyy"), (r"^[0-9]{2}\.", "dd.MM.yyyy")):
-        # Read from its parts; a day that does not exist is null.
-        y, m, d = {"y": (1, 6, 9), "M": (7, 1, 4), "d": (7, 4, 1)}[pattern[0]]
-        iso = F.concat_ws("-", F.substr(x, F.lit(y), F.lit(4)), F.substr(x, F.lit(m), F.lit(2)), F.substr(x, F.lit(d), F.lit(2)))
-        day = F.datediff(iso.try_cast("date"), F.lit(FIRST_DAY).cast("date"))
-        moved = F.date_add(F.lit(FIRST_DAY).cast("date"), permuted_number(day, DATE_MODULI, key, "date").cast("int"))
-        new = F.date_format(moved, pattern)
-        out = F.when(x.rlike(shape) & day.between(0, DAYS - 1), new).otherwise(out)
-    return out
+    """Another day of 1900-01-01 to 2100-01-01, written alike; left alone if it is no such day.
+
+    Slash dates are read month first, and day first where the first number is no month.
+    Those, and dates with numbers of one digit, are permuted among the days that can be
+    written so: the permutation of all days is repeated until it meets one.
+    """
+    part = lambda i: F.element_at(F.split(x, "[-/.]"), i)
+    iso, slash = x.contains("-"), x.contains("/")
+    swapped = slash & (part(1).cast("int") > 12)
+    day_first = x.contains(".") | swapped
+    m, d = F.when(iso | day_first, part(2)).otherwise(part(1)), F.when(iso, part(3)).when(day_first, part(1)).otherwise(part(2))
+    first = F.lit(FIRST_DAY).cast("date")
+    # Read from its parts; a day that does not exist is null.
+    day = F.datediff(F.concat_ws("-", F.when(iso, part(1)).otherwise(part(3)), m, d).try_cast("date"), first).cast("long")
+    read = F.struct(
+        day.alias("day"), (F.length(m) == 1).alias("short_month"), (F.length(d) == 1).alias("short_day"),
+        iso.alias("iso"), slash.alias("slash"), day_first.alias("day_first"), swapped.alias("swapped"),
+    )
+    permuted = lambda n: permuted_number(n, DATE_MODULI, key, "date")
+    at = lambda n: F.date_add(first, n.cast("int"))
+
+    def moved(r: Column) -> Column:
+        fits = lambda n: (
+            (~r["short_month"] | (F.month(at(n)) <= 9)) & (~r["short_day"] | (F.dayofmonth(at(n)) <= 9)) & (~r["swapped"] | (F.dayofmonth(at(n)) > 12))
+        )
+        walk = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), r["day"], lambda n, i: F.when((i == 1) | ~fits(n), permuted(n)).otherwise(n))
+        return F.when(r["short_month"] | r["short_day"] | r["swapped"], walk).otherwise(permuted(r["day"]))
+
+    def written(r: Column, n: Column) -> Column:
+        pad = lambda v, short: F.when(short, v.cast("string")).otherwise(F.lpad(v.cast("string"), 2, "0"))
+        year, month, date = F.year(at(n)).cast("string"), pad(F.month(at(n)), r["short_month"]), pad(F.dayofmonth(at(n)), r["short_day"])
+        sep = F.when(r["slash"], "/").otherwise(".")
+        return F.when(r["iso"], F.concat_ws("-", year, month, date)).when(r["day_first"], F.concat(date, sep, month, sep, year)).otherwise(F.concat(month, sep, date, sep, year))
+
+    new = _bound(read, lambda r: F.when(r["day"].between(0, DAYS - 1), _bound(moved(r), lambda n: written(r, n))))
+    return F.coalesce(new, x)
 
 
 def _social(x: Column, key: str) -> Column:

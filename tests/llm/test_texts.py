@@ -255,6 +255,25 @@ def test_accounts_end_where_their_country_says(spark):
     assert got[9000].n_private == 2 and got[9001].text == "BE68 5390 0754 7035 EUR"
 
 
+def test_dates_in_both_orders_and_with_short_numbers(spark):
+    stay = ["32/12/1999", "13/13/1999", "31/02/2001", "0/5/2001", "2001-2-30", "31.4.2001", "25/12/1899"]
+    dates = ["25/12/1999", "13/1/2001", "31/03/2000", "3/4/2005", "12/5/2001", "05/3/2001", "2/29/2000", "2001-3-4", "2001-12-4", "1.2.2003", "24.5.1980", "12/31/1999"]
+    got = {r.doc_id: r.text for r in pii.pseudonymised(documents(spark, [(i, f"on {v}, {v}.", "s") for i, v in enumerate(dates + stay)])).collect()}
+    for i, v in enumerate(dates):
+        a, b = re.fullmatch(r"on (.*), (.*)\.", got[i]).groups()
+        assert a == b != v and re.sub("[0-9]", "9", a) == re.sub("[0-9]", "9", v)
+        if "/" in v:
+            assert (int(a.split("/")[0]) > 12) == (int(v.split("/")[0]) > 12)
+    assert [got[len(dates) + i] for i in range(len(stay))] == [f"on {v}, {v}." for v in stay]
+    # All dates of two years written in each order and width: different ones get different pseudonyms of the same form.
+    days = spark.range(400, 1130).select(F.date_add(F.lit("1999-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    forms = ["MM/dd/yyyy", "M/d/yyyy", "dd/MM/yyyy", "d/M/yyyy"]
+    said = days.select(F.explode(F.array(*[F.date_format("d", f) for f in forms])).alias("v")).distinct()
+    made = said.select("v", pii.pseudonym(F.col("v")).alias("p")).collect()
+    shape = lambda t: (re.sub("[0-9]", "9", t), int(t.split("/")[0]) > 12)
+    assert len({r.p for r in made}) == len(made) > 1500 and all(shape(r.v) == shape(r.p) for r in made)
+
+
 def test_permutations_are_bijective(spark):
     n = spark.range(pii.DAYS).select(pii.permuted_number(F.col("id"), pii.DATE_MODULI, "k", "date").alias("n"))
     assert n.agg(F.count_distinct("n"), F.min("n"), F.max("n")).first() == (pii.DAYS, 0, pii.DAYS - 1)
