@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -16,7 +16,8 @@ def hourly_rollup(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """Events per hour and action, for a batch or a stream.
 
     ``events`` has ``action`` and ``ts`` (UTC milliseconds). On a stream an hour
-    is final once the watermark has passed its end.
+    is final once the watermark has passed its end; hours before that do not come
+    out in append mode, and later events are dropped. ``rollup_batch`` has neither limit.
     """
     timed = events.withColumn("event_time", F.timestamp_millis("ts"))
     if events.isStreaming:
@@ -25,6 +26,24 @@ def hourly_rollup(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
     return counts.select(F.unix_millis("window.start").alias("hour_ms"), "action", "events")
 
 
+def rollup_batch(folder: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` writer: the hourly counts of one batch, of which a repeat replaces what it stored."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        hourly_rollup(batch).write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
+
+    return write
+
+
+def stored_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    """Events per hour and action over all batches that ``rollup_batch`` stored.
+
+    No state and no watermark: hours still open are there, and events count however late they come.
+    """
+    parts = spark.read.schema("hour_ms bigint, action string, events bigint, batch_id bigint").parquet(folder)
+    return parts.groupBy("hour_ms", "action").agg(F.sum("events").alias("events"))
+
+
 def throttle_stream(events: DataFrame, capacity: int, per_seconds: int) -> DataFrame:
     """Token-bucket verdicts on a stream ``(key, event_id, ts)``; every event gets one.
 

@@ -192,3 +192,16 @@ def test_throttle_stream_gives_late_events_a_verdict(spark, tmp_path):
          .option("checkpointLocation", state).trigger(availableNow=True).start()).awaitTermination()
     got = {r.event_id: r.allowed for r in spark.read.parquet(out).collect()}
     assert got == {1: True, 2: True, 3: True, 4: False}
+
+
+def test_rollup_stream_gives_open_hours_and_counts_late_events(spark, tmp_path):
+    feed, state, out = tmp_path / "events", str(tmp_path / "state"), str(tmp_path / "out")
+    hour, schema = 3_600_000, "action string, ts bigint"
+    for rows in ([("a", 0), ("a", 1)], [("a", 9 * hour), ("b", 9 * hour + 5)], [("a", 2), ("b", 8 * hour)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(feed))
+        stream = spark.readStream.schema(schema).parquet(str(feed))
+        (stream.writeStream.foreachBatch(audit_stream.rollup_batch(out))
+         .option("checkpointLocation", state).trigger(availableNow=True).start()).awaitTermination()
+    audit_stream.rollup_batch(out)(spark.createDataFrame([("a", 2), ("b", 8 * hour)], schema), 2)  # a batch done again
+    got = {(r.hour_ms, r.action): r.events for r in audit_stream.stored_rollup(spark, out).collect()}
+    assert got == {(0, "a"): 3, (9 * hour, "a"): 1, (9 * hour, "b"): 1, (8 * hour, "b"): 1}

@@ -243,3 +243,17 @@ def _(g):
     )
     job.awaitTermination()
     return g.spark.read.schema("hour_ms bigint, action string, events bigint").parquet(f"{folder}/out")
+
+
+@query("r11_hourly_rollup_stream_whole", HOURLY, ("audit_events",))
+def _(g):
+    """Every hour as a stream, those still open too."""
+    folder = f"{shared_folder(g.spark)}/rollup-{uuid.uuid4().hex}"
+    g.audit_events.select("action", "ts").write.parquet(f"{folder}/in")
+    stream = g.spark.readStream.schema("action string, ts bigint").option("maxFilesPerTrigger", 16).parquet(f"{folder}/in")
+    job = (
+        stream.writeStream.foreachBatch(S.rollup_batch(f"{folder}/out"))
+        .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    )
+    job.awaitTermination()
+    return S.stored_rollup(g.spark, f"{folder}/out")
