@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyvine.llm import chat, collocations, imatch, metric_join, mixing, neardup, pii, quality, spm, url_reputation, variants, warc
+from tallyvine.llm import chat, collocations, imatch, metric_join, mixing, neardup, passages, pii, quality, spm, url_reputation, variants, warc
 from tallyvine.llm.common import ready, table
 
 
@@ -69,6 +69,11 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(ready(spark), sf_dir, "documents"))
 
 
+def op12_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = passages.without_repeats(table(ready(spark), sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(table(ready(spark), sf_dir, "documents"))
 
@@ -77,6 +82,6 @@ QUERIES = {
     "op1_mix": op1_mix, "op2_chat": op2_chat, "op3_near_duplicates": op3_near_duplicates, "op5_imatch": op5_imatch, "op4_url_reputation": op4_url_reputation, "op6_embeddings": op6_embeddings,
     "op7_quality": op7_quality, "op8_warc": op8_warc, "op9_sentencepiece": op9_sentencepiece,
     "op10_pseudonyms": op10_pseudonyms, "op11_collocations": op11_collocations,
-    "op13_variants": op13_variants,
+    "op12_passages": op12_passages, "op13_variants": op13_variants,
 }
-ORACLES = {"op1_mix": mixing.SQL, "op4_url_reputation": url_reputation.SQL, "op6_embeddings": metric_join.SQL, "op8_warc": warc.SQL, "op11_collocations": collocations.SQL}
+ORACLES = {"op1_mix": mixing.SQL, "op4_url_reputation": url_reputation.SQL, "op6_embeddings": metric_join.SQL, "op8_warc": warc.SQL, "op11_collocations": collocations.SQL, "op12_passages": passages.SQL}
