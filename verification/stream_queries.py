@@ -213,9 +213,22 @@ def keyed(g):
     return g.audit_events.select(F.col("actor_user_id").alias("key"), "event_id", "ts")
 
 
-@query("r10_throttle_verdicts")
+# Units: a token is 1000 * 86400 of them, a millisecond refills 3.
+THROTTLED = """keyed AS MATERIALIZED (SELECT actor_user_id AS key, event_id, ts,
+    row_number() OVER (PARTITION BY actor_user_id ORDER BY ts, event_id) AS n FROM audit_events),
+bucket AS (/* recursive */ SELECT key, event_id, ts, n, 259200000 AS before FROM keyed WHERE n = 1
+  UNION ALL SELECT k.key, k.event_id, k.ts, k.n,
+    least(259200000, b.before - CASE WHEN b.before >= 86400000 THEN 86400000 ELSE 0 END + (k.ts - b.ts) * 3)
+  FROM bucket b JOIN keyed k ON k.key = b.key AND k.n = b.n + 1)"""
+
+
+@query(
+    "r10_throttle_verdicts",
+    """SELECT key, event_id, ts, before >= 86400000 AS allowed,
+    CASE WHEN before < 86400000 THEN greatest(1, (86400000 - before) // 3000) END AS retry_after FROM bucket""",
+    ("audit_events",), THROTTLED,
+)
 def _(g):
-    # Sequential per key: checked against a plain loop in the tests.
     return A.throttle_verdicts(keyed(g), 3, 86_400)
 
 

@@ -592,7 +592,7 @@ def ctes(d, *names: str) -> str:
 def oracle(select: str, *views: str, extra: str = "") -> str:
     """Oracle SQL: the views as CTEs, then further CTEs, then the SELECT."""
     parts = [p for p in (ctes(DuckDialect(), *views) if views else "", extra.strip().rstrip(",")) if p]
-    word = "WITH RECURSIVE" if "UNION ALL SELECT a, b, i + 1" in extra else "WITH"
+    word = "WITH RECURSIVE" if "UNION ALL SELECT a, b, i + 1" in extra or "/* recursive */" in extra else "WITH"
     return (f"{word} {', '.join(parts)}\n" if parts else "") + select
 
 
