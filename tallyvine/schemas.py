@@ -85,6 +85,8 @@ MESSAGE = (
     "headers array<struct<name: string, value: string>>, "
     "parts array<struct<filename: string, mimeType: string, attachmentId: string, data: string>>"
 )
+#: A message as the mail interface gives it: ``payload`` is the JSON text of its tree of parts.
+MIME_MESSAGE = "source_id string, message_id string, received_at bigint, folder string, payload string"
 
 # Closed value sets (the CHECK constraints of the tables).
 ENUMS: dict[tuple[str, str], tuple[str, ...]] = {

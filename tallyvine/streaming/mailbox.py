@@ -10,12 +10,17 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyvine.functions.files import decode_base64url
 from tallyvine.operators.dashboards import connected_mailboxes
-from tallyvine.operators.upkeep import check_uploads, derive_id
-from tallyvine.schemas import MESSAGE
+from tallyvine.operators.upkeep import (
+    check_uploads, derive_id, new_inbox_rows, new_invoice_rows, new_job_rows, new_upload_events, resolve_uploads,
+)
+from tallyvine.schemas import EVENTS, INBOX_MESSAGES, INVOICES, JOBS, MESSAGE, MIME_MESSAGE
+from tallyvine.session import materialise
 from tallyvine.sources.config import MailboxConfig
+from tallyvine.sources.runs import RunStore, Table
 
 DAY_MS = 86_400_000
 EXCLUDED_FOLDERS = ("spam", "trash")
@@ -24,6 +29,53 @@ EXCLUDED_FOLDERS = ("spam", "trash")
 # --- message transforms ----------------------------------------------------------
 
 
+def _part(node: Column, path: Column) -> Column:
+    """What counts of one part of a tree: its place, name, type, attachment id and inline data."""
+    text = lambda where: F.try_variant_get(node, where, "string")
+    return F.struct(
+        path.alias("path"), text("$.filename").alias("filename"), text("$.mimeType").alias("mimeType"),
+        text("$.body.attachmentId").alias("attachmentId"), text("$.body.data").alias("data"),
+    )
+
+
+def mime_parts(payload: Column) -> Column:
+    """All parts of a message's tree, however deep, in depth-first order: ``array<struct<path, filename, ...>>``.
+
+    ``payload`` is the JSON text of the tree; ``path`` holds the index taken at every level, so
+    its order is the walk's order, a part before the parts in it. The tree is walked level by
+    level inside its row; there are at most as many levels as opening brackets. A text that is
+    no JSON, and null, have no parts.
+    """
+    root = F.struct(F.array().cast("array<int>").alias("path"), F.try_parse_json(payload).alias("node"))
+    levels = F.sequence(F.lit(0), F.length(payload) - F.length(F.replace(payload, F.lit("["))))
+    start = F.struct(
+        F.array(root).alias("open"),
+        F.array().cast("array<struct<path:array<int>,filename:string,mimeType:string,attachmentId:string,data:string>>").alias("parts"),
+    )
+
+    def children(n: Column) -> Column:
+        inner = F.coalesce(F.try_variant_get(n["node"], "$.parts", "array<variant>"), F.array().cast("array<variant>"))
+        return F.transform(inner, lambda child, i: F.struct(F.concat(n["path"], F.array(i.cast("int"))).alias("path"), child.alias("node")))
+
+    def deeper(state: Column, _: Column) -> Column:
+        return F.struct(
+            F.flatten(F.transform(state["open"], children)).alias("open"),
+            F.concat(state["parts"], F.transform(state["open"], lambda n: _part(n["node"], n["path"]))).alias("parts"),
+        )
+
+    walked = F.aggregate(levels, start, deeper, lambda state: F.array_sort(state["parts"]))
+    return F.when(F.try_parse_json(payload).isNotNull(), walked)
+
+
+def from_mime(messages: DataFrame) -> DataFrame:
+    """Messages of ``MIME_MESSAGE`` with ``headers`` and ``parts``, as the other transforms take them; ``parts`` has all levels."""
+    header = "array<struct<name:string,value:string>>"
+    rest = [c for c in messages.columns if c != "payload"]
+    return messages.select(
+        *rest, F.try_variant_get(F.try_parse_json("payload"), "$.headers", header).alias("headers"), mime_parts(F.col("payload")).alias("parts")
+    )
+
+
 def header_map(headers: Column) -> Column:
     """Header values by lower-cased name; the last of a repeated name wins, ones without a name do not count."""
     named = F.filter(headers, lambda h: h["name"].isNotNull())
@@ -185,8 +237,9 @@ def judge_parts(messages: DataFrame, config: MailboxConfig) -> DataFrame:
 def to_uploads(judged: DataFrame) -> DataFrame:
     """Accepted parts as upload rows with decoded bytes and the mailbox reference."""
     taken = judged.where("verdict = 'take' and coalesce(length(data), 0) > 0")
+    owner = ["user_id"] if "user_id" in judged.columns else []
     return taken.select(
-        F.concat_ws(":", F.lit("gmail"), "message_id", "attachmentId").alias("external_id"),
+        *owner, F.concat_ws(":", F.lit("gmail"), "message_id", "attachmentId").alias("external_id"),
         derive_id("upl", F.col("source_id"), F.col("message_id"), F.col("attachmentId"))
         .alias("upload_id"),
         "source_id", "workspace_id", "message_id", "sender", "subject", "filename", "received_at",
@@ -225,10 +278,10 @@ def new_attachments(uploads: DataFrame, inbox: DataFrame) -> DataFrame:
 # --- streaming -------------------------------------------------------------------
 
 
-def read_messages(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """Message feed from a landing folder; the checkpoint is the cursor."""
+def read_messages(spark: SparkSession, path: str, files_per_trigger: int = 100, schema: str = MESSAGE) -> DataFrame:
+    """Message feed from a landing folder, ``MESSAGE`` or ``MIME_MESSAGE``; the checkpoint is the cursor."""
     return (
-        spark.readStream.schema(MESSAGE).option("maxFilesPerTrigger", files_per_trigger).json(path)
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(path)
     )
 
 
@@ -247,24 +300,87 @@ def attachment_stream(
     return checked.where("reject_reason is null").drop("reject_reason")
 
 
-STORED = (
-    "workspace_id string, file_sha256 string, id string, source_id string, external_id string, "
-    "sender string, subject string, received_at bigint, content_type string, file_size_bytes bigint, "
-    "status string, batch_id bigint, prefix string"
-)
+#: What the ingest keeps, and how it is looked up.
+MAIL_TABLES = {
+    "inbox_messages": Table(INBOX_MESSAGES, ("file_sha256", "workspace_id")),
+    "invoices": Table(INVOICES, ("inbox_message_id", "workspace_id")),
+    "jobs": Table(JOBS, ("inbox_message_id", "id")),
+    "events": Table(EVENTS, ("target_id", "id")),
+    "poll_stats": Table("source_id string, batch_id bigint, scanned bigint, ingested bigint, skipped bigint", ("source_id", "batch_id")),
+    "blobs": Table("file_storage_key string, data binary", ("file_storage_key",), merged=False, file_rows=1_000),
+}
 
 
-def ingest_batch(inbox_path: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` writer: append what the stored inbox does not hold.
+def mail_store(spark: SparkSession, root: str) -> RunStore:
+    return RunStore(spark, root, MAIL_TABLES)
+
 
-    Every batch writes its own partition ``batch_id`` with overwrite, and reads
-    only partitions of other batches, so a repeated batch gives the same table. Below
-    it rows lie by the first two digits of their hash, and only the digits that a batch
-    has are read.
+def mail_inbox_rows(resolved: DataFrame) -> DataFrame:
+    """Inbox rows of new attachments, with the message they came with."""
+    own = ["source_id", "external_id", "sender", "subject"]
+    mail = resolved.where("not was_duplicate").select(F.col("inbox_message_id").alias("id"), *[F.col(c).alias(f"mail_{c}") for c in own])
+    rows = new_inbox_rows(resolved.withColumn("filename", F.col("subject")))
+    return rows.drop(*own).join(mail, "id").select(*[F.col(f"mail_{c}").alias(c) if c in own else F.col(c) for c in rows.columns])
+
+
+def ingest_messages(
+    store: RunStore, sources: Callable[[], DataFrame], workspaces: Callable[[], DataFrame], config: MailboxConfig,
+) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` writer: messages of any tree become inbox rows, invoices, jobs, events, file contents and statistics.
+
+    All of a batch becomes visible by one manifest; a batch done again, whole or after it was
+    killed, replaces what it did. Repeats are found against the stored rows of the batch's own
+    hashes. An attachment that is known adds a job and nothing else. ``sources`` and ``workspaces``
+    are asked for every batch, so a disconnected mailbox drops out. No state and no watermark:
+    a message counts however late it comes.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        live = connected_mailboxes(sources(), workspaces()).select("source_id", "workspace_id", F.col("owner_user_id").alias("user_id"))
+        messages = from_mime(batch) if "payload" in batch.columns else batch
+        chosen = materialise(select_messages(messages.join(live, "source_id"), config), "mail-chosen")
+        judged = judge_parts(chosen, config)
+        checked = materialise(check_uploads(to_uploads(judged)).where("reject_reason is null"), "mail-checked")
+        known = materialise(store.lookup("inbox_messages", checked, batch_id).join(
+            checked.select("workspace_id", "file_sha256").distinct(), ["workspace_id", "file_sha256"], "left_semi"
+        ), "mail-known")
+        bills = store.lookup("invoices", known.select(F.col("id").alias("inbox_message_id")), batch_id)
+        resolved = materialise(resolve_uploads(checked, known, bills), "mail-resolved")
+        inbox = mail_inbox_rows(resolved)
+        first = resolved.where("not was_duplicate").select("upload_id", "inbox_message_id")
+        contents = checked.select("upload_id", "data").join(first, "upload_id").join(
+            inbox.select(F.col("id").alias("inbox_message_id"), "file_storage_key"), "inbox_message_id"
+        )
+        rows = {
+            "inbox_messages": inbox, "invoices": new_invoice_rows(resolved), "jobs": new_job_rows(resolved),
+            "events": new_upload_events(resolved), "blobs": contents.select("file_storage_key", "data"),
+            "poll_stats": poll_stats(chosen, judged, resolved).withColumn("batch_id", F.lit(batch_id).cast("bigint")),
+        }
+        store.commit(batch_id, {name: _shaped(df, store.tables[name].schema) for name, df in rows.items()})
+
+    return write
+
+
+def _shaped(df: DataFrame, schema: str) -> DataFrame:
+    """The columns of a schema; those that ``df`` does not have are null."""
+    fields = StructType.fromDDL(schema)
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+
+
+def start_mail_ingest(
+    messages: DataFrame, store: RunStore, sources: Callable[[], DataFrame], workspaces: Callable[[], DataFrame],
+    checkpoint: str, config: MailboxConfig, once: bool = True,
+):
+    """Run the ingest of a stream of messages; ``once`` processes what is available and stops."""
+    writer = messages.writeStream.foreachBatch(ingest_messages(store, sources, workspaces, config)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def ingest_batch(inbox_path: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` writer for attachments alone: inbox rows that the store does not hold yet."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        store = mail_store(batch.sparkSession, inbox_path)
         rows = batch.select(
             derive_id("msg", F.col("workspace_id"), F.col("file_sha256")).alias("id"),
             "workspace_id", "source_id", "external_id", "sender", "subject", "received_at",
@@ -272,15 +388,11 @@ def ingest_batch(inbox_path: str) -> Callable[[DataFrame, int], None]:
         )
         key = ["workspace_id", "file_sha256"]
         rest = [c for c in rows.columns if c not in key]
-        fresh = rows.groupBy(*key).agg(
+        fresh = materialise(rows.groupBy(*key).agg(
             F.min_by(F.struct(*rest), F.struct("received_at", "external_id")).alias("f")
-        ).select(*key, "f.*")
-        fresh = fresh.withColumn("prefix", F.left("file_sha256", F.lit(2)))
-        prefixes = [r.prefix for r in fresh.select("prefix").distinct().collect()]  # 256 at most
-        stored = spark.read.schema(STORED).parquet(inbox_path)
-        stored = stored.where((F.col("batch_id") != batch_id) & F.col("prefix").isin(*prefixes))
-        fresh = fresh.join(stored.select(*key), key, "left_anti")
-        fresh.write.mode("overwrite").partitionBy("prefix").parquet(f"{inbox_path}/batch_id={batch_id}")
+        ).select(*key, "f.*"), "mail-fresh")
+        new = fresh.join(store.lookup("inbox_messages", fresh, batch_id).select(*key), key, "left_anti")
+        store.commit(batch_id, {"inbox_messages": _shaped(new, INBOX_MESSAGES)})
 
     return write
 
@@ -288,10 +400,6 @@ def ingest_batch(inbox_path: str) -> Callable[[DataFrame, int], None]:
 def start_ingest(
     attachments: DataFrame, inbox_path: str, checkpoint: str, once: bool = True
 ):
-    """Run the ingest; ``once`` processes what is available and stops."""
-    empty = attachments.sparkSession.createDataFrame([], STORED)
-    empty.write.mode("append").partitionBy("batch_id", "prefix").parquet(inbox_path)
-    writer = attachments.writeStream.foreachBatch(ingest_batch(inbox_path)).option(
-        "checkpointLocation", checkpoint
-    )
+    """Run the ingest of attachments; ``once`` processes what is available and stops. ``mail_store`` reads the result."""
+    writer = attachments.writeStream.foreachBatch(ingest_batch(inbox_path)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

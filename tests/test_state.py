@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyvine.operators import audit
 from tallyvine.operators.dashboards import corpus_list
 from tallyvine.session import shared_folder
-from tallyvine.sources import csv_export, seed, store
+from tallyvine.sources import csv_export, runs, seed, store
 from tallyvine.sources.config import MailboxConfig
 from tallyvine.streaming import audit_stream, mailbox
 
@@ -205,3 +205,169 @@ def test_rollup_stream_gives_open_hours_and_counts_late_events(spark, tmp_path):
     audit_stream.rollup_batch(out)(spark.createDataFrame([("a", 2), ("b", 8 * hour)], schema), 2)  # a batch done again
     got = {(r.hour_ms, r.action): r.events for r in audit_stream.stored_rollup(spark, out).collect()}
     assert got == {(0, "a"): 3, (9 * hour, "a"): 1, (9 * hour, "b"): 1, (8 * hour, "b"): 1}
+
+
+def exact_throttle_loop(events, capacity, per_seconds, buckets=None):
+    """In whole numbers; an event older than its bucket refills nothing."""
+    one, out, buckets = 1000 * per_seconds, {}, dict(buckets or {})
+    for key, event, ts in sorted(events, key=lambda e: (e[2], e[1])):
+        tokens, last = buckets.get(key, (capacity * one, ts))
+        at = max(ts, last)
+        tokens = min(capacity * one, tokens + (at - last) * capacity)
+        ok = tokens >= one
+        out[event] = (ok, None if ok else max(1, (one - tokens) // (capacity * 1000)))
+        buckets[key] = (tokens - one if ok else tokens, at)
+    return out, buckets
+
+
+@pytest.mark.parametrize(("n", "keys", "capacity", "per", "rows"), [(600, 3, 3, 10, 37), (300, 1, 1, 1, 7), (400, 200, 2, 30, 11), (500, 2, 7, 5, 499)])
+def test_throttle_parts_compose_to_the_loop(spark, n, keys, capacity, per, rows):
+    """One key fills many parts; a second batch goes on with the stored buckets, some of its events late."""
+    rng = random.Random(n)
+    events = [("hot" if rng.random() < 0.5 else f"k{rng.randint(0, keys)}", i, rng.randint(0, 200_000)) for i in range(n)]
+    df = spark.createDataFrame(events, "key string, event_id bigint, ts bigint")
+    walked = audit.throttle_walk(df, capacity, per, rows_per_task=rows)
+    want, buckets = exact_throttle_loop(events, capacity, per)
+    assert {r.event_id: (r.allowed, r.retry_after) for r in walked.collect()} == want
+    later = [(k, i + n, ts + rng.randint(-50_000, 150_000)) for k, i, ts in events]
+    states = spark.createDataFrame([(k, t, a) for k, (t, a) in buckets.items()], "key string, tokens bigint, at bigint")
+    got = audit.throttle_walk(spark.createDataFrame(later, df.schema), capacity, per, states, rows).collect()
+    assert {r.event_id: (r.allowed, r.retry_after) for r in got} == exact_throttle_loop(later, capacity, per, buckets)[0]
+    assert audit.throttle_verdicts(df.limit(0), capacity, per).collect() == []
+
+
+def test_transfer_maps_stay_small(spark):
+    bucket, transfer, rng = audit._Bucket(5, 60), audit._Transfer(), random.Random(1)
+    gaps = [rng.choice([0, 0, 1, 500, 7_000, 20_000]) for _ in range(3_000)]
+    for gap in gaps:
+        transfer.after(bucket, gap)
+        assert len(transfer.pieces) <= 2 * 5 + 3
+    for start in (0, 1, bucket.one, 3 * bucket.one - 1, bucket.full):
+        tokens = start
+        for gap in gaps:
+            tokens = bucket.refilled(tokens, gap)
+            tokens -= bucket.one if tokens >= bucket.one else 0
+        assert transfer(start) == tokens
+
+
+def mime_tree(rng, depth):
+    node = {"filename": rng.choice(["", "a.pdf", None]), "mimeType": rng.choice(["application/pdf", "text/plain"]),
+            "body": {"attachmentId": rng.choice([None, f"x{rng.randint(0, 99)}"]), "data": "[["}}
+    if depth and rng.random() < 0.8:
+        node["parts"] = [mime_tree(rng, depth - 1) for _ in range(rng.randint(0, 3))]
+    return node
+
+
+def walked(node, path=()):
+    yield list(path), node.get("filename"), node.get("mimeType"), node["body"].get("attachmentId")
+    for i, child in enumerate(node.get("parts", [])):
+        yield from walked(child, (*path, i))
+
+
+def test_mime_trees_of_any_depth(spark):
+    rng = random.Random(2)
+    trees = [mime_tree(rng, rng.randint(0, 7)) for _ in range(100)]
+    deep = node = {"body": {}}
+    for i in range(60):
+        node["parts"] = [{"filename": f"f{i}", "mimeType": "m", "body": {"attachmentId": "a"}}]
+        node = node["parts"][0]
+    trees.append(deep)
+    rows = [(i, json.dumps(t)) for i, t in enumerate(trees)] + [(-1, "{broken"), (-2, None), (-3, "")]
+    got = {r.i: r.parts for r in mailbox.from_mime(spark.createDataFrame(rows, "i long, payload string")).collect()}
+    for i, t in enumerate(trees):
+        assert [(list(p.path), p.filename, p.mimeType, p.attachmentId) for p in got[i]] == list(walked(t))
+    assert got[-1] is None and got[-2] is None and got[-3] is None
+
+
+def forwarded(source, number, ts, text, depth):
+    """A mail whose bill lies so many levels down, beside an inline part without a name."""
+    bill = {"filename": "bill.pdf", "mimeType": "application/pdf", "body": {"attachmentId": "t", "data": base64.urlsafe_b64encode(b"%PDF-" + text.encode()).decode()}}
+    for _ in range(depth):
+        bill = {"mimeType": "message/rfc822", "parts": [{"mimeType": "text/plain", "body": {"data": "aGk="}}, bill]}
+    headers = [{"name": "Subject", "value": "Invoice"}, {"name": "From", "value": "a@b"}]
+    return {"source_id": source, "message_id": number, "received_at": ts, "payload": {"headers": headers, "parts": [bill]}}
+
+
+def mail_tables(store):
+    return {t: sorted(r.id for r in store.read(t).collect()) for t in ("inbox_messages", "invoices", "jobs", "events")}
+
+
+def test_mail_ingest_commits_all_tables_together(spark, tmp_path, monkeypatch):
+    feed, state = tmp_path / "feed", str(tmp_path / "state")
+    feed.mkdir()
+    sources = spark.createDataFrame([("s1", "w1", "gmail", "connected", None)], "id string, workspace_id string, kind string, status string, last_polled_at bigint")
+    shops = spark.createDataFrame([("w1", "u1")], "id string, owner_user_id string")
+    store = mailbox.mail_store(spark, str(tmp_path / "store"))
+
+    def run(name, messages):
+        (feed / name).write_text("\n".join(json.dumps(m) for m in messages))
+        stream = mailbox.read_messages(spark, str(feed), schema=mailbox.MIME_MESSAGE)
+        mailbox.start_mail_ingest(stream, store, lambda: sources, lambda: shops, state, MailboxConfig()).awaitTermination()
+
+    now = 1704067200000
+    run("1.json", [forwarded("s1", "m1", now, "one", 2), forwarded("s1", "m2", now + 1, "one", 0), forwarded("s1", "m3", now + 2, "two", 5)])
+    first = mail_tables(store)
+    assert [len(v) for v in first.values()] == [2, 2, 3, 2]
+    row = store.read("inbox_messages").where("external_id = 'gmail:m1:t'").first()
+    assert (row.sender, row.subject, row.source_id, row.status) == ("a@b", "Invoice", "s1", "queued")
+    assert {bytes(r.data) for r in store.read("blobs").collect()} == {b"%PDF-one", b"%PDF-two"}
+    assert {r.file_storage_key for r in store.read("blobs").collect()} == {r.file_storage_key for r in store.read("inbox_messages").collect()}
+    stats = store.read("poll_stats").first()
+    assert (stats.scanned, stats.ingested, stats.skipped) == (3, 2, 1)
+
+    # Killed before the manifest: nothing of the batch is seen.
+    monkeypatch.setattr(type(store), "_publish", lambda *_: (_ for _ in ()).throw(OSError("killed")))
+    with pytest.raises(Exception, match="killed"):
+        run("2.json", [forwarded("s1", "m4", now + 3, "one", 1), forwarded("s1", "m5", now + 4, "three", 1)])
+    assert mail_tables(store) == first
+    monkeypatch.undo()
+    # Done again by the restarted stream: the repeat adds a job, the new bill one row to each table.
+    run("2.json", [forwarded("s1", "m4", now + 3, "one", 1), forwarded("s1", "m5", now + 4, "three", 1)])
+    second = mail_tables(store)
+    assert [len(v) for v in second.values()] == [3, 3, 5, 3]
+    assert all(set(first[t]) <= set(second[t]) and len(set(second[t])) == len(second[t]) for t in first)
+    # A batch that is done once more replaces itself.
+    batch = spark.createDataFrame([(m["source_id"], m["message_id"], m["received_at"], None, json.dumps(m["payload"])) for m in
+                                   [forwarded("s1", "m4", now + 3, "one", 1), forwarded("s1", "m5", now + 4, "three", 1)]], mailbox.MIME_MESSAGE)
+    mailbox.ingest_messages(store, lambda: sources, lambda: shops, MailboxConfig())(batch, store.batches()[-1])
+    assert mail_tables(store) == second
+
+
+def scanned_rows(df):
+    """Rows that the scans of a collected frame gave out."""
+    def scans(plan):
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return scans(plan.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return scans(plan.plan())
+        own = [plan.metrics().get("numOutputRows").get().value()] if name == "FileSourceScanExec" else []
+        kids = plan.children()
+        return own + [x for i in range(kids.size()) for x in scans(kids.apply(i))]
+
+    return sum(scans(df._jdf.queryExecution().executedPlan()))
+
+
+def test_runs_merge_and_lookups_read_what_they_need(spark, tmp_path):
+    tables = {"keys": runs.Table("k string, n bigint", ("k",)), "bytes": runs.Table("k string", ("k",), merged=False)}
+    store = runs.RunStore(spark, str(tmp_path / "s"), tables)
+    per, batches = 2_000, 18
+    keyed = lambda b: spark.range(b * per, (b + 1) * per).select(F.sha2(F.col("id").cast("string"), 256).alias("k"), F.col("id").alias("n"))
+    for b in range(batches):
+        store.commit(b, {"keys": keyed(b), "bytes": keyed(b).select("k").limit(1)})
+    files = [f for f in (tmp_path / "s" / "table=keys").rglob("*.parquet")]
+    assert store.read("keys").count() == per * batches and len(store.manifest()["keys"]) <= 2 * runs.FAN
+    assert len(files) <= 3 * runs.FAN and len(store.manifest()["bytes"]) == batches
+    wanted = keyed(3).limit(5).unionByName(spark.createDataFrame([("nobody", 0), (None, 0)], "k string, n bigint"))
+    found = store.lookup("keys", wanted)
+    keys = {r.k for r in wanted.collect()}
+    frame = found.select("k")
+    got = [r.k for r in frame.collect()]
+    assert len(got) == 5 and set(got) <= keys
+    plan = found.select("k")
+    plan._jdf.collectToPython()
+    assert scanned_rows(plan) < per * batches / 3
+    # A batch done again replaces itself; runs of killed attempts go.
+    store.commit(batches - 1, {"keys": keyed(batches - 1), "bytes": keyed(0).limit(0).select("k")})
+    assert store.read("keys").count() == per * batches and store.read("bytes").count() == batches - 1
+    assert store.read("keys", before=batches - 1).count() == per * (batches - 1)

@@ -13,6 +13,7 @@ from tallyvine.sources.config import CONTENT_TYPES, MailboxConfig
 from tallyvine.streaming import audit_stream as S
 from tallyvine.streaming import mailbox as M
 from verification.registry import query
+from verification.upkeep_queries import DID
 
 CONFIG = MailboxConfig(subject_keywords=("Invoice", "bill ", "po"), max_attachments_per_message=2,
                        max_messages_per_poll=20)
@@ -124,6 +125,44 @@ def _(g):
     return M.flatten_parts(messages(g)).select("message_id", "part_no", "filename", "mimeType")
 
 
+# The same parts as a tree: an odd turn is forwarded inside the message of the one before it.
+NESTED = f"""{PARTS}, nested AS (SELECT conv_id, cast('{{"parts":[' || string_agg(CASE WHEN turn % 2 = 1
+      THEN '{{"mimeType":"message/rfc822","filename":"","parts":[' ELSE '' END || '{{"filename":"' || filename || '","mimeType":"' || mime
+      || '","body":{{"attachmentId":"' || attachment_id || '"}}}},', '' ORDER BY turn) || '{{}}' || repeat(']}}', cast(count(*) FILTER (turn % 2 = 1) as int))
+      || ']}}' as json) AS payload FROM part GROUP BY 1),
+walk AS (/* recursive */ SELECT conv_id, cast([] as int[]) AS path, payload AS node FROM nested
+  UNION ALL SELECT conv_id, list_append(path, cast(i as int)), json_extract(node, '$.parts[' || i || ']')
+  FROM (SELECT *, unnest(range(cast(coalesce(json_array_length(node, '$.parts'), 0) as bigint))) AS i FROM walk))"""
+
+
+def nested_messages(g):
+    """Messages of ``MIME_MESSAGE``: the flat ones with their parts as a tree."""
+    field = lambda name, value: F.concat(F.lit(f'"{name}":"'), value, F.lit('"'))
+    part = lambda p, i: F.concat(
+        F.when(i % 2 == 1, '{"mimeType":"message/rfc822","filename":"","parts":[').otherwise(""),
+        F.lit("{"), field("filename", p["filename"]), F.lit(","), field("mimeType", p["mimeType"]), F.lit(',"body":{'),
+        field("attachmentId", p["attachmentId"]), F.lit(","), field("data", F.translate(p["data"], "\r\n", "")), F.lit("}},"),
+    )
+    odd = F.floor(F.size("parts") / 2).cast("int")
+    headers = F.to_json(F.filter("headers", lambda h: h["name"].isNotNull()))
+    tree = F.concat(F.lit('{"headers":'), headers, F.lit(',"parts":['), F.array_join(F.transform("parts", part), ""), F.lit("{}"), F.repeat(F.lit("]}"), odd), F.lit("]}"))
+    return messages(g).select("source_id", "message_id", "received_at", "folder", tree.alias("payload"))
+
+
+@query(
+    "r03_nested_parts",
+    """SELECT 'msg-' || conv_id AS message_id, array_to_string(path, '.') AS place, json_extract_string(node, '$.filename') AS filename,
+    json_extract_string(node, '$.body.attachmentId') AS attachment_id,
+    row_number() OVER (PARTITION BY conv_id ORDER BY path) AS rank FROM walk""", (), NESTED,
+)
+def _(g):
+    parts = M.from_mime(nested_messages(g)).select("message_id", F.posexplode("parts").alias("i", "p"))
+    return parts.select(
+        "message_id", F.array_join(F.col("p.path").cast("array<string>"), ".").alias("place"), "p.filename",
+        F.col("p.attachmentId").alias("attachment_id"), (F.col("i") + 1).cast("long").alias("rank"),
+    )
+
+
 JUDGED = f"""numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS part_no FROM part),
 usable AS (SELECT *, mime IN {TYPES} AS allowed, count(*) FILTER (mime IN {TYPES}) OVER
     (PARTITION BY conv_id ORDER BY part_no) AS k FROM numbered WHERE filename <> ''),
@@ -179,6 +218,46 @@ def _(g):
     )
 
 
+# Every accepted part of connected, live mailboxes; a hash is new once in a tenant.
+STREAMED = f"""{PARTS}, live AS (SELECT s.id AS source_id, s.workspace_id, w.owner_user_id AS user_id FROM sources s JOIN workspaces w ON w.id = s.workspace_id
+    WHERE s.kind = 'gmail' AND s.status = 'connected'),
+arrived AS (SELECT l.workspace_id, l.user_id, p.source_id, m.message_id, p.attachment_id, sha256(from_hex('255044462D') || encode(p.text)) AS file_sha256,
+    octet_length(from_hex('255044462D') || encode(p.text)) AS bytes
+  FROM (SELECT part.*, source_id FROM part JOIN message USING (conv_id)) p JOIN message m USING (conv_id) JOIN live l ON l.source_id = m.source_id
+  WHERE m.attached AND {WORDS.replace('lower(subject)', 'lower(m.subject)')} AND p.filename <> '' AND p.mime IN {TYPES}),
+known AS (SELECT workspace_id, any_value(user_id) AS user_id, file_sha256, any_value(bytes) AS bytes, {DID.format('msg', 'workspace_id, file_sha256')} AS message
+  FROM arrived GROUP BY workspace_id, file_sha256)"""
+
+
+@query(
+    "r06_stream_rows",
+    f"""SELECT 'inbox' AS kind, message AS id, workspace_id, cast(bytes as varchar) AS detail FROM known
+    UNION ALL SELECT 'invoice', {DID.format('inv', 'message')}, workspace_id, message FROM known
+    UNION ALL SELECT 'job', {DID.format('job', f"{DID.format('upl', 'a.source_id, a.message_id, a.attachment_id')}, message")}, workspace_id, message
+      FROM arrived a JOIN known USING (workspace_id, file_sha256)
+    UNION ALL SELECT 'event', {DID.format('evt', f"{DID.format('inv', 'message')}, 'invoice.uploaded'")}, workspace_id, user_id FROM known
+    UNION ALL SELECT 'blob', message, NULL, file_sha256 FROM known""", ("sources", "workspaces"), STREAMED,
+)
+def _(g):
+    """Nested messages through the whole ingest as a stream of several batches."""
+    folder = f"{shared_folder(g.spark)}/mail-{uuid.uuid4().hex}"
+    nested_messages(g).repartition(4, "message_id").write.json(f"{folder}/in")
+    store = M.mail_store(g.spark, f"{folder}/store")
+    stream = M.read_messages(g.spark, f"{folder}/in", 2, M.MIME_MESSAGE)
+    config = MailboxConfig(subject_keywords=CONFIG.subject_keywords)
+    M.start_mail_ingest(stream, store, lambda: g.sources, lambda: g.workspaces, f"{folder}/state", config).awaitTermination()
+    row = lambda kind, df, detail, key="id": df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), "workspace_id", detail.alias("detail"))
+    inbox = store.read("inbox_messages")
+    blobs = store.read("blobs").join(inbox.select("id", "file_storage_key"), "file_storage_key").withColumn("workspace_id", F.lit(None).cast("string"))
+    return (
+        row("inbox", inbox, F.col("file_size_bytes").cast("string"))
+        .unionByName(row("invoice", store.read("invoices"), F.col("inbox_message_id")))
+        .unionByName(row("job", store.read("jobs"), F.col("inbox_message_id")))
+        .unionByName(row("event", store.read("events"), F.col("actor_user_id")))
+        .unionByName(row("blob", blobs, F.sha2("data", 256)))
+    )
+
+
 @query(
     "r07_poll_stats",
     """SELECT source_id, scanned, ingested, parts - ingested AS skipped FROM
