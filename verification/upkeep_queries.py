@@ -6,8 +6,13 @@ from pyspark.sql import functions as F
 
 from tallyvine.operators import dashboards as D
 from tallyvine.operators import upkeep as U
+from tallyvine.plans import run as N
+from tallyvine.plans.extraction import Extraction
+from tallyvine.operators import rules as R
+from tallyvine.sources.store import read_json
 from verification.dashboard_queries import INBOX, INBOX_VIEWS
 from verification.registry import query
+from verification.scalar_queries import SINGLE
 
 SNIFF = """CASE WHEN starts_with(h, '89504E470D0A1A0A') THEN 'image/png'
   WHEN left(h, 8) IN ('FFD8FFE0', 'FFD8FFE1', 'FFD8FFDB', 'FFD8FFEE') THEN 'image/jpeg'
@@ -347,3 +352,90 @@ def _(g):
     return U.apply_links(g.workspaces, links(g), unlink).select("id", "ca_gstin")
 
 
+
+
+# --- a whole run over the due jobs ---------------------------------------------
+
+RUN_AT = 1706745600000
+DUE = f"""due AS (SELECT j.id, j.workspace_id, j.inbox_message_id, j.invoice_id, j.attempts, 'doc-' || substr(j.invoice_id, 5) AS doc_id,
+    m.id IS NOT NULL AS there, CASE WHEN m.status = 'failed' THEN m.ignored_reason END AS bad
+  FROM jobs j LEFT JOIN inbox_messages m ON m.id = j.inbox_message_id AND m.workspace_id = j.workspace_id
+  WHERE j.state = 'queued' AND j.next_run_at <= {RUN_AT}),
+planned AS (SELECT *, CASE WHEN NOT there THEN 'inbox message for job not found' WHEN bad = 'pdf_password_protected' THEN 'PDF is password-protected'
+    WHEN bad IS NOT NULL THEN bad END AS error, CASE WHEN there THEN bad END AS reason FROM due),
+ran AS (SELECT DISTINCT invoice_id, workspace_id, doc_id FROM planned WHERE error IS NULL)"""
+RUN_VIEWS = ("jobs", "inbox_messages", "invoices", "field", "header", "item")
+
+
+def ran(g):
+    """The due jobs; files of messages that have failed cannot be read. Fields and items are the given ones."""
+    bad = g.inbox_messages.where("status = 'failed'").select(F.col("id").alias("inbox_message_id"), F.col("ignored_reason").alias("reason"))
+    planned = N.plan_jobs(g.jobs, g.inbox_messages, bad, RUN_AT)
+    docs = N.documents_to_run(planned)
+    keyed = lambda df: df.withColumn("doc_id", F.concat(F.lit("inv-"), F.substring("doc_id", 5, 99))).join(
+        docs.select("doc_id"), "doc_id", "left_semi"
+    )
+    source = F.lit("given")
+    fields = keyed(g.field).select("doc_id", "name", "value", F.lit(1.0).alias("confidence"), source.alias("source"), source.alias("source_detail"))
+    header, items = keyed(g.header), keyed(g.item)
+    return planned, N.run_changes(planned, docs, Extraction(fields, items, R.validate(header, items)), RUN_AT)
+
+
+@query(
+    "u16_run_rows",
+    f"""SELECT {DID.format('run', "invoice_id, '" + N.PIPELINE_VERSION + "'")} AS id, workspace_id, invoice_id,
+    (SELECT value FROM field f WHERE f.doc_id = r.doc_id AND name = 'invoice_no') AS invoice_no,
+    (SELECT count(*) FROM item i WHERE i.doc_id = r.doc_id) AS items, (SELECT count(*) FROM single s WHERE s.doc_id = r.doc_id) AS findings
+    FROM ran r""", RUN_VIEWS, f"{SINGLE}, {DUE}",
+)
+def _(g):
+    """The runs' stage outputs, read back from their JSON."""
+    runs = ran(g)[1].tables["pipeline_runs"]
+    size = lambda c, name: F.coalesce(F.size(read_json(F.col(c), f"{name} array<string>")[name]), F.lit(0)).cast("bigint").alias(name)
+    return runs.select(
+        "id", "workspace_id", "invoice_id", F.get_json_object("extraction_result_json", "$.fields.invoice_no.value").alias("invoice_no"),
+        size("tables_result_json", "items"), size("validation_result_json", "findings"),
+    )
+
+
+@query(
+    "u16_updated_invoices",
+    """SELECT i.id, coalesce(p.vendor_name, i.vendor_name) AS vendor_name, coalesce(p.client_name, i.client_name) AS client_name,
+    coalesce(t.total, i.total_amount_minor) AS total_amount_minor,
+    CASE WHEN r.doc_id IS NULL THEN i.status WHEN EXISTS (SELECT 1 FROM single s WHERE s.doc_id = r.doc_id AND s.outcome = 'fail') THEN 'flagged'
+      ELSE 'under_review' END AS status
+    FROM invoices i LEFT JOIN ran r ON r.invoice_id = i.id LEFT JOIN projected p ON p.doc_id = r.doc_id
+    LEFT JOIN (SELECT doc_id, cast(sum(try_cast(replace(replace(item_gross_worth, ' ', ''), ',', '') as bigint)) as bigint) AS total FROM item GROUP BY 1) t
+      ON t.doc_id = r.doc_id""", RUN_VIEWS, f"{SINGLE}, {DUE}, {PROJECTED}",
+)
+def _(g):
+    columns = ("id", "vendor_name", "client_name", "total_amount_minor", "status")
+    changed = ran(g)[1].tables["invoices"].select(*columns)
+    return U.coalescing_update(g.invoices.select(*columns), changed)
+
+
+@query(
+    "u16_run_findings",
+    f"""SELECT {DID.format('vf', 'invoice_id, rule_name, target')} AS id, workspace_id, invoice_id, rule_name, target, upper(outcome) AS outcome
+    FROM single JOIN ran USING (doc_id)""", RUN_VIEWS, f"{SINGLE}, {DUE}",
+)
+def _(g):
+    return ran(g)[1].tables["validation_findings"].select("id", "workspace_id", "invoice_id", "rule_name", "target", "outcome")
+
+
+@query(
+    "u16_finished_jobs",
+    """SELECT j.id, CASE WHEN p.id IS NULL THEN j.state WHEN p.error IS NULL THEN 'done' ELSE 'failed' END AS state,
+    CASE WHEN p.id IS NULL THEN j.attempts ELSE j.attempts + 1 END AS attempts, p.error AS error_message,
+    CASE WHEN p.reason IS NOT NULL THEN 'failed' WHEN p.id IS NOT NULL AND p.error IS NULL THEN 'extracted' END AS message_status
+    FROM jobs j LEFT JOIN planned p ON p.id = j.id""", RUN_VIEWS, DUE,
+)
+def _(g):
+    planned, changes = ran(g)
+    jobs = g.jobs.select("id", "workspace_id", "inbox_message_id", "state", "attempts")
+    done = changes.tables["jobs"].select("id", F.col("state").alias("new_state"), F.col("attempts").alias("new_attempts"), "error_message", F.lit(True).alias("ran"))
+    messages = changes.tables["inbox_messages"].select("workspace_id", F.col("id").alias("inbox_message_id"), F.col("status").alias("message_status"))
+    return jobs.join(done, "id", "left").join(messages, ["workspace_id", "inbox_message_id"], "left").select(
+        "id", F.coalesce("new_state", "state").alias("state"), F.coalesce("new_attempts", "attempts").alias("attempts"), "error_message",
+        F.when(F.col("ran") & (F.col("error_message").isNull() | ~F.col("error_message").isin(N.NO_MESSAGE, N.NO_INVOICE)), F.col("message_status")).alias("message_status"),
+    )
