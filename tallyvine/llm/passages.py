@@ -16,20 +16,23 @@ from tallyvine.llm.suffix_array import repeated_starts
 
 #: Bytes of a repeated string, and of the string in it that says where it is looked for.
 WIDTH, GRAM = 400, 64
-#: Different stretches of a shard's group; a larger group is split by more of their bytes.
-GROUP = 32
+#: Different stretches of a shard's group, and how far apart their windows may start. Others are first split by more
+#: of the bytes that their windows hold, so that what is equal as a whole or shares only a phrase needs no sorting.
+GROUP, NARROW = 32, 84
 #: Bytes whose anchors are found at once, bytes of the shards that a worker sorts together, and of one shard.
-BUFFER, HELD, SHARD = 2 << 20, 2 << 20, 8192
+BUFFER, HELD, SHARD = 512 << 10, 1 << 20, 4096
 
 _SPAN = WIDTH - GRAM + 1
 _rng = np.random.default_rng(31)
 _BYTES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = 0xD1342543DE82EF95
+_POWERS = np.cumprod(np.full(BUFFER + WIDTH, _STEP, dtype=np.uint64))
+_INVERSE = np.cumprod(np.full(BUFFER + WIDTH, pow(_STEP, -1, 1 << 64), dtype=np.uint64))
 _POSITION = np.uint64((1 << 24) - 1)
 
 
 def _anchors(texts: list[bytes], offsets: list[int]) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """``(text, anchor, stretch, start, windows, before)`` of texts of together fewer than 2^24 bytes.
+    """``(text, anchor, stretch, start, windows, before)`` of texts of together fewer than ``BUFFER + WIDTH`` bytes.
 
     The anchor of a window of ``WIDTH`` bytes is the gram in it with the least hash, the first
     of equal ones: a function of the window's bytes alone, so equal windows have equal anchors
@@ -40,11 +43,9 @@ def _anchors(texts: list[bytes], offsets: list[int]) -> Iterator[tuple[int, int,
     if n <= 0:
         return
     b = np.frombuffer(whole, dtype=np.uint8)
-    powers = np.cumprod(np.full(len(b), _STEP, dtype=np.uint64))
-    inverse = np.cumprod(np.full(len(b), pow(_STEP, -1, 1 << 64), dtype=np.uint64))
     sums = np.zeros(len(b) + 1, dtype=np.uint64)
-    np.cumsum(_BYTES[b] * powers, out=sums[1:])
-    gram = (sums[GRAM:] - sums[:-GRAM]) * inverse[: len(b) - GRAM + 1]
+    np.cumsum(_BYTES[b] * _POWERS[: len(b)], out=sums[1:])
+    gram = (sums[GRAM:] - sums[:-GRAM]) * _INVERSE[: len(b) - GRAM + 1]
     gram ^= gram >> np.uint64(29)
     gram *= np.uint64(0xBF58476D1CE4E5B9)
     gram ^= gram >> np.uint64(32)
@@ -168,28 +169,32 @@ def _halves(items: DataFrame) -> DataFrame:
 def _repeated(stretches: DataFrame, texts: DataFrame) -> DataFrame:
     """``anchor, stretch, lo, hi``: ranges of windows of a stretch that occur elsewhere too."""
     kinds = staged(stretches.groupBy("anchor", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("key", "start", "windows", "before")).alias("one")), "passages-kinds")
-    groups = kinds.groupBy("anchor").agg(F.count("*").alias("d"), F.sum("n").alias("total")).where("total > 1")
-    shared = staged(kinds.join(groups, "anchor").select("anchor", "stretch", "n", "d", "one.*"), "passages-shared")
+    groups = kinds.groupBy("anchor").agg(F.count("*").alias("d"), F.sum("n").alias("total"), F.min("n").alias("least")).where("total > 1")
+    shared = staged(kinds.join(groups, "anchor").select("anchor", "stretch", "n", "d", "least", "one.*"), "passages-shared")
     # One stretch, several times: all its windows are repeated. What different ones share is left to the shards.
     found = [shared.where("n > 1").select("anchor", "stretch", F.lit(0).alias("lo"), (F.col("windows") - 1).alias("hi"))]
-    bodies = shared.where("d > 1").join(texts, "key").withColumn("body", _part(F.col("body"), F.col("start"), F.col("windows") + WIDTH - 1))
+    bodies = shared.where("d > 1 and least = 1").join(texts, "key").withColumn("body", _part(F.col("body"), F.col("start"), F.col("windows") + WIDTH - 1))
     items = staged(bodies.select(
         F.col("anchor").alias("group"), F.col("stretch").alias("sub"), "n", "anchor", "stretch", F.lit(0).alias("low"), "windows", "before", "body", F.lit(0).alias("nearest"), F.lit(WIDTH - GRAM).alias("farthest"), "d",
     ), "passages-items")
     while True:
-        several = items.where((F.col("d") > 1) & (F.col("d") <= GROUP))
+        ready_ = (F.col("d") <= GROUP) & (F.col("farthest") - F.col("nearest") <= NARROW)
+        several = items.where(ready_)
         runs = _sorted_shards(several.dropDuplicates(["group", "sub"]))
         own = several.select("group", "sub", "anchor", "stretch", "low").join(runs, ["group", "sub"]).select("anchor", "stretch", "low", F.explode("runs").alias("run"))
         found.append(staged(own.select("anchor", "stretch", (F.col("low") + F.col("run.lo")).alias("lo"), (F.col("low") + F.col("run.hi")).alias("hi")), "passages-runs"))
-        large = items.where(F.col("d") > GROUP).drop("d", "holders")
-        if large.isEmpty():
+        wide = items.where(~ready_).drop("d")
+        if wide.isEmpty():
             return _union(found)
         # At the latest when a half is one window, its group has one body.
-        split = staged(_halves(large), "passages-split")
+        split = _halves(wide)
         subs = split.groupBy("group", "sub").agg(F.sum("n").alias("holders"))
-        counts = subs.groupBy("group").agg(F.count("*").alias("d"), F.sum("holders").alias("total")).where("total > 1").drop("total")
-        items = staged(split.join(counts, "group").join(subs, ["group", "sub"]), "passages-items")
+        counts = subs.groupBy("group").agg(F.count("*").alias("d"), F.sum("holders").alias("total"), F.min("holders").alias("least")).where("total > 1").drop("total")
+        items = split.join(subs.join(counts, "group"), ["group", "sub"])
+        # Where all of a group occur several times there is nothing left to compare.
+        items = staged(items.withColumn("body", F.when((F.col("d") > 1) & (F.col("least") == 1), F.col("body"))), "passages-items")
         found.append(items.where("holders > 1").select("anchor", "stretch", F.col("low").alias("lo"), (F.col("low") + F.col("windows") - 1).alias("hi")))
+        items = items.where("body is not null").drop("holders", "least")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
