@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyvine.functions.text import strip
 from tallyvine.operators.dashboards import latest_per_key
+from tallyvine.session import materialise
 
 # --- JSON-lines store ----------------------------------------------------------
 
@@ -106,6 +107,51 @@ def without_tenants(table: DataFrame, tenants: DataFrame, column: str = "workspa
     )
 
 
+# Which column of a table names the row of the table that it goes with. In this order: parents first.
+CASCADE: tuple[tuple[str, str, str], ...] = (
+    ("sources", "workspace_id", "workspaces"),
+    ("inbox_messages", "workspace_id", "workspaces"),
+    ("invoices", "inbox_message_id", "inbox_messages"),
+    ("invoices", "workspace_id", "workspaces"),
+    ("pipeline_runs", "invoice_id", "invoices"),
+    ("validation_findings", "invoice_id", "invoices"),
+    ("jobs", "inbox_message_id", "inbox_messages"),
+)
+
+
+def tombstones(tables: dict[str, DataFrame], tenants: DataFrame, events: DataFrame, tag: str) -> dict[str, DataFrame]:
+    """``id`` of the rows that go with the tenants, by table: what hangs on them in key order, their owners, and the tagged events.
+
+    A row goes with any of its parents, so a child that lies in another tenant goes too.
+    Events that only mention a tenant stay: they are a log. Each table's ids are written once, as the next tables hang on them.
+    """
+    gone = {"workspaces": materialise(tables["workspaces"].join(tenants.select(F.col("workspace_id").alias("id")), "id", "left_semi").select("id"), "gone-workspaces")}
+    for table in dict.fromkeys(t for t, _, _ in CASCADE):
+        parts = []
+        for _, column, parent in (c for c in CASCADE if c[0] == table and c[2] in gone):
+            parts.append(tables[table].join(gone[parent].select(F.col("id").alias(column)), column, "left_semi").select("id"))
+        ids = parts[0]
+        for more in parts[1:]:
+            ids = ids.unionByName(more)
+        gone[table] = materialise(ids.distinct(), f"gone-{table}")
+    owners = tables["workspaces"].join(gone["workspaces"], "id", "left_semi").select(F.col("owner_user_id").alias("id")).distinct()
+    gone["users"] = tables["users"].join(owners, "id", "left_semi").select("id")
+    gone["events"] = events.where(F.get_json_object("metadata_json", "$.seed") == tag).select("id")
+    return gone
+
+
+def wiped(tables: dict[str, DataFrame], gone: dict[str, DataFrame], again: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The tables without the rows that are gone, and with those put in ``again``; a row put in again replaces one of its id."""
+    out = {}
+    for name, table in tables.items():
+        kept = table.join(gone[name], "id", "left_anti").select(*table.columns) if name in gone else table
+        fresh = (again or {}).get(name)
+        if fresh is not None:
+            kept = kept.join(fresh.select("id"), "id", "left_anti").select(*table.columns).unionByName(fresh.select(*table.columns))
+        out[name] = kept
+    return out
+
+
 # --- stored files --------------------------------------------------------------
 
 

@@ -492,8 +492,10 @@ vals AS (SELECT doc_id, item_index,
 cols AS MATERIALIZED (SELECT a.*, decimals, vat, words[1] AS line_one, coalesce(word_x, anchor_x1 + 10) AS desc_left,
     coalesce(first_x - 10, page_width / 3.0) AS desc_right
   FROM item_anchor a LEFT JOIN vals v USING (doc_id, item_index)),
-below AS (SELECT c.doc_id, c.item_index, line_no, trim(text) AS text FROM cols c JOIN inside l
-  ON l.doc_id = c.doc_id AND line_no <> anchor_line_no AND y0 > band_bottom AND y0 < limit_y
+reach AS MATERIALIZED (SELECT *, unnest(range(cast(floor(band_bottom / 128) as int), cast(floor(limit_y / 128) as int) + 1)) AS slice FROM cols),
+placed AS MATERIALIZED (SELECT doc_id, line_no, text, x0, y0, cast(floor(y0 / 128) as int) AS slice FROM inside),
+below AS MATERIALIZED (SELECT c.doc_id, c.item_index, line_no, trim(text) AS text FROM reach c JOIN placed l
+  ON l.doc_id = c.doc_id AND l.slice = c.slice AND line_no <> anchor_line_no AND y0 > band_bottom AND y0 < limit_y
     AND x0 >= desc_left - 20 AND x0 < desc_right),
 tail AS (SELECT doc_id, item_index, string_agg(text, ' ' ORDER BY line_no) AS tail FROM below WHERE text <> '' GROUP BY 1, 2),
 items AS (SELECT doc_id, item_index,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from tallyvine.session import shared_folder
 from tallyvine.sources import csv_export as C
 from tallyvine.sources import groundtruth as G
 from tallyvine.sources import store as S
-from tallyvine.sources.config import KEYWORDS
+from tallyvine.sources.config import KEYWORDS, mailbox_config
 from verification.evaluation_queries import FG, HEADER, PER_FIELD, SCORES
 from verification.registry import query
 from verification.upkeep_queries import SNIFF
@@ -201,12 +202,58 @@ def _(g):
 @query(
     "s12_without_seeded_tenants",
     """SELECT id, workspace_id FROM invoices WHERE workspace_id NOT IN (SELECT workspace_id FROM audit_events
-    WHERE json_extract_string(metadata_json, '$.seed') = 'demo' AND ts < 1704200000000)""",
+    WHERE json_extract_string(metadata_json, '$.seed') = 'demo')""",
     ("invoices", "audit_events"),
 )
 def _(g):
-    early = g.audit_events.where("ts < 1704200000000")
-    return S.without_tenants(g.invoices, S.tagged_tenants(early, "demo")).select("id", "workspace_id")
+    return S.without_tenants(g.invoices, S.tagged_tenants(g.audit_events, "demo")).select("id", "workspace_id")
+
+
+WIPED = ("workspaces", "users", "sources", "inbox_messages", "invoices", "pipeline_runs", "validation_findings", "jobs", "audit_events")
+GONE = """gone_ws AS (SELECT id, owner_user_id FROM workspaces WHERE id IN (SELECT workspace_id FROM audit_events WHERE json_extract_string(metadata_json, '$.seed') = 'demo')),
+gone_msg AS (SELECT id FROM inbox_messages WHERE workspace_id IN (SELECT id FROM gone_ws)),
+gone_inv AS (SELECT id FROM invoices WHERE workspace_id IN (SELECT id FROM gone_ws) OR inbox_message_id IN (SELECT id FROM gone_msg)),
+gone AS (SELECT 'workspaces' AS kind, id FROM gone_ws UNION ALL SELECT 'users', id FROM users WHERE id IN (SELECT owner_user_id FROM gone_ws)
+  UNION ALL SELECT 'sources', id FROM sources WHERE workspace_id IN (SELECT id FROM gone_ws)
+  UNION ALL SELECT 'inbox_messages', id FROM gone_msg UNION ALL SELECT 'invoices', id FROM gone_inv
+  UNION ALL SELECT 'pipeline_runs', id FROM pipeline_runs WHERE invoice_id IN (SELECT id FROM gone_inv)
+  UNION ALL SELECT 'validation_findings', id FROM validation_findings WHERE invoice_id IN (SELECT id FROM gone_inv)
+  UNION ALL SELECT 'jobs', id FROM jobs WHERE inbox_message_id IN (SELECT id FROM gone_msg)
+  UNION ALL SELECT 'events', id FROM audit_events WHERE json_extract_string(metadata_json, '$.seed') = 'demo')"""
+
+
+def seeded(g):
+    tables = {t: g.view(t) for t in WIPED[:-1]}
+    return tables, S.tombstones(tables, S.tagged_tenants(g.audit_events, "demo"), g.audit_events, "demo")
+
+
+@query("s12_tombstones", "SELECT * FROM gone", WIPED, GONE)
+def _(g):
+    out = None
+    for kind, ids in seeded(g)[1].items():
+        rows = ids.select(F.lit(kind).alias("kind"), "id")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(
+    "s12_wiped_and_seeded_again",
+    """SELECT 'invoices' AS kind, id, status AS detail FROM invoices WHERE id NOT IN (SELECT id FROM gone WHERE kind = 'invoices')
+    UNION ALL SELECT 'jobs', id, state FROM jobs WHERE id NOT IN (SELECT id FROM gone WHERE kind = 'jobs')
+    UNION ALL SELECT 'invoices', i.id, 'pending' FROM invoices i JOIN gone_ws w ON w.id = i.workspace_id WHERE i.status = 'flagged'""", WIPED, GONE,
+)
+def _(g):
+    """The tagged tenants' flagged invoices are put in again, as pending."""
+    tables, gone = seeded(g)
+    again = tables["invoices"].join(gone["workspaces"].select(F.col("id").alias("workspace_id")), "workspace_id", "left_semi").where("status = 'flagged'")
+    again = again.withColumn("status", F.lit("pending")).select(*tables["invoices"].columns)
+    left = S.wiped({t: tables[t] for t in ("invoices", "jobs")}, gone, {"invoices": again})
+    row = lambda kind, column: left[kind].select(F.lit(kind).alias("kind"), "id", F.col(column).alias("detail"))
+    return row("invoices", "status").unionByName(row("jobs", "state"))
+
+
+# A configuration document as an operator writes it: the parser's keywords do the counting.
+SETTINGS = {"email_ingestion": {"subject_keywords": [f" {k.title()} " for k in KEYWORDS] + ["  "], "max_attachments_per_message": 5}}
 
 
 @query(
@@ -215,7 +262,7 @@ def _(g):
 )
 def _(g):
     low = F.lower("text")
-    words = F.array(*[F.lit(k) for k in KEYWORDS])
+    words = F.array(*[F.lit(k) for k in mailbox_config(json.dumps(SETTINGS)).keywords()])
     return g.documents.select(
         "doc_id", F.size(F.filter(words, lambda k: F.contains(low, k))).cast("bigint").alias("keywords")
     )

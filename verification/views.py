@@ -496,7 +496,7 @@ def _audit_events(d):
       concat('user-', cast(user_id as string)) AS actor_user_id, user_id,
       case event_type when 'click' then 'invoice.uploaded' when 'error' then 'login.failed'
         when 'purchase' then 'login.ok' when 'signup' then 'source.connected' else 'invoice.viewed' end AS action,
-      case when event_type = 'signup' and value > 5 then '{{"seed":"demo"}}'
+      case when event_type = 'signup' and value > 5 and user_id % 25 in (3, 11, 19) then '{{"seed":"demo"}}'
            when event_type = 'view' then null else props end AS metadata_json,
       cast(round(value * 100) as bigint) AS value_c,
       {d.ms('ts')} AS ts
