@@ -7,7 +7,7 @@ one row per invoice or tenant before they meet another table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyvine.functions.messages import failure_message, with_rule_texts
@@ -162,6 +162,47 @@ def dashboard(
     )
 
 
+def refresh_months(invoices: DataFrame, findings: DataFrame, path: str, months: DataFrame | None = None, vendor_limit: int = 5) -> None:
+    """Keep tiles and best vendors by (month, tenant): those of the given ``months(month_ms)`` are computed anew, or all.
+
+    Each month is a partition of its own and is replaced as a whole; the others' files stay.
+    ``changed_months`` says which months a batch of changed invoices and findings touches.
+    """
+    if months is not None:
+        starts = [r[0] for r in months.select("month_ms").distinct().collect()]  # a row a month
+        if not starts:
+            return
+        touched = F.lit(False)
+        for start in starts:
+            touched = touched | ((F.col("created_at") >= start) & (F.col("created_at") < start + 32 * 86_400_000))
+        # The range reaches the scan, the exact month decides.
+        invoices = invoices.where(touched & month_start(F.col("created_at")).isin(starts))
+        findings = findings.join(invoices.select("workspace_id", F.col("id").alias("invoice_id")), ["workspace_id", "invoice_id"], "left_semi")
+    for name, rows in (("tiles", monthly_totals(invoices, findings)), ("vendors", top_vendors(invoices, vendor_limit))):
+        writer = rows.repartition("month_ms").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("month_ms").parquet(f"{path}/{name}")
+
+
+def changed_months(invoices: DataFrame, findings: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
+    """Months that a batch of invoices touches, and with ``stored`` invoices those that its findings do."""
+    months = invoices.select(month_start(F.col("created_at")).alias("month_ms"))
+    if findings is not None and stored is not None:
+        named = findings.select("workspace_id", F.col("invoice_id").alias("id"))
+        months = months.unionByName(stored.join(named, ["workspace_id", "id"], "left_semi").select(month_start(F.col("created_at")).alias("month_ms")))
+    return months.distinct()
+
+
+def stored_months(spark: SparkSession, path: str, name: str, start_ms: int | None = None, end_ms: int | None = None, workspace_id: str | None = None) -> DataFrame:
+    """What ``refresh_months`` keeps, ``tiles`` or ``vendors``; a period reads only its months."""
+    rows = spark.read.parquet(f"{path}/{name}")
+    rows = rows.withColumn("month_ms", F.col("month_ms").cast("bigint")) if dict(rows.dtypes)["month_ms"] != "bigint" else rows
+    if start_ms is not None:
+        rows = rows.where(F.col("month_ms") >= start_ms)
+    if end_ms is not None:
+        rows = rows.where(F.col("month_ms") < end_ms)
+    return rows if workspace_id is None else for_tenant(rows, workspace_id)
+
+
 def client_rollup(workspaces: DataFrame, invoices: DataFrame, findings: DataFrame) -> DataFrame:
     """Linked client tenants with invoice and open-flag totals.
 
@@ -219,6 +260,42 @@ def client_invoices(
     )
 
 
+#: Rows of one range of a paged list.
+PAGE_RANGE = 200_000
+
+
+def write_pages(df: DataFrame, path: str, tenant: str, column: str, tie: str, rows: int = PAGE_RANGE) -> None:
+    """Store a list for reading pages however deep: ranges of some ``rows`` rows in list order, and a directory of them.
+
+    The order is (tenant, newest first, tie); a large tenant lies in many ranges. The directory
+    has a row for each tenant of each range: its rows there, and those in the ranges before.
+    """
+    order = [F.asc(tenant), F.desc(column), F.asc(tie)]
+    parts = max(1, -(-df.count() // rows))
+    ranged = df.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id())
+    ranged.sortWithinPartitions(*order).write.partitionBy("range").parquet(f"{path}/rows")
+    stored = df.sparkSession.read.parquet(f"{path}/rows")
+    counts = stored.groupBy(F.col(tenant).alias("tenant"), "range").agg(F.count("*").alias("n"))
+    # At most one row for each range and tenant that has rows in it.
+    before = F.sum("n").over(Window.partitionBy("tenant").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    counts.withColumn("first", F.coalesce(before, _zero())).write.parquet(f"{path}/directory")
+
+
+def read_page(spark: SparkSession, path: str, tenant: str, column: str, tie: str, limit: int, offset: int = 0, one: str | None = None) -> DataFrame:
+    """The same page of every tenant, or of ``one``, with each row's ``rank``: only the ranges that hold it are read and sorted."""
+    directory = spark.read.parquet(f"{path}/directory").where((F.col("first") < offset + limit) & (F.col("first") + F.col("n") > offset))
+    rows = spark.read.parquet(f"{path}/rows")
+    if one is not None:
+        directory = directory.where(F.col("tenant") == one)
+        ranges = [r[0] for r in directory.select("range").distinct().collect()]  # those of one page
+        rows = rows.where((F.col(tenant) == one) & F.col("range").isin(ranges))
+    marks = directory.select(F.col("tenant").alias("owner"), F.col("range").alias("at"), "first")
+    held = rows.join(marks, F.col(tenant).eqNullSafe(F.col("owner")) & (F.col("range") == F.col("at")))
+    within = Window.partitionBy("range", tenant).orderBy(F.desc(column), F.asc(tie))
+    ranked = held.withColumn("rank", (F.col("first") + F.row_number().over(within)).cast("int"))
+    return ranked.where((F.col("rank") > offset) & (F.col("rank") <= offset + limit)).drop("owner", "at", "first", "range")
+
+
 def newest_first(df: DataFrame, column: str, tie: str, limit: int, offset: int = 0) -> DataFrame:
     """One page of a list, newest first with the id as tie-break."""
     return df.orderBy(F.desc(column), F.asc(tie)).offset(offset).limit(limit)
@@ -316,10 +393,23 @@ def business_flags(findings: DataFrame) -> DataFrame:
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The newest row per key; combines before the shuffle."""
-    rest = [c for c in df.columns if c not in keys]
-    newest = F.max_by(F.struct(*rest), F.struct(*order)).alias("newest")
-    return df.groupBy(*keys).agg(newest).select(*keys, *[f"newest.{c}" for c in rest])
+    """The newest row per key, in all its columns.
+
+    The winners are found among keys and order alone, with a combine before the shuffle;
+    what else a row has is read for the winners afterwards, so long texts never pass
+    through the aggregate. The order's columns together tell the rows of a key apart;
+    rows equal in all of them come out as one.
+    """
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    newest = F.max(F.struct(*order)).alias("newest")
+    winners = df.select(*keys, *order).groupBy(*keys).agg(newest).select(*keys, *[F.col(f"newest.{c}").alias(c) for c in order])
+    if not rest:
+        return winners.select(*df.columns)
+    marks = winners.select(*[F.col(c).alias(f"won_{c}") for c in (*keys, *order)])
+    same = F.lit(True)
+    for c in (*keys, *order):
+        same = same & F.col(c).eqNullSafe(F.col(f"won_{c}"))
+    return df.join(marks, same, "left_semi").dropDuplicates([*keys, *order])
 
 
 def accountant_details(summaries: DataFrame, runs: DataFrame) -> DataFrame:

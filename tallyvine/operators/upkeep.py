@@ -233,10 +233,22 @@ def replace_findings(table: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def upsert_runs(table: DataFrame, fresh: DataFrame) -> DataFrame:
-    """One run per (invoice, version): the fresh one where there is one, however old its time; other versions stay."""
-    key = ["invoice_id", "pipeline_version"]
-    newest = lambda runs: latest_per_key(runs, key, ["created_at", "id"]).select(*table.columns)
-    return newest(table).join(fresh.select(*key).distinct(), key, "left_anti").select(*table.columns).unionByName(newest(fresh))
+    """One run per (invoice, version): the fresh one where there is one, however old its time; other versions stay.
+
+    The winners are found among keys, times and ids in one aggregate; the runs themselves are only filtered by them.
+    """
+    key, order = ["invoice_id", "pipeline_version"], ["created_at", "id"]
+    slim = lambda runs, rank: runs.select(*key, F.lit(rank).alias("rank"), *order)
+    won = slim(table, 0).unionByName(slim(fresh, 1)).groupBy(*key).agg(F.max(F.struct("rank", *order)).alias("won")).select(*key, "won.*")
+
+    def winners(runs: DataFrame, rank: int) -> DataFrame:
+        marks = won.where(F.col("rank") == rank).select(*[F.col(c).alias(f"won_{c}") for c in (*key, *order)])
+        same = F.lit(True)
+        for c in (*key, *order):
+            same = same & F.col(c).eqNullSafe(F.col(f"won_{c}"))
+        return runs.select(*table.columns).join(marks, same, "left_semi")
+
+    return winners(table, 0).unionByName(winners(fresh, 1)).dropDuplicates([*key, *order])
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tallyvine.functions.messages import (
@@ -14,6 +16,7 @@ from tallyvine.functions.messages import (
 from tallyvine.functions.periods import month_bounds
 from tallyvine.operators import audit as A
 from tallyvine.operators import dashboards as D
+from tallyvine.session import shared_folder
 from verification.registry import query
 
 
@@ -435,3 +438,31 @@ def _(g):
 )
 def _(g):
     return A.next_due(g.jobs, DUE, 50).select("id", "next_run_at")
+
+
+@query(
+    "q10_deep_page",
+    f"""SELECT * FROM (SELECT *, cast(row_number() OVER (PARTITION BY workspace_id
+      ORDER BY received_at DESC, invoice_id) as int) AS rank FROM ({INBOX}))
+    WHERE rank > 120 AND rank <= 170""", INBOX_VIEWS,
+)
+def _(g):
+    """The fourth page or so of every tenant's whole list, through the directory of ranges."""
+    path = f"{shared_folder(g.spark)}/pages-{uuid.uuid4().hex}"
+    rows = D.inbox_list(g.inbox_messages, g.sources, g.invoices)
+    D.write_pages(rows, path, "workspace_id", "received_at", "invoice_id", 500)
+    return D.read_page(g.spark, path, "workspace_id", "received_at", "invoice_id", 50, 120)
+
+
+@query(
+    "q01_stored_months",
+    f"""SELECT * FROM ({TILES} GROUP BY 1, 2) WHERE month_ms >= 820454400000""", IV,
+)
+def _(g):
+    """Tiles kept by month: first without the flagged invoices, then their months again; later months only are read."""
+    path = f"{shared_folder(g.spark)}/months-{uuid.uuid4().hex}"
+    D.refresh_months(g.invoices.where("status <> 'flagged'"), g.validation_findings, path)
+    batch = g.invoices.where("status = 'flagged'")
+    D.refresh_months(g.invoices, g.validation_findings, path, D.changed_months(batch))
+    columns = D.monthly_totals(g.invoices, g.validation_findings).columns
+    return D.stored_months(g.spark, path, "tiles", 820454400000).select(*columns)
