@@ -32,17 +32,24 @@ def last_records(records: DataFrame, order: list[str]) -> DataFrame:
     return latest_per_key(records, ["id"], order).select("id", "data")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, block, line, value``: the lines of text files with their order, read by many tasks.
+
+    A file is read in splits, and a split gives its lines in order; rows of a split stay
+    together and in order in a task. ``block`` is where the split starts in the file, ``line`` counts
+    within it, so (file, block, line) is the order of lines in the file, however large it is.
+    """
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    # Grows with the rows of a task, which is all that is compared: rows of one split are in one task.
+    return lines.select(F.col("file_path").alias("file"), F.col("file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
+
+
 def read_foreign_store(spark: SparkSession, path: str) -> DataFrame:
-    """A store written by another program: one file, the line order decides.
+    """A store written by another program: the line order decides, the last record of an id wins.
 
-    The order of lines exists only inside the file, so each file is read as one
-    text and split with positions. For our own stores use ``read_store``.
+    Large files are read by many tasks (``numbered_lines``). For our own stores use ``read_store``.
     """
-    whole = spark.read.option("wholetext", True).text(path).select(
-        F.input_file_name().alias("file"), "value"
-    )
-    lines = whole.select("file", F.posexplode(F.split("value", "\n")).alias("pos", "value"))
-    return last_records(parse_records(lines), ["file", "pos"])
+    return last_records(parse_records(numbered_lines(spark, path)), ["file", "block", "line"])
 
 
 def append_store(results: DataFrame, path: str, seq: int | Column) -> None:
