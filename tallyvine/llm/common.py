@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyvine.session import materialise, prepare
+from tallyvine.session import discard, materialise, prepare
 
 #: Tables counted to have at most this many rows may be broadcast.
 FEW_ROWS = 50_000
@@ -80,8 +80,9 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         state = current.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
         if state == seen or state[0] == 0:
             break
-        seen = state
-        current = staged(_small_star(_large_star(current)), label)
+        seen, before = state, current
+        current = staged(_small_star(_large_star(before)), label)
+        discard(before)
     return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

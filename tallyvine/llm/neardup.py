@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyvine.llm.common import broadcast_if_few, components, staged, words
+from tallyvine.session import discard
 
 #: Words in a shingle; a link needs ``100 * both >= percent * either``.
 SHINGLE, PERCENT = 5, 85
@@ -18,10 +19,12 @@ SHINGLE, PERCENT = 5, 85
 HASHES, TREES, LEVELS = 128, 16, 5
 #: Percent of nodes that branch by a second token: 1 / 0.85 - 1, so a linked pair is expected to meet again at every level.
 SECOND = 18
-#: Nodes of up to so many documents are compared exhaustively.
-SMALL = 24
+#: Nodes of up to so many documents are compared exhaustively, by sketches of 64 bytes.
+SMALL = 2048
 #: Documents, and their shingles, on one side of a block that is compared with others.
-CLUSTER_ROWS, CLUSTER_SHINGLES = 512, 1_000_000
+CLUSTER_ROWS, CLUSTER_SHINGLES = 4096, 1_000_000
+#: Documents of a cluster of several blocks that all its others are compared with first.
+GUIDES = 8
 #: A sketch has 4 bits of every minhash. How many minhashes may differ in it: 4.5 standard
 #: deviations more than the least similarity gives, so a link is passed over in 3 of a million cases.
 NIBBLES = HASHES // 16
@@ -138,18 +141,20 @@ class _Forest:
         return i != j
 
 
-def _likely_pairs(batch: dict[str, np.ndarray], percent: int) -> Iterator[tuple[int, int, int]]:
-    """``(differing minhashes, i, j)`` of pairs of a cell that may be linked, by size and sketch; of one side with the other where there are two."""
+def _likely_pairs(batch: dict[str, np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """``(differing minhashes, i, partners of i)`` of pairs of a cell that may be linked, by size and sketch; of one side with the other where there are two."""
     bits, n, group, side = batch["bits"], batch["n_shingles"], batch["group"], batch["side"]
     most = _most_different(percent)
     for i in range(len(n) - 1):
-        x = bits[i + 1 :] ^ bits[i]
-        differ = ((x & 15) != 0).sum(axis=1) + ((x >> 4) != 0).sum(axis=1)
         m = n[i + 1 :]
-        fits = (differ <= most) & (100 * np.minimum(m, n[i]) >= percent * np.maximum(m, n[i])) & (group[i + 1 :] != group[i])
+        fits = (100 * np.minimum(m, n[i]) >= percent * np.maximum(m, n[i])) & (group[i + 1 :] != group[i])
         fits &= (side[i + 1 :] != side[i]) | (side[i] == 0)
-        for j in np.flatnonzero(fits):
-            yield int(differ[j]), i, int(i + 1 + j)
+        j = np.flatnonzero(fits)
+        x = bits[i + 1 + j] ^ bits[i]
+        differ = ((x & 15) != 0).sum(axis=1) + ((x >> 4) != 0).sum(axis=1)
+        near = differ <= most
+        if near.any():
+            yield differ[near].astype(np.int16), i, i + 1 + j[near]
 
 
 def _in_cells(rows: DataFrame, percent: int, exact: bool) -> DataFrame:
@@ -168,17 +173,26 @@ def _in_cells(rows: DataFrame, percent: int, exact: bool) -> DataFrame:
             "group": np.asarray(group), "side": np.asarray(side),
         }
         forest, out = _Forest(len(row)), []
-        found = _likely_pairs(cell, percent)
-        sets = [shingle_set(np.asarray(w)) for w in rest[0]] if exact else []
-        for _, i, j in sorted(found) if exact else found:
+        if not exact:
+            for _, i, partners in _likely_pairs(cell, percent):
+                out += [(row[i], row[j]) for j in partners.tolist() if forest.join(i, j)]
+            return out
+        likely = [(differ, np.full(len(j), i, dtype=np.int32), j.astype(np.int32)) for differ, i, j in _likely_pairs(cell, percent)]
+        if not likely:
+            return out
+        differ, left, right = (np.concatenate(c) for c in zip(*likely, strict=True))
+        order = np.argsort(differ, kind="stable")
+        sets: dict[int, np.ndarray] = {}
+        for i, j in zip(left[order].tolist(), right[order].tolist(), strict=True):
             if forest.find(i) == forest.find(j):
                 continue
-            if exact:
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * both < percent * (len(sets[i]) + len(sets[j]) - both):
-                    continue
-            forest.join(i, j)
-            out.append((row[i], row[j]))
+            for k in (i, j):
+                if k not in sets:
+                    sets[k] = shingle_set(np.asarray(rest[0][k]))
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                forest.join(i, j)
+                out.append((row[i], row[j]))
         return out
 
     names = ["cell", "row", "group", "side", "n_shingles", "bits", *(["hashes"] if exact else [])]
@@ -221,8 +235,9 @@ def _likely_links(sets: DataFrame, percent: int) -> DataFrame:
     roots = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.lit(0)))
     first = sets.select("row", "minhashes", F.explode(roots).alias("root")).select("row", "minhashes", "root", F.explode(_coordinates(F.col("root"))).alias("c"))
     level = first.select(_child(F.col("root"), F.col("c"), F.col("minhashes")).alias("node"), "row", F.col("row").alias("group"))
-    links = []
     sketches = sets.select("row", "bits", "n_shingles")
+    groups = None
+    level_written = None
     for depth in range(LEVELS):
         level = level.distinct() if depth else level
         sizes = level.groupBy("node").agg(
@@ -230,27 +245,43 @@ def _likely_links(sets: DataFrame, percent: int) -> DataFrame:
             F.min(F.struct((F.xxhash64("row", F.lit(depth)) if depth else F.col("row")).alias("rank"), "row")).alias("pivot"),
         ).where("n > 1 and g0 <> g1").select("node", "n", F.col("pivot.row").alias("pivot"))
         alive = staged(level.join(sizes, "node"), f"near-level{depth}")
+        if level_written is not None:
+            discard(level_written)
         small = alive.where(F.col("n") <= SMALL).join(sketches, "row").withColumns({"side": F.lit(0), "cell": F.col("node")})
-        links.append(staged(_in_cells(small, percent, False).distinct(), f"near-small{depth}"))
+        found = [staged(_in_cells(small, percent, False).distinct(), f"near-small{depth}")]
         large = alive.where(F.col("n") > SMALL)
-        if large.isEmpty():
+        more = not large.isEmpty()
+        if more:
+            to_pivot = large.where("row <> pivot").select(F.col("row").alias("a"), F.col("pivot").alias("b")).distinct()
+            near = to_pivot.join(sketches.select(F.col("row").alias("a"), F.col("bits").alias("x"), F.col("n_shingles").alias("n")), "a").join(
+                sketches.select(F.col("row").alias("b"), F.col("bits").alias("y"), F.col("n_shingles").alias("m")), "b"
+            ).where(_may_link(F.col("n"), F.col("m"), F.col("x"), F.col("y"), percent)).select("a", "b")
+            found.append(staged(near, f"near-star{depth}"))
+        groups = _joined(groups, found, f"near-groups{depth}")
+        if not more:
+            discard(alive)
             break
-        to_pivot = large.where("row <> pivot").select(F.col("row").alias("a"), F.col("pivot").alias("b")).distinct()
-        near = to_pivot.join(sketches.select(F.col("row").alias("a"), F.col("bits").alias("x"), F.col("n_shingles").alias("n")), "a").join(
-            sketches.select(F.col("row").alias("b"), F.col("bits").alias("y"), F.col("n_shingles").alias("m")), "b"
-        ).where(_may_link(F.col("n"), F.col("m"), F.col("x"), F.col("y"), percent)).select("a", "b")
-        links.append(staged(near, f"near-star{depth}"))
-        groups = staged(components(_all(links), "near-cc"), f"near-groups{depth}").select(F.col("node").alias("row"), "root")
-        grouped = large.join(groups, "row", "left").select("node", "row", F.coalesce("root", "row").alias("group"))
+        grouped = large.join(groups.select(F.col("a").alias("row"), F.col("b").alias("root")), "row", "left").select("node", "row", F.coalesce("root", "row").alias("group"))
         several = grouped.groupBy("node").agg(F.count("*").alias("n"), F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 <> g1").select("node", "n")
         kept = grouped.join(several, "node")
         if depth + 1 == LEVELS:
             rest = _blocks(kept.join(sketches, "row"), "node", F.ceil(F.col("n") / CLUSTER_ROWS).cast("int"))
-            links.append(staged(_in_cells(rest, percent, False).distinct(), "near-rest"))
+            groups = _joined(groups, [staged(_in_cells(rest, percent, False).distinct(), "near-rest")], "near-groups")
+            discard(alive)
             break
         branched = kept.join(sets.select("row", "minhashes"), "row").select("node", "row", "group", "minhashes", F.explode(_coordinates(F.col("node"))).alias("c"))
-        level = staged(branched.select(_child(F.col("node"), F.col("c"), F.col("minhashes")).alias("node"), "row", "group"), f"near-branch{depth}")
-    return _all(links)
+        level = level_written = staged(branched.select(_child(F.col("node"), F.col("c"), F.col("minhashes")).alias("node"), "row", "group"), f"near-branch{depth}")
+        discard(alive)
+    return groups
+
+
+def _joined(groups: DataFrame | None, links: list[DataFrame], label: str) -> DataFrame:
+    """``(a, b)``: each row that is in a group and the group's least row. Older groups and new links make them; both are discarded."""
+    edges = _all(links if groups is None else [groups, *links])
+    out = staged(components(edges, "near-cc").select(F.col("node").alias("a"), F.col("root").alias("b")), label)
+    for old in links if groups is None else [groups, *links]:
+        discard(old)
+    return out
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
@@ -261,17 +292,49 @@ def _all(parts: list[DataFrame]) -> DataFrame:
 
 
 def _links(sets: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Confirmed ``(a, b)`` that span every group of linked documents.
-
-    What hangs together by likely links is a cluster; its documents' full sets are
-    compared in blocks, a likely pair only if nothing in the block joins it already.
+    """Confirmed ``(a, b)``: each linked document and the least one that it hangs together with.
+
+    What hangs together by likely links is a cluster; a likely pair is confirmed on full
+    sets, if nothing in its block joins it already. A cluster of one block is compared there. A
+    larger one is first dealt into blocks that all hold the same few guides, so its rows
+    are sent once; most of a group of near copies hangs together then. Only what is not
+    in the cluster's largest group by then, the rest, is compared further: with itself and with the
+    largest group, block by block, and no pair within a group.
     """
-    clusters = staged(components(_likely_links(sets, percent), "near-cc"), "near-clusters")
-    members = clusters.select(F.col("node").alias("row"), F.col("root").alias("cluster")).join(sets.select("row", "bits", "n_shingles"), "row")
+    clusters = staged(_likely_links(sets, percent).select(F.col("a").alias("row"), F.col("b").alias("cluster")), "near-clusters")
+    members = clusters.join(sets.select("row", "bits", "n_shingles"), "row")
     sizes = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("words"))
-    k = F.greatest(F.ceil(F.col("n") / CLUSTER_ROWS), F.ceil(F.col("words") / CLUSTER_SHINGLES)).cast("int")
-    dealt = _blocks(members.join(sizes, "cluster").join(texts, "row").withColumn("group", F.col("row")), "cluster", k)
-    return staged(_in_cells(dealt, percent, True).distinct(), "near-links")
+    sizes = sizes.withColumn("k", F.greatest(F.ceil(F.col("n") / CLUSTER_ROWS), F.ceil(F.col("words") / CLUSTER_SHINGLES)).cast("int")).drop("n", "words")
+    dealt = staged(members.join(sizes, "cluster").withColumns({
+        "block": F.pmod(F.xxhash64("row", F.lit(9)), F.col("k")).cast("int"), "group": F.col("row"), "side": F.lit(0),
+    }), "near-dealt")
+    guides = dealt.where("k > 1").groupBy("cluster", "k").agg(F.min_by("row", F.xxhash64("row", F.lit(0))).alias("g0"), *[
+        F.min_by("row", F.xxhash64("row", F.lit(i))).alias(f"g{i}") for i in range(1, GUIDES)
+    ])
+    named = guides.select("cluster", "k", F.explode(F.array_distinct(F.array(*[f"g{i}" for i in range(GUIDES)]))).alias("row"))
+    everywhere = named.join(dealt.drop("cluster", "k", "block"), "row").select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("block"))
+    first = dealt.unionByName(everywhere).dropDuplicates(["row", "cluster", "block"]).withColumn("cell", F.xxhash64("cluster", "block"))
+    groups = _joined(None, [staged(_in_cells(first.join(texts, "row"), percent, True), "near-links")], "near-linked")
+
+    # What is left of clusters of several blocks.
+    large = dealt.where("k > 1").drop("group", "side", "block")
+    if large.isEmpty():
+        return groups
+    own = large.join(groups.select(F.col("a").alias("row"), F.col("b").alias("root")), "row", "left").withColumn("group", F.coalesce("root", "row")).drop("root")
+    counts = own.groupBy("cluster", "group").agg(F.count("*").alias("m"))
+    leading = counts.groupBy("cluster").agg(F.max_by("group", F.struct("m", "group")).alias("lead"), F.sum("m").alias("n"), F.max("m").alias("most")).where("most < n").select("cluster", "lead")
+    marked = staged(own.join(leading, "cluster").withColumn("rest", F.col("group") != F.col("lead")), "near-left")
+    share = marked.groupBy("cluster", "rest").agg(F.greatest(F.ceil(F.count("*") / CLUSTER_ROWS), F.ceil(F.sum("n_shingles") / CLUSTER_SHINGLES)).cast("int").alias("parts"))
+    shares = share.groupBy("cluster").agg(F.max(F.when(F.col("rest"), F.col("parts"))).alias("rests"), F.max(F.when(~F.col("rest"), F.col("parts"))).alias("leads"))
+    placed = marked.drop("k", "lead").join(shares, "cluster").withColumn("block", F.pmod(F.xxhash64("row", F.lit(11)), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("leads"))).cast("int"))
+    meets = placed.where("not rest").select("*", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("other")).select(
+        "row", "group", "n_shingles", "bits", F.lit(1).alias("side"), F.xxhash64("cluster", F.lit("lead"), "block", "other").alias("cell")
+    ).unionByName(placed.where("rest").select("*", F.explode(F.sequence(F.lit(0), F.col("leads") - 1)).alias("other")).select(
+        "row", "group", "n_shingles", "bits", F.lit(2).alias("side"), F.xxhash64("cluster", F.lit("lead"), "other", "block").alias("cell")
+    )).unionByName(_blocks(placed.where("rest").select("cluster", "row", "group", "n_shingles", "bits", "rests"), "cluster", F.col("rests")).select(
+        "row", "group", "n_shingles", "bits", "side", F.xxhash64("cell", F.lit("rest")).alias("cell")
+    ))
+    return _joined(groups, [staged(_in_cells(meets.join(texts, "row"), percent, True), "near-links")], "near-linked")
 
 
 def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = (), percent: int = PERCENT) -> DataFrame:
@@ -292,7 +355,7 @@ def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = (), percent: int =
     by_key = staged(filled.groupBy("set_key").agg(F.min("row").alias("rep"), F.count("*").alias("n")), "near-keys")
     sets = filled.select("row", "minhashes", "bits", "n_shingles").join(broadcast_if_few(by_key.select(F.col("rep").alias("row"))), "row", "left_semi")
     sets = staged(sets, "near-sets")
-    roots = staged(components(_links(sets, rows.select("row", "text"), percent), "near-cc"), "near-roots")
+    roots = _links(sets, rows.select("row", "text"), percent).select(F.col("a").alias("node"), F.col("b").alias("root"))
     keyed = by_key.join(roots, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("root", "rep").alias("root"))
     slim = rows.select("row", "doc_id", "n_shingles", "set_key")
     member = slim.where("n_shingles > 0").join(keyed, "set_key").select("row", "doc_id", "n_shingles", "root").unionByName(
