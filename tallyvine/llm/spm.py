@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -68,6 +69,8 @@ class Pieces:
                 entry = node.setdefault(c, [-1, {}])
                 node = entry[1]
             entry[0] = i
+        #: All characters that some piece holds; another one never joins its neighbours.
+        self._alphabet = frozenset().union(*self.ids)
         self._names = [p.piece for p in proto.pieces]
         #: Length of every piece, and the longest piece that begins it.
         self._length = list(map(len, self._names))
@@ -173,6 +176,14 @@ class Pieces:
                 return tuple(self.numbers(self.trace(text, 0, n)))
         return tuple(out)
 
+    def _parted(self, text: str) -> tuple[int, ...]:
+        """``_word`` of a text with characters that no piece holds: what lies between them is on its own."""
+        out: list[int] = []
+        for known, run in groupby(text, self._alphabet.__contains__):
+            part = "".join(run)
+            out += self._word(part) if known else self.numbers(list(part))
+        return tuple(out)
+
     def numbers(self, pieces: list[str]) -> list[int]:
         out: list[int] = []
         for p in pieces:
@@ -224,7 +235,12 @@ class Pieces:
         ids = newer.get(key) or older.get(key)
         if ids is None:
             word = before + key
-            ids = self._word(word) if self.merges else tuple(self.numbers(self.trace(word, 0, len(word))))
+            if not self.merges:
+                ids = tuple(self.numbers(self.trace(word, 0, len(word))))
+            elif self._alphabet.issuperset(word):
+                ids = self._word(word)
+            else:
+                ids = self._parted(word)
         if len(key) <= 64:
             if len(newer) >= WORDS:
                 known[:] = newer, older = {}, newer
@@ -396,14 +412,16 @@ def _long_texts(docs: DataFrame, model, size: int) -> DataFrame:
     chunks = staged(rows.mapInPandas(cut, CHUNKS).repartition("row", "chunk"), "spm-chunks")
     matrices = chunks.select("row", "chunk", "last", "start", "stop", "text").mapInPandas(transfers, "row long, chunk long, width int, matrix array<double>")
     # One small matrix for each chunk of one text; a text is one value, so their number is bounded.
-    states = matrices.groupBy("row").applyInPandas(scan, "row long, chunk long, into int, out int")
-    traced = chunks.join(states, ["row", "chunk"]).mapInPandas(trace, "row long, doc_id long, chunk long, ids array<int>")
+    # Explicit counts: few bytes a row, but Python work behind them, which adaptive execution would merge into one task.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    states = matrices.repartition(tasks, "row").groupBy("row").applyInPandas(scan, "row long, chunk long, into int, out int")
+    traced = chunks.join(states, ["row", "chunk"]).repartition(tasks, "row", "chunk").mapInPandas(trace, "row long, doc_id long, chunk long, ids array<int>")
     parts = traced.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
     return parts.select("doc_id", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
 
 
 def encoded(docs: DataFrame, path: str = MODEL, size: int = CHUNK) -> DataFrame:
-    """``doc_id, ids`` of every row of ``docs(doc_id, text)``; equal to the library's ids for the model.
+    """``doc_id, ids`` of every row of ``docs(doc_id, text)``; equal to the library's ids for a byte-pair model, and up to ties of equal scores for a unigram one.
 
     Null and empty texts have no ids. Repeated rows and ids, and null ids, give a row each;
     other columns are not looked at; no rows, no result.
