@@ -83,8 +83,10 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
 
     A window is a run of whole turns: ``own`` turns, which follow ``context`` repeated
     ones: the conversation's system turn (its first turn, up to half the budget) and as
-    much of the history before as fits ``history``. Turns are added while the budget
-    holds; a longer turn has a window of its own. ``starts`` and ``ends`` are the spans
+    much of the history before as fits ``history``. The next turn always comes: where the
+    context leaves no room, the oldest history goes first, then the system turn. Turns are added while the
+    budget holds, so only a turn that is longer by itself exceeds it, in a window of its own. The history of a
+    turn that follows one of several stretches is empty. ``starts`` and ``ends`` are the spans
     of ``text`` that count for the loss: own assistant texts, never repeated ones.
 
     Turns go by (turn, role, text), nulls first; null texts and roles are empty; repeated
@@ -107,8 +109,12 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
                 left -= line[back][3]
                 context.insert(0, line[back])
                 back -= 1
-            if system and line[at][1] != system[1]:
-                context.insert(0, system)
+            lead = [system] if system and line[at][1] != system[1] else []
+            # The next turn comes first: history gives way to it, oldest first, and then the system turn.
+            room = budget - line[at][3]
+            while context and sum(r[3] for r in lead + context) > room:
+                context.pop(0)
+            context = (lead if sum(r[3] for r in lead) <= room else []) + context
             used, end = sum(r[3] for r in context), at
             while end < len(line) and (end == at or used + line[end][3] <= budget):
                 used += line[end][3]
