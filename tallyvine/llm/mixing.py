@@ -73,7 +73,8 @@ def mixture(docs: DataFrame, weights=(5.0, 2.0, 1.0), most: float = 3.0, seed: s
 
     A document is taken ``copies`` whole times. Rows that share the hash at the threshold
     (one document as a rule) are taken as well if that comes nearer to the target; if
-    they are several repeated rows, each gives its equal share, its first ``part`` words.
+    they are several rows, each counts with its equal share, ``part`` words, for which
+    ``mixed_documents`` takes whole rows.
     ``taken = size * copies + part``. Null text: size 0. Null source: a source of its own,
     last. Null ids: one hash for all of them, so they are taken together. Other columns
     than those of documents are not looked at. An empty table gives an empty one.
@@ -97,14 +98,23 @@ def mixture(docs: DataFrame, weights=(5.0, 2.0, 1.0), most: float = 3.0, seed: s
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken, a partial last copy cut after its words."""
-    mixed = mixture(docs, **options)
-    cut = F.expr(r"regexp_extract(text, concat('^(?s)([\\x20\\x09-\\x0D]*(?:[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*){', part, '})'), 1)")
-    times = F.col("copies") + (F.col("part") > 0).cast("long")
-    out = mixed.where(times > 0).withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), times)))
-    text = F.when(F.col("turn") > F.col("copies"), cut).otherwise(F.col("text"))
-    return out.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("turn") > F.col("copies"), F.length(text).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+def mixed_documents(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
+    """The mix itself: each document, whole, as often as it is taken.
+
+    Of rows that share the hash at the threshold and give a ``part`` each, as many whole copies come as
+    their parts make up: equal rows are counted, and what is left of a copy is decided by a hash of the
+    text, so that reruns agree and their sizes add up to what is still wanted, on average. Null texts
+    have size 0 and come as often as their source is repeated whole.
+    """
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    mixed = mixture(docs, seed=seed, **options)
+    plain = mixed.where("part = 0").select(*columns, F.col("copies").alias("times"))
+    # Rows of one or few ids: the threshold is a single hash of each source.
+    equal = mixed.where("part > 0").groupBy(*columns).agg(F.sum("copies").alias("whole"), F.sum("part").alias("words"), F.max("size").alias("size"))
+    chance = hash60(F.col("doc_id"), F.md5(F.col("text").cast("binary")), seed=f"{seed}-part") / float(1 << 60)
+    shared = equal.select(*columns, (F.col("whole") + F.floor(F.col("words") / F.col("size") + chance)).cast("long").alias("times"))
+    rows = plain.unionByName(shared).where("times > 0")
+    return rows.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(*columns)
 
 
 #: The same over documents in DuckDB, without thresholds: running sums in hash order.
