@@ -22,8 +22,8 @@ IBAN_LENGTHS = {
 _SIZED = "|".join(
     rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items()
 )
-#: As long as the country's accounts are, so that a word or number after it is not taken for its end; others by form alone.
-IBAN = rf"{_EDGE}(?=[A-Z]{{2}}[0-9]{{2}})(?:(?:{_SIZED}){_END}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_END})"
+#: As long as the country's accounts are, so that a word or number after it is not taken for its end.
+IBAN = rf"{_EDGE}(?=[A-Z]{{2}}[0-9]{{2}})(?:{_SIZED}){_END}"
 SECRET = rf"{_EDGE}(?=[a-fA-F]{{0,63}}[0-9])[0-9a-fA-F]{{32,128}}{_END}"
 CARD = rf"{_EDGE}(?:[0-9]{{13,19}}|[0-9]{{4}}([ -])[0-9]{{4}}\1[0-9]{{4}}\1[0-9]{{1,7}}){_END}"
 DATE = rf"{_EDGE}(?:[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}|[0-9]{{1,2}}\.[0-9]{{1,2}}\.[0-9]{{4}}){_END}"
@@ -33,9 +33,12 @@ PHONE = rf"(?<![A-Za-z0-9+])(?:\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)|[0-9]{{1,
 KINDS = [("email", EMAIL), ("address", ADDRESS), ("iban", IBAN), ("secret", SECRET), ("card", CARD), ("date", DATE), ("social", SOCIAL), ("phone", PHONE)]
 ANY = "|".join(p.replace(r"\1", r"\k<sep>").replace("([ -])", "(?<sep>[ -])") for _, p in KINDS)
 
-#: Days from 1900-01-01 to 2100-01-01, both included: 487 * 150.
+#: Days from 1900-01-01 to 2100-01-01, both included: 487 * 150. They stay among themselves, and so do all others.
 DATE_MODULI = (487, 150)
 FIRST_DAY, DAYS = "1900-01-01", 487 * 150
+#: Days from 0001-01-01 to FIRST_DAY, and to the end of 9999; a permutation of somewhat more numbers than the other days are.
+DAYS_BEFORE, ALL_DAYS = 693_595, 3_652_059
+FAR_MODULI, FAR_WALK = (1892, 1892), 8
 #: Steps in which a day that can be written in a narrower form is found; over a fifth of all days can, so none is missed but by 1 in 10^24.
 WALK = 256
 #: Areas 001-665 and 667-899; groups 01-99 with serials 0001-9999.
@@ -132,7 +135,7 @@ def _card(x: Column, key: str) -> Column:
 
 
 def _iban(x: Column, key: str) -> Column:
-    """Country kept, account permuted, check digits computed anew; left alone if its check digits are wrong."""
+    """Country kept, account permuted, check digits computed anew. With wrong check digits only a card number inside it is replaced."""
 
     def make(d: Column) -> Column:
         country, account = F.substr(d, F.lit(1), F.lit(2)), F.substr(d, F.lit(5), F.length(d))
@@ -142,7 +145,8 @@ def _iban(x: Column, key: str) -> Column:
 
     plain = F.replace(x, F.lit(" "), F.lit(""))
     valid = mod97(F.concat(F.substr(plain, F.lit(5), F.length(plain)), F.substr(plain, F.lit(1), F.lit(4)))) == 1
-    return F.when(valid, _filled(x, _bound(plain, make))).otherwise(x)
+    card = F.regexp_extract(x, CARD, 0)
+    return F.when(valid, _filled(x, _bound(plain, make))).when(card != "", F.replace(x, card, _card(card, key))).otherwise(x)
 
 
 def _address(x: Column, key: str) -> Column:
@@ -155,9 +159,9 @@ def _address(x: Column, key: str) -> Column:
 
 
 def _date(x: Column, key: str) -> Column:
-    """Another day of 1900-01-01 to 2100-01-01, written alike; left alone if it is no such day.
+    """Another day, written alike; left alone if there is no such day.
 
-    Slash dates are read month first, and day first where the first number is no month.
+    Days of 1900-01-01 to 2100-01-01 stay in that range, other days of the years 1 to 9999 outside it. Slash dates are read month first, and day first where the first number is no month.
     Those, and dates with numbers of one digit, are permuted among the days that can be
     written so: the permutation of all days is repeated until it meets one.
     """
@@ -173,7 +177,14 @@ def _date(x: Column, key: str) -> Column:
         day.alias("day"), (F.length(m) == 1).alias("short_month"), (F.length(d) == 1).alias("short_day"),
         iso.alias("iso"), slash.alias("slash"), day_first.alias("day_first"), swapped.alias("swapped"),
     )
-    permuted = lambda n: permuted_number(n, DATE_MODULI, key, "date")
+    others = ALL_DAYS - DAYS
+
+    def far(n: Column) -> Column:
+        rank = n + F.when(n < 0, DAYS_BEFORE).otherwise(DAYS_BEFORE - DAYS)
+        walk = F.aggregate(F.sequence(F.lit(1), F.lit(FAR_WALK)), rank.cast("long"), lambda k, i: F.when((i == 1) | (k >= others), permuted_number(k, FAR_MODULI, key, "far")).otherwise(k))
+        return _bound(walk, lambda k: (k - F.when(k < DAYS_BEFORE, DAYS_BEFORE).otherwise(DAYS_BEFORE - DAYS)).cast("long"))
+
+    permuted = lambda n: F.when(n.between(0, DAYS - 1), permuted_number(n, DATE_MODULI, key, "date")).otherwise(far(n))
     at = lambda n: F.date_add(first, n.cast("int"))
 
     def moved(r: Column) -> Column:
@@ -185,11 +196,11 @@ def _date(x: Column, key: str) -> Column:
 
     def written(r: Column, n: Column) -> Column:
         pad = lambda v, short: F.when(short, v.cast("string")).otherwise(F.lpad(v.cast("string"), 2, "0"))
-        year, month, date = F.year(at(n)).cast("string"), pad(F.month(at(n)), r["short_month"]), pad(F.dayofmonth(at(n)), r["short_day"])
+        year, month, date = F.lpad(F.year(at(n)).cast("string"), 4, "0"), pad(F.month(at(n)), r["short_month"]), pad(F.dayofmonth(at(n)), r["short_day"])
         sep = F.when(r["slash"], "/").otherwise(".")
         return F.when(r["iso"], F.concat_ws("-", year, month, date)).when(r["day_first"], F.concat(date, sep, month, sep, year)).otherwise(F.concat(month, sep, date, sep, year))
 
-    new = _bound(read, lambda r: F.when(r["day"].between(0, DAYS - 1), _bound(moved(r), lambda n: written(r, n))))
+    new = _bound(read, lambda r: F.when(r["day"].between(-DAYS_BEFORE, ALL_DAYS - DAYS_BEFORE - 1), _bound(moved(r), lambda n: written(r, n))))
     return F.coalesce(new, x)
 
 
@@ -239,7 +250,7 @@ def _marked(text: Column) -> Column:
 
 
 def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """``doc_id, text, lang, source, n_chars, n_private``: texts with personal data replaced, and how many values were found.
+    """``doc_id, text, lang, source, n_chars, n_private``: texts with personal data replaced, and how many values were replaced.
 
     E-mail and IP addresses, IBANs, payment card and other 13-19 digit numbers, social
     security and phone numbers, dates, and hexadecimal secrets get a pseudonym of the same
@@ -254,10 +265,16 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     safe = F.when(held, F.replace(F.replace(F.replace(F.col("text"), F.lit("\x03"), F.lit("\x033")), F.lit("\x01"), F.lit("\x031")), F.lit("\x02"), F.lit("\x032"))).otherwise(F.col("text"))
     parts = F.when(F.col("text").rlike("[0-9@]"), _marked(safe)).otherwise(F.array(safe))
     rows = docs.select("doc_id", "text", "lang", "source", "n_chars", held.alias("held"), parts.alias("parts"))
-    put = lambda p: F.concat(pseudonym(F.substring_index(p, "\x02", 1), key), F.substr(p, F.instr(p, "\x02") + 1, F.length(p)))
-    found = F.transform("parts", lambda p, i: F.when(i == 0, p).otherwise(put(p)))
-    joined = F.array_join(found, "")
+
+    def put(p: Column) -> Column:
+        value = F.substring_index(p, "\x02", 1)
+        rest = F.substr(p, F.instr(p, "\x02") + 1, F.length(p))
+        return _bound(pseudonym(value, key), lambda new: F.struct(F.concat(new, rest).alias("text"), (new != value).alias("hidden")))
+
+    found = F.transform("parts", lambda p, i: F.when(i == 0, F.struct(p.alias("text"), F.lit(False).alias("hidden"))).otherwise(put(p)))
+    rows = rows.withColumn("found", found)
+    joined = F.array_join(F.transform("found", lambda f: f["text"]), "")
     back = F.replace(F.replace(F.replace(joined, F.lit("\x031"), F.lit("\x01")), F.lit("\x032"), F.lit("\x02")), F.lit("\x033"), F.lit("\x03"))
-    n = F.greatest(F.size("parts") - 1, F.lit(0)).cast("long")
+    n = F.size(F.filter("found", lambda f: f["hidden"])).cast("long")
     text = F.when(F.col("text").isNull() | (n == 0), F.col("text")).when(F.col("held"), back).otherwise(joined)
     return rows.select("doc_id", text.alias("text"), "lang", "source", "n_chars", F.when(F.col("text").isNull(), F.lit(0)).otherwise(n).cast("long").alias("n_private"))
