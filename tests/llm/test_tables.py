@@ -50,13 +50,22 @@ def test_chat_reads_back_and_keeps_the_budget(spark):
     for w in windows.where("conv_id in (99, 100)").collect():
         turns = chat.parsed(w.text)
         assert len(turns) == w.context + w.own and not any(c in b for r, b in turns for c in chat.CONTROL)
-        assert w.own == 1 or sum(tokens(b) for _, b in turns) <= budget
+        assert sum(tokens(b) for _, b in turns) <= budget or (w.own == 1 and w.context == 0)
         if w.conv_id == 100:
             assert turns[0][0] == "system"
         assert sum(tokens(b) for r, b in turns[: w.context] if r != "system") <= history
     assert chat.digests(chat.windows(spark.createDataFrame([], TURN))).collect() == []
 
 
+def test_chat_context_gives_way_to_a_long_turn(spark):
+    """History goes first, then the system turn; only a turn longer than the budget exceeds it."""
+    sizes = [("system", 240), ("user", 40), ("assistant", 40), ("user", 400), ("assistant", 30), ("user", 900), ("assistant", 20)]
+    df = spark.createDataFrame([(1, t, role, "w " * n) for t, (role, n) in enumerate(sizes)], TURN)
+    got = [(w.place, w.context, w.own, sum(len(b.split()) + chat.OVERHEAD for _, b in chat.parsed(w.text))) for w in chat.windows(df, 512, 100).orderBy("place").collect()]
+    assert sum(own for _, _, own, _ in got) == len(sizes)
+    assert all(size <= 512 or (own == 1 and context == 0 and size == 904) for _, context, own, size in got)
+
+
 @pytest.mark.parametrize("last", [["end " * 2], ["giant " * 2500, "after", "end"]])
 def test_chat_stretches_without_a_turn_of_their_own(spark, last):
     """The last turn, or one longer than a stretch, begins in what the next stretch would repeat."""
@@ -111,6 +120,22 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(spark, pages.limit(0)).collect() == []
 
 
+def test_every_archive_has_a_reader_of_its_own(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2_000)
+    rng = random.Random(1)
+    rows = [(i, f"http://h/{i}", "".join(rng.choice("abcdefgh") for _ in range(2_000))) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    folder = f"file://{tmp_path}/warc"
+    manifest = warc.write_archives(warc.marked(pages), folder)
+    archives = manifest.count()
+    assert archives > 20  # archives roll over
+    read = warc.read_archives(manifest, folder)
+    assert read.rdd.getNumPartitions() == archives
+    readers = read.select(F.spark_partition_id().alias("p"), "archive").distinct().collect()
+    assert len({r.p for r in readers}) > archives / 2
+    assert {(r.page_id, bytes(r.payload).decode()) for r in read.collect()} == {(i, h) for i, _, h in rows}
+
+
 def test_warc_reader_is_strict_and_incremental():
     raw = [warc.record(i, "u", bytes([65 + i]) * n, warc.base32_sha1(bytes([65 + i]) * n), None, False) for i, n in enumerate((0, 10, 70_000))]
     packed = [warc._gzip_member(r) for r in raw]

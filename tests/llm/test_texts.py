@@ -65,6 +65,29 @@ def joined(rows, percent):
     return [min((x for x in groups[find(i)] if x is not None), default=None) for i in range(len(rows))], [len(s) for s in sets]
 
 
+def test_rows_of_blocks_grow_with_a_group_not_its_square(spark, monkeypatch):
+    """Near copies of one text, in clusters of many blocks: what is sent to the cells."""
+    monkeypatch.setattr(neardup, "CLUSTER_ROWS", 50)
+    monkeypatch.setattr(neardup, "SMALL", 100)
+    cells, inner = [], neardup._in_cells
+    monkeypatch.setattr(neardup, "_in_cells", lambda rows, percent, exact: (cells.append(rows.count()) if exact else None, inner(rows, percent, exact))[1])
+    sent = {}
+    for n in (200, 800):
+        rng = random.Random(n)
+        base = [f"w{i}" for i in range(150)]
+        rows = []
+        for i in range(n):
+            copy = list(base)
+            copy[rng.randrange(150)] = f"x{i}"
+            rows.append((i, " ".join(copy), "s"))
+        rows += [(9000 + i, " ".join(f"y{i}-{j}" for j in range(100)), "s") for i in range(20)]
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(documents(spark, rows)).collect()}
+        assert all(got[i] == 0 for i in range(n)) and all(got[9000 + i] == 9000 + i for i in range(20))
+        sent[n] = sum(cells)
+        cells.clear()
+    assert sent[800] < 6 * sent[200]
+
+
 @pytest.mark.parametrize("percent", [85, 80])
 def test_near_duplicates_equal_brute_force(spark, percent):
     rows = sample()
@@ -145,6 +168,22 @@ def test_repeated_rows_at_the_threshold_share_it(spark):
     assert abs(sum(r.taken for r in got if r.source == "a") - want["a"]) <= 30
 
 
+def test_long_repeated_rows_come_whole(spark):
+    """Rows of one id with 20,000 words each, and rows without an id, at the threshold."""
+    rows = [(1, "long " * 20_000, "a")] * 3 + [(2, "four " * 9_000, "b"), (3, "five " * 9_000, "c")]
+    rows += [(None, f"t{i} " * 50, "d") for i in range(400)]
+    want, _ = targets(rows)
+    mixed = mixing.mixed_documents(documents(spark, rows)).collect()
+    words = Counter()
+    for r in mixed:
+        words[r.source] += len(WORD.findall(r.text))
+        assert (r.doc_id, r.text, r.source) in set(rows)
+    assert abs(words["a"] - want["a"]) <= 20_000 and abs(words["d"] - want["d"]) <= 0.1 * want["d"]
+    assert Counter(r.text for r in mixed) == Counter(r.text for r in mixing.mixed_documents(documents(spark, rows).repartition(5)).collect())
+    assert mixing.mixed_documents(documents(spark, [])).collect() == []
+    assert mixing.mixed_documents(documents(spark, [(1, None, None), (1, "", "a")])).collect() == []
+
+
 def test_fingerprints(spark):
     rows = sample()
     got = imatch.compared(spark, documents(spark, rows)).collect()
@@ -255,8 +294,27 @@ def test_accounts_end_where_their_country_says(spark):
     assert got[9000].n_private == 2 and got[9001].text == "BE68 5390 0754 7035 EUR"
 
 
+def test_card_behind_what_begins_like_an_account(spark):
+    card = "4111 1111 1111 1111"
+    rows = [f"pay DE12 {card} now", f"NR12 {card}", f"DE12 {card} 99 x", f"card {card}"]
+    got = {r.doc_id: r for r in pii.pseudonymised(documents(spark, [(i, t, "s") for i, t in enumerate(rows)])).collect()}
+    made = got[3].text.removeprefix("card ")
+    assert luhn(made.replace(" ", "")) == 0 and made != card
+    assert [got[i].text for i in range(4)] == [t.replace(card, made) for t in rows] and all(r.n_private == 1 for r in got.values())
+
+
+def test_days_of_all_years_stay_on_their_side(spark):
+    texts = ["1899-05-05", "05/05/2150", "31.12.0007", "25/12/1599", "1/2/3000", "9999-12-31", "0001-01-01"]
+    got = {r.doc_id: r for r in pii.pseudonymised(documents(spark, [(i, f"on {t}.", "s") for i, t in enumerate(texts)])).collect()}
+    assert all(got[i].text != f"on {t}." and got[i].n_private == 1 for i, t in enumerate(texts))
+    days = spark.range(0, 9000).select(F.date_add(F.lit("1888-01-01").cast("date"), F.col("id").cast("int")).cast("string").alias("v"))
+    made = days.select("v", pii.pseudonym(F.col("v")).alias("p")).collect()
+    inside = lambda d: "1900-01-01" <= d <= "2100-01-01"
+    assert len({r.p for r in made}) == 9000 and all(inside(r.v) == inside(r.p) and re.fullmatch(r"\d{4}-\d\d-\d\d", r.p) for r in made)
+
+
 def test_dates_in_both_orders_and_with_short_numbers(spark):
-    stay = ["32/12/1999", "13/13/1999", "31/02/2001", "0/5/2001", "2001-2-30", "31.4.2001", "25/12/1899"]
+    stay = ["32/12/1999", "13/13/1999", "31/02/2001", "0/5/2001", "2001-2-30", "31.4.2001", "0000-01-01"]
     dates = ["25/12/1999", "13/1/2001", "31/03/2000", "3/4/2005", "12/5/2001", "05/3/2001", "2/29/2000", "2001-3-4", "2001-12-4", "1.2.2003", "24.5.1980", "12/31/1999"]
     got = {r.doc_id: r.text for r in pii.pseudonymised(documents(spark, [(i, f"on {v}, {v}.", "s") for i, v in enumerate(dates + stay)])).collect()}
     for i, v in enumerate(dates):
