@@ -64,7 +64,10 @@ def shingle_set(w: np.ndarray) -> np.ndarray:
 
 
 def sketch(hashes: np.ndarray) -> tuple[int, bytes, list[int] | None, list[int] | None]:
-    """``(distinct shingles, key of the set, minhashes of 16 bits, sketch words)`` from word hashes."""
+    """``(distinct shingles, key of the set, minhashes of 32 bits, sketch words)`` from word hashes.
+
+    With fewer bits, unlike documents would share a node by chance, the more of them the larger the corpus.
+    """
     s = shingle_set(hashes)
     key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
     if not len(s):
@@ -79,7 +82,7 @@ def sketch(hashes: np.ndarray) -> tuple[int, bytes, list[int] | None, list[int]
     low *= _GOLDEN
     nibbles = (low >> np.uint64(60)).astype(np.uint8)
     bits = ((nibbles[0::2] << 4) | nibbles[1::2]).view(np.int64)
-    return len(s), key, ((low >> np.uint64(40)) & np.uint64(0xFFFF)).astype(np.int32).tolist(), bits.tolist()
+    return len(s), key, ((low >> np.uint64(28)) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32).tolist(), bits.tolist()
 
 
 def _prepared(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
