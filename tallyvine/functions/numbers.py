@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,13 +46,24 @@ def exact_number(c: Column) -> tuple[Column, Column, Column]:
 
 
 def power_of_ten(n: Column) -> Column:
-    """``10 ** n`` as an unscaled amount, null beyond 37."""
-    return F.when(n <= 37, F.rpad(F.lit("1"), n + 1, "0").try_cast(UNSCALED))
+    """``10 ** n`` as an unscaled amount, null beyond 37; looked up in a constant array."""
+    return F.get(F.array(*[F.lit(Decimal(10**i)).cast(UNSCALED) for i in range(38)]), n)
+
+
+def digits_of(unscaled: Column) -> Column:
+    """The digits without the sign. ``abs`` of a number of 38 digits would round it."""
+    return F.translate(unscaled.cast("string"), "-", "")
+
+
+def magnitude(unscaled: Column) -> Column:
+    """The absolute amount, exact to 38 digits; see ``digits_of``."""
+    return F.when(unscaled < 0, F.try_multiply(unscaled, F.lit(-1).cast("decimal(1,0)")).cast(UNSCALED)).otherwise(unscaled)
 
 
 def at_scale(unscaled: Column, scale: Column, shown: Column) -> Column:
     """``unscaled / 10 ** scale`` as text with ``shown`` decimals; the rest are zeros."""
-    digits = F.lpad(F.abs(unscaled).cast("string"), F.greatest(scale + 1, F.length(F.abs(unscaled).cast("string"))), "0")
+    plain = digits_of(unscaled)
+    digits = F.lpad(plain, F.greatest(scale + 1, F.length(plain)), "0")
     whole = F.substr(digits, F.lit(1), F.length(digits) - scale)
     decimals = F.substr(digits, F.length(digits) - scale + 1, shown)
     return F.concat(F.when(unscaled < 0, "-").otherwise(""), whole, F.when(shown > 0, F.concat(F.lit("."), decimals)).otherwise(""))

@@ -272,12 +272,12 @@ def write_pages(df: DataFrame, path: str, tenant: str, column: str, tie: str, ro
     """
     order = [F.asc(tenant), F.desc(column), F.asc(tie)]
     parts = max(1, -(-df.count() // rows))
-    ranged = df.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id())
-    ranged.sortWithinPartitions(*order).write.partitionBy("range").parquet(f"{path}/rows")
+    ranged = df.repartitionByRange(parts, *order).withColumn("page_range", F.spark_partition_id())
+    ranged.sortWithinPartitions(*order).write.partitionBy("page_range").parquet(f"{path}/rows")
     stored = df.sparkSession.read.parquet(f"{path}/rows")
-    counts = stored.groupBy(F.col(tenant).alias("tenant"), "range").agg(F.count("*").alias("n"))
+    counts = stored.groupBy(F.col(tenant).alias("tenant"), "page_range").agg(F.count("*").alias("n"))
     # At most one row for each range and tenant that has rows in it.
-    before = F.sum("n").over(Window.partitionBy("tenant").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("n").over(Window.partitionBy("tenant").orderBy("page_range").rowsBetween(Window.unboundedPreceding, -1))
     counts.withColumn("first", F.coalesce(before, _zero())).write.parquet(f"{path}/directory")
 
 
@@ -287,13 +287,13 @@ def read_page(spark: SparkSession, path: str, tenant: str, column: str, tie: str
     rows = spark.read.parquet(f"{path}/rows")
     if one is not None:
         directory = directory.where(F.col("tenant") == one)
-        ranges = [r[0] for r in directory.select("range").distinct().collect()]  # those of one page
-        rows = rows.where((F.col(tenant) == one) & F.col("range").isin(ranges))
-    marks = directory.select(F.col("tenant").alias("owner"), F.col("range").alias("at"), "first")
-    held = rows.join(marks, F.col(tenant).eqNullSafe(F.col("owner")) & (F.col("range") == F.col("at")))
-    within = Window.partitionBy("range", tenant).orderBy(F.desc(column), F.asc(tie))
-    ranked = held.withColumn("rank", (F.col("first") + F.row_number().over(within)).cast("int"))
-    return ranked.where((F.col("rank") > offset) & (F.col("rank") <= offset + limit)).drop("owner", "at", "first", "range")
+        ranges = [r[0] for r in directory.select("page_range").distinct().collect()]  # those of one page
+        rows = rows.where((F.col(tenant) == one) & F.col("page_range").isin(ranges))
+    marks = directory.select(F.col("tenant").alias("__owner"), F.col("page_range").alias("__range"), F.col("first").alias("__first"))
+    held = rows.join(marks, F.col(tenant).eqNullSafe(F.col("__owner")) & (F.col("page_range") == F.col("__range")))
+    within = Window.partitionBy("page_range", tenant).orderBy(F.desc(column), F.asc(tie))
+    ranked = held.withColumn("rank", (F.col("__first") + F.row_number().over(within)).cast("int"))
+    return ranked.where((F.col("rank") > offset) & (F.col("rank") <= offset + limit)).drop("__owner", "__range", "__first", "page_range")
 
 
 def newest_first(df: DataFrame, column: str, tie: str, limit: int, offset: int = 0) -> DataFrame:

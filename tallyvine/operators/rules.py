@@ -9,8 +9,10 @@ from tallyvine.functions import patterns as P
 from tallyvine.functions.numbers import (
     UNSCALED,
     at_scale,
+    digits_of,
     exact_number,
     iban_is_valid,
+    magnitude,
     percent_text,
     power_of_ten,
 )
@@ -119,23 +121,37 @@ def within_tolerance(expected: Column, observed: Column) -> Column:
 BEYOND = "amount beyond 38 digits"
 
 
+def compared(amounts: DataFrame, expected: str, observed: str) -> DataFrame:
+    """Two unscaled amounts (``<name>_u`` at scale ``<name>_s``) brought to one scale and compared.
+
+    ``<expected>_apart`` and ``<expected>_allowed``: their distance, and at most 1 or 1 % of
+    the expected amount; all a hundredfold, so that nothing is divided. Null where 38 digits do
+    not hold them. One projection a step, so that each part is worked out once a row.
+    """
+    c, n = F.col, lambda name: f"{expected}_{name}"
+    lifted = lambda name: F.try_multiply(c(f"{name}_u"), power_of_ten(c(n("scale")) - c(f"{name}_s")))
+    at_one_scale = amounts.withColumn(n("scale"), F.greatest(c(f"{expected}_s"), c(f"{observed}_s"))).withColumns({
+        n("lifted"): lifted(expected), n("other"): lifted(observed), n("one"): power_of_ten(c(n("scale")) + 2),
+    })
+    at_one_scale = at_one_scale.withColumn(n("gap"), F.try_subtract(c(n("lifted")), c(n("other"))))
+    held = c(n("lifted")).isNotNull() & c(n("one")).isNotNull()
+    apart = F.try_multiply(magnitude(c(n("gap"))), F.lit(100).cast(UNSCALED))
+    return at_one_scale.withColumns({
+        n("apart"): F.when(held, apart), n("allowed"): F.greatest(c(n("one")), magnitude(c(n("lifted")))),
+    }).drop(n("scale"), n("lifted"), n("other"), n("one"), n("gap"))
+
+
 def _item_rule(
     rule: str, label: str, inputs: list[str], expected: str, observed: str,
     missing: str, failing: str, order: Column,
 ) -> Column:
-    """Compare two unscaled amounts (``<name>_u`` at scale ``<name>_s``, shown with ``<name>_d`` decimals)."""
+    """The finding on two ``compared`` amounts, shown with ``<name>_d`` decimals."""
     absent = F.lit(False)
     for name in inputs:
         absent = absent | ~F.col(f"{name}_ok")
     c = F.col
-    scale = F.greatest(c(f"{expected}_s"), c(f"{observed}_s"))
-    lifted = lambda name: F.try_multiply(c(f"{name}_u"), power_of_ten(scale - c(f"{name}_s")))
-    hundred = F.lit(100).cast(UNSCALED)
-    # At most 1 apart, or 1 % of the expected amount; all a hundredfold, so that nothing is divided.
-    apart = F.try_multiply(F.abs(F.try_subtract(lifted(expected), lifted(observed))), hundred)
-    allowed = F.greatest(F.try_multiply(power_of_ten(scale), hundred), F.abs(lifted(expected)))
-    good = apart <= allowed
-    beyond = ~absent & (apart.isNull() | lifted(expected).isNull() | power_of_ten(scale + 2).isNull())
+    beyond = ~absent & c(f"{expected}_apart").isNull()
+    good = c(f"{expected}_apart") <= c(f"{expected}_allowed")
     failed = ~absent & ~beyond & ~good
     outcome = F.when(absent | beyond, NA).when(good, PASS).otherwise(FAIL)
     return finding(
@@ -171,7 +187,7 @@ def expected_amounts(parsed: DataFrame) -> DataFrame:
     """
     c = F.col
     one = F.try_multiply(F.lit(100).cast(UNSCALED), power_of_ten(c("item_vat_s")))
-    zeros = F.length(F.regexp_extract(F.abs(c("item_vat_u")).cast("string"), "(0*)$", 1))
+    zeros = F.length(F.regexp_extract(digits_of(c("item_vat_u")), "(0*)$", 1))
     share = F.when(c("item_vat_u") == 0, F.lit(0)).otherwise(F.greatest(c("item_vat_s") + 2 - zeros, F.lit(0)))
     return parsed.select(
         "*",
@@ -203,7 +219,7 @@ def item_rules() -> list[Column]:
 
 def item_findings(items: DataFrame) -> DataFrame:
     """Two findings per item, net before gross."""
-    amounts = expected_amounts(parsed_items(items))
+    amounts = compared(compared(expected_amounts(parsed_items(items)), "net", "item_net_worth"), "gross", "item_gross_worth")
     return amounts.select("doc_id", F.inline(F.array(*item_rules())))
 
 

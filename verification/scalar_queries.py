@@ -328,6 +328,15 @@ def _(g):
     return R.duplicate_members(g.header)
 
 
+@query(
+    "v12_other_members",
+    """SELECT a.doc_id, b.batch_index AS other_index, b.doc_id AS other_doc_id FROM header a JOIN header b
+    USING (invoice_no, seller_tax_id, invoice_date) WHERE a.batch_index <> b.batch_index""", ("header",),
+)
+def _(g):
+    return R.other_members(g.header, g.header.select("doc_id"))
+
+
 SINGLE = f"{ITEM_RULES}, single AS ({HEADER_SQL} UNION ALL SELECT * FROM item_finding)"
 
 

@@ -114,6 +114,19 @@ def _(g):
     return g.inbox_messages.select("id", key.alias("key"))
 
 
+@query(
+    "s06_stored_blobs",
+    """SELECT workspace_id, sha256(data) AS file_sha256, left(sha256(data), 2) AS sha_prefix, octet_length(data) AS bytes FROM uploads
+    WHERE octet_length(data) > 0""", ("uploads",),
+)
+def _(g):
+    """Contents written by tenant and first hash digits, and read back with their folders."""
+    path = f"{shared_folder(g.spark)}/blobs-{uuid.uuid4().hex}"
+    S.write_blobs(g.uploads.where("length(data) > 0").select("workspace_id", "data", sha256_hex(F.col("data")).alias("file_sha256")), path)
+    back = g.spark.read.schema("workspace_id string, sha_prefix string, file_sha256 string, data binary").parquet(path)
+    return back.select("workspace_id", F.sha2("data", 256).alias("file_sha256"), "sha_prefix", F.length("data").cast("bigint").alias("bytes"))
+
+
 # Store records: one per event; the user is the id, the event number the order.
 RECORDS = """CASE event_type WHEN 'error' THEN '{broken' WHEN 'view' THEN '  '
   WHEN 'signup' THEN concat('{{"data":', cast(event_id as string), '}}')
@@ -199,6 +212,16 @@ def _(g):
     return g.events.select("event_id", S.metadata_json(entries).alias("metadata_json"))
 
 
+@query("s11_appended_events", "SELECT id, workspace_id, action, ts FROM audit_events", ("audit_events",))
+def _(g):
+    """The day's audit rows in two appends."""
+    path = f"{shared_folder(g.spark)}/audit-{uuid.uuid4().hex}"
+    rows = g.audit_events.select("id", "workspace_id", "action", "ts")
+    S.append_events(rows.where("action = 'login.failed'"), path)
+    S.append_events(rows.where("action <> 'login.failed'"), path)
+    return g.spark.read.schema(rows.schema).parquet(path)
+
+
 @query(
     "s12_without_seeded_tenants",
     """SELECT id, workspace_id FROM invoices WHERE workspace_id NOT IN (SELECT workspace_id FROM audit_events
