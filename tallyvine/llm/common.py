@@ -67,14 +67,19 @@ def positions(df: DataFrame, order: list[Column], name: str, label: str) -> Data
     )
 
 
+def _oriented(edges: DataFrame) -> DataFrame:
+    """``u > v`` of ``edges(a, b)``, each once."""
+    both = edges.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).where("u <> v")
+    return both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
 def components(edges: DataFrame, label: str) -> DataFrame:
     """``(node, root)`` of every node in ``edges(a, b)``; root is the smallest node of its component.
 
     Alternating large-star and small-star steps. Neighbour minima come from a partial
     aggregate that is joined back, so a node with very many neighbours is never collected.
     """
-    both = edges.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).where("u <> v")
-    current = staged(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label)
+    current = staged(_oriented(edges), label)
     seen = None
     while True:
         state = current.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
@@ -88,6 +93,12 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     )
 
 
+def drawn_together(edges: DataFrame, label: str) -> DataFrame:
+    """``(a, b)``, ``a > b``: edges that join the same nodes after one large-star and one small-star step, most of them to a node near the root."""
+    step = _small_star(_large_star(_oriented(edges)))
+    return staged(step.select(F.col("u").alias("a"), F.col("v").alias("b")), label)
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

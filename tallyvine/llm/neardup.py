@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyvine.llm.common import broadcast_if_few, components, staged, words
+from tallyvine.llm.common import broadcast_if_few, components, drawn_together, staged, words
 from tallyvine.session import discard
 
 #: Words in a shingle; a link needs ``100 * both >= percent * either``.
@@ -260,30 +260,38 @@ def _likely_links(sets: DataFrame, percent: int) -> DataFrame:
                 sketches.select(F.col("row").alias("b"), F.col("bits").alias("y"), F.col("n_shingles").alias("m")), "b"
             ).where(_may_link(F.col("n"), F.col("m"), F.col("x"), F.col("y"), percent)).select("a", "b")
             found.append(staged(near, f"near-star{depth}"))
-        groups = _joined(groups, found, f"near-groups{depth}")
         if not more:
             discard(alive)
-            break
-        grouped = large.join(groups.select(F.col("a").alias("row"), F.col("b").alias("root")), "row", "left").select("node", "row", F.coalesce("root", "row").alias("group"))
+            return _joined(groups, found, "near-groups")
+        # Rows of one label hang together; not all that hang together have one label yet, which costs comparisons only.
+        groups = _joined(groups, found, f"near-groups{depth}", whole=False)
+        labels = groups.groupBy(F.col("a").alias("row")).agg(F.min("b").alias("root"))
+        grouped = large.join(labels, "row", "left").select("node", "row", F.coalesce("root", "row").alias("group"))
         several = grouped.groupBy("node").agg(F.count("*").alias("n"), F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 <> g1").select("node", "n")
         kept = grouped.join(several, "node")
         if depth + 1 == LEVELS:
             rest = _blocks(kept.join(sketches, "row"), "node", F.ceil(F.col("n") / CLUSTER_ROWS).cast("int"))
-            groups = _joined(groups, [staged(_in_cells(rest, percent, False).distinct(), "near-rest")], "near-groups")
+            found = [staged(_in_cells(rest, percent, False).distinct(), "near-rest")]
             discard(alive)
-            break
+            return _joined(groups, found, "near-groups")
         branched = kept.join(sets.select("row", "minhashes"), "row").select("node", "row", "group", "minhashes", F.explode(_coordinates(F.col("node"))).alias("c"))
         level = level_written = staged(branched.select(_child(F.col("node"), F.col("c"), F.col("minhashes")).alias("node"), "row", "group"), f"near-branch{depth}")
         discard(alive)
-    return groups
+    raise AssertionError("the last level returns")
 
 
-def _joined(groups: DataFrame | None, links: list[DataFrame], label: str) -> DataFrame:
-    """``(a, b)``: each row that is in a group and the group's least row. Older groups and new links make them; both are discarded."""
-    edges = _all(links if groups is None else [groups, *links])
-    out = staged(components(edges, "near-cc").select(F.col("node").alias("a"), F.col("root").alias("b")), label)
-    for old in links if groups is None else [groups, *links]:
-        discard(old)
+def _joined(groups: DataFrame | None, links: list[DataFrame], label: str, whole: bool = True) -> DataFrame:
+    """``(a, b)``: each row that is in a group and the group's least row, or with ``whole`` unset edges that join the same rows.
+
+    Older groups and new links make them; both are discarded.
+    """
+    old = links if groups is None else [groups, *links]
+    if whole:
+        out = staged(components(_all(old), "near-cc").select(F.col("node").alias("a"), F.col("root").alias("b")), label)
+    else:
+        out = drawn_together(_all(old), label)
+    for one in old:
+        discard(one)
     return out
 
 
