@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tallyvine.functions import patterns as P
 from tallyvine.functions.labels import contains_label, may_contain_label, structural_label
 from tallyvine.functions.text import respace, strip
+from tallyvine.session import materialise
 
 # The seven fields in order, and the confidence of each way to find one.
 FIELD_ORDER: tuple[str, ...] = (
@@ -267,8 +268,8 @@ def document_layout(lines: DataFrame) -> DataFrame:
 
 
 def extract_fields(lines: DataFrame, layout: DataFrame | None = None) -> DataFrame:
-    """All header fields of all documents; ``layout`` where it is already there."""
-    layout = document_layout(lines) if layout is None else layout
+    """All header fields of all documents; ``layout`` where it is already there, else it is worked out once and written."""
+    layout = materialise(document_layout(lines), "layout") if layout is None else layout
     parties = party_values(party_lines(lines, layout))
     return assemble_fields(layout, line_candidates(lines).unionByName(party_candidates(parties)))
 
