@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -58,12 +58,12 @@ def probability(net: Network, text: str | None) -> float:
 
 
 def fit(texts: list[str | None], labels: list[int]) -> Network:
-    """Adam on the log loss. The gradient of a maximum reaches only the window that was the maximum."""
+    """Adam on the log loss. The gradient of a maximum reaches only the window that was the maximum. Without any label every score is 0.5."""
     rng = np.random.default_rng(SEED)
     net = Network(rng.normal(0, 0.3, (WIDTH, 256, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.3, FILTERS).astype(np.float32), 0.0)
     data, y = [to_bytes(t) for t in texts], np.asarray(labels, dtype=np.float32)
     if not len(y):
-        return net
+        return replace(net, out=np.zeros(FILTERS, np.float32))
     share = {v: max(1, int((y == v).sum())) for v in (0, 1)}
     weight = np.asarray([len(y) / (2 * share[int(v)]) for v in y], dtype=np.float32)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (net.taps, net.bias, net.out, np.zeros(1, np.float32))]

@@ -400,3 +400,10 @@ def test_encoding_on_spark(spark):
     assert Counter((r.doc_id, tuple(r.ids)) for r in got) == want
     assert all(r.back == (texts[r.doc_id or 0] or "").replace("\u2581", " ") for r in got)
     assert spm.encoded(documents(spark, [])).collect() == []
+
+
+def test_quality_without_labels_rejects_nothing(spark):
+    rows = [(1, "some text", "a"), (2, None, "a"), (3, "", "a"), (4, "x " * 3000, "b")]
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    net = quality.train(documents(spark, rows), labels)
+    assert [(r.score, r.predicted) for r in quality.scored(documents(spark, rows), net).collect()] == [(0.5, 1)] * 4
