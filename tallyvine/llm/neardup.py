@@ -186,16 +186,18 @@ def _in_cells(rows: DataFrame, percent: int, exact: bool) -> DataFrame:
         differ, left, right = (np.concatenate(c) for c in zip(*likely, strict=True))
         order = np.argsort(differ, kind="stable")
         sets: dict[int, np.ndarray] = {}
-        for i, j in zip(left[order].tolist(), right[order].tolist(), strict=True):
-            if forest.find(i) == forest.find(j):
-                continue
-            for k in (i, j):
-                if k not in sets:
-                    sets[k] = shingle_set(np.asarray(rest[0][k]))
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-                forest.join(i, j)
-                out.append((row[i], row[j]))
+        for at in range(0, len(order), 1 << 14):  # a few pairs at a time as Python numbers
+            some = order[at : at + (1 << 14)]
+            for i, j in zip(left[some].tolist(), right[some].tolist(), strict=True):
+                if forest.find(i) == forest.find(j):
+                    continue
+                for k in (i, j):
+                    if k not in sets:
+                        sets[k] = shingle_set(np.asarray(rest[0][k]))
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    forest.join(i, j)
+                    out.append((row[i], row[j]))
         return out
 
     names = ["cell", "row", "group", "side", "n_shingles", "bits", *(["hashes"] if exact else [])]
