@@ -68,7 +68,7 @@ def thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return bounds
 
 
-def mixture(docs: DataFrame, weights=(5.0, 2.0, 1.0), most: float = 3.0, seed: str = "mix", size: Column | None = None) -> DataFrame:
+def mixture(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, text, lang, source, n_chars`` with ``size, source_size, target, copies, part, taken``.
 
     A document is taken ``copies`` whole times. Rows that share the hash at the threshold
@@ -78,7 +78,14 @@ def mixture(docs: DataFrame, weights=(5.0, 2.0, 1.0), most: float = 3.0, seed: s
     ``taken = size * copies + part``. Null text: size 0. Null source: a source of its own,
     last. Null ids: one hash for all of them, so they are taken together. Other columns
     than those of documents are not looked at. An empty table gives an empty one.
+
+    ``options``: ``weights`` of the sources, ``most`` times that a source is taken, ``seed`` of the hashes, ``size`` of a document.
     """
+    return _mixture(docs, **options)[0]
+
+
+def _mixture(docs: DataFrame, weights=(5.0, 2.0, 1.0), most: float = 3.0, seed: str = "mix", size: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """``mixture`` and the table of the sources' thresholds."""
     measured = docs.select(
         "doc_id", "text", "lang", "source", "n_chars",
         (word_count(F.col("text")) if size is None else size).alias("size"), hash60(F.col("doc_id"), seed=seed).alias("hash"),
@@ -95,7 +102,7 @@ def mixture(docs: DataFrame, weights=(5.0, 2.0, 1.0), most: float = 3.0, seed: s
     return measured.join(hint, F.col("source").eqNullSafe(F.col("at"))).select(
         "doc_id", "text", "lang", "source", "n_chars", "size", "source_size", "target",
         copies.alias("copies"), part.alias("part"), (F.col("size") * copies + part).alias("taken"),
-    )
+    ), bounds
 
 
 def mixed_documents(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
@@ -107,14 +114,22 @@ def mixed_documents(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
     have size 0 and come as often as their source is repeated whole.
     """
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
-    mixed = mixture(docs, seed=seed, **options)
+    mixed, bounds = _mixture(docs, seed=seed, **options)
+    rows = mixed.select(*columns, F.col("copies").alias("times"))
+    if not bounds.where("group_rows > 1").isEmpty():
+        rows = _with_shared(mixed, columns, seed)
+    rows = rows.where("times > 0")
+    return rows.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(*columns)
+
+
+def _with_shared(mixed: DataFrame, columns: list[str], seed: str) -> DataFrame:
+    """``times`` of every row, where several rows share the hash at a threshold."""
     plain = mixed.where("part = 0").select(*columns, F.col("copies").alias("times"))
     # Rows of one or few ids: the threshold is a single hash of each source.
     equal = mixed.where("part > 0").groupBy(*columns).agg(F.sum("copies").alias("whole"), F.sum("part").alias("words"), F.max("size").alias("size"))
     chance = hash60(F.col("doc_id"), F.md5(F.col("text").cast("binary")), seed=f"{seed}-part") / float(1 << 60)
     shared = equal.select(*columns, (F.col("whole") + F.floor(F.col("words") / F.col("size") + chance)).cast("long").alias("times"))
-    rows = plain.unionByName(shared).where("times > 0")
-    return rows.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(*columns)
+    return plain.unionByName(shared)
 
 
 #: The same over documents in DuckDB, without thresholds: running sums in hash order.
