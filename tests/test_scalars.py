@@ -83,6 +83,29 @@ def test_line_contains_label_equals_brute_force(spark):
         assert all(m for m, w in zip(may, want) if w)
 
 
+def test_gate_of_whole_line_labels(spark):
+    """Every line that is a label passes the gate; few lines without a piece of one do."""
+    lines = sample_lines()
+    for keys in (tuple(labels.LABELS), ANCHOR_KEYS):
+        want = [
+            any(len(t.strip()) <= len(v) + 4 and ratio(t.strip().lower(), v.lower()) >= 85 for k in keys for v in labels.LABELS[k])
+            for t in lines
+        ]
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, t string")
+        may = {r.i: r.m for r in df.select("i", labels.may_be_label("t", keys).alias("m")).collect()}
+        assert all(may[i] for i, w in enumerate(want) if w)
+    df = spark.createDataFrame([(t,) for t in ("each", "pcs", "Qty", "1 319,97", "Article7", "Total")], "t string")
+    passed = {r.t for r in df.where(labels.may_be_label("t", ANCHOR_KEYS)).collect()}
+    assert "Total" in passed and not passed & {"each", "pcs", "Qty", "1 319,97"}
+
+
+def test_exact_spellings_keep_the_first_group(spark):
+    """A spelling that another group's variant is like is decided by score, so the first group still wins."""
+    groups = {"a": ["summary"], "b": ["summary:", "seller"]}
+    assert text._exact_keys(groups, 85) == {"seller": "b"}
+    assert column(spark, ["Summary:", " SELLER ", "sel1er", "", None], lambda c: text.which_matches(c, groups)) == ["a", "b", None, None, None]
+
+
 def test_structural_labels_exclude_each_other():
     """No line can be within reach of two labels: their distance is too large."""
     for a in ANCHOR_KEYS:
