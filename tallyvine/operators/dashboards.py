@@ -260,40 +260,47 @@ def client_invoices(
     )
 
 
-#: Rows of one range of a paged list.
+#: Rows of one range of a paged list, and least rows of one stored block of ranges.
 PAGE_RANGE = 200_000
 
 
 def write_pages(df: DataFrame, path: str, tenant: str, column: str, tie: str, rows: int = PAGE_RANGE) -> None:
-    """Store a list for reading pages however deep: ranges of some ``rows`` rows in list order, and a directory of them.
+    """Store a list for reading pages however deep: ranges of ``rows`` rows in list order, and a directory of them.
 
-    The order is (tenant, newest first, tie); a large tenant lies in many ranges. The directory
-    has a row for each tenant of each range: its rows there, and those in the ranges before.
+    The order is (tenant, newest first, tie); a large tenant lies in many ranges. Short ranges
+    share a block, one task's file, so that tasks, files and what the driver samples to cut the
+    list follow its rows and not how short the ranges are. The directory has a row for each
+    tenant of each range: its rows there, and those in the ranges before.
     """
     order = [F.asc(tenant), F.desc(column), F.asc(tie)]
-    parts = max(1, -(-df.count() // rows))
-    ranged = df.repartitionByRange(parts, *order).withColumn("page_range", F.spark_partition_id())
-    ranged.sortWithinPartitions(*order).write.partitionBy("page_range").parquet(f"{path}/rows")
+    blocks = max(1, -(-df.count() // max(rows, PAGE_RANGE)))
+    ranged = df.repartitionByRange(blocks, *order).sortWithinPartitions(*order)
+    # The id counts a partition's rows, in their order, in its lower 33 bits.
+    numbered = ranged.withColumns({"page_ranges": F.spark_partition_id(), "page_range": F.monotonically_increasing_id()})
+    place, block = F.col("page_range").bitwiseAND((1 << 33) - 1), F.shiftleft(F.col("page_ranges").cast("bigint"), 33)
+    split = numbered.withColumn("page_range", block + F.floor(place / F.lit(rows)))
+    split.write.partitionBy("page_ranges").parquet(f"{path}/rows")
     stored = df.sparkSession.read.parquet(f"{path}/rows")
-    counts = stored.groupBy(F.col(tenant).alias("tenant"), "page_range").agg(F.count("*").alias("n"))
+    counts = stored.groupBy(F.col(tenant).alias("tenant"), "page_ranges", "page_range").agg(F.count("*").alias("n"))
     # At most one row for each range and tenant that has rows in it.
     before = F.sum("n").over(Window.partitionBy("tenant").orderBy("page_range").rowsBetween(Window.unboundedPreceding, -1))
     counts.withColumn("first", F.coalesce(before, _zero())).write.parquet(f"{path}/directory")
 
 
 def read_page(spark: SparkSession, path: str, tenant: str, column: str, tie: str, limit: int, offset: int = 0, one: str | None = None) -> DataFrame:
-    """The same page of every tenant, or of ``one``, with each row's ``rank``: only the ranges that hold it are read and sorted."""
+    """The same page of every tenant, or of ``one``, with each row's ``rank``: only the blocks that hold it are read, only its ranges sorted."""
     directory = spark.read.parquet(f"{path}/directory").where((F.col("first") < offset + limit) & (F.col("first") + F.col("n") > offset))
     rows = spark.read.parquet(f"{path}/rows")
     if one is not None:
         directory = directory.where(F.col("tenant") == one)
-        ranges = [r[0] for r in directory.select("page_range").distinct().collect()]  # those of one page
-        rows = rows.where((F.col(tenant) == one) & F.col("page_range").isin(ranges))
-    marks = directory.select(F.col("tenant").alias("__owner"), F.col("page_range").alias("__range"), F.col("first").alias("__first"))
-    held = rows.join(marks, F.col(tenant).eqNullSafe(F.col("__owner")) & (F.col("page_range") == F.col("__range")))
+        held_in = directory.select("page_ranges", "page_range").distinct().collect()  # those of one page
+        rows = rows.where((F.col(tenant) == one) & F.col("page_ranges").isin([r[0] for r in held_in]) & F.col("page_range").isin([r[1] for r in held_in]))
+    marks = directory.select(*[F.col(c).alias(f"__{c}") for c in ("tenant", "page_ranges", "page_range", "first")])
+    same = F.col(tenant).eqNullSafe(F.col("__tenant")) & (F.col("page_ranges") == F.col("__page_ranges")) & (F.col("page_range") == F.col("__page_range"))
+    held = rows.join(marks, same)
     within = Window.partitionBy("page_range", tenant).orderBy(F.desc(column), F.asc(tie))
     ranked = held.withColumn("rank", (F.col("__first") + F.row_number().over(within)).cast("int"))
-    return ranked.where((F.col("rank") > offset) & (F.col("rank") <= offset + limit)).drop("__owner", "__range", "__first", "page_range")
+    return ranked.where((F.col("rank") > offset) & (F.col("rank") <= offset + limit)).drop(*marks.columns, "page_ranges", "page_range")
 
 
 def newest_first(df: DataFrame, column: str, tie: str, limit: int, offset: int = 0) -> DataFrame:

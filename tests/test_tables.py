@@ -81,6 +81,15 @@ def test_deep_pages_read_only_their_ranges(spark, tmp_path):
     assert "page_range" in deep._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:60]
 
 
+def test_short_ranges_share_a_stored_block(spark, tmp_path):
+    """Tasks and files follow the rows, not how short the ranges are; ranges hold as many rows as asked for."""
+    df = frame(spark, [("t", f"id{i:05d}", i % 50) for i in range(2_000)], "tenant string, id string, at bigint")
+    dashboards.write_pages(df, str(tmp_path / "p"), "tenant", "at", "id", 20)
+    assert len([x for x in (tmp_path / "p" / "rows").iterdir() if "=" in x.name]) == 1
+    directory = spark.read.parquet(str(tmp_path / "p" / "directory"))
+    assert sorted((r["first"], r["n"]) for r in directory.collect()) == [(i * 20, 20) for i in range(100)]
+
+
 MONTH = 31 * 86_400_000
 
 
