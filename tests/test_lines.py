@@ -2,6 +2,9 @@
 
 from datetime import datetime
 
+from tallyvine.operators.fields import field_diagnostics, line_candidates
+from tallyvine.operators.items import item_diagnostics
+from tallyvine.session import materialise
 from verification import views
 from verification.document_queries import banded
 from verification.views import Given
@@ -56,3 +59,24 @@ def test_queries_that_read_the_lines_twice_build_them_once(spark, tmp_path):
 def test_large_generated_methods_are_split(spark, tmp_path):
     Given(spark, str(tmp_path))
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
+def generators(df) -> list[str]:
+    """The generators of a frame's plan, by which arrays become rows."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [line for line in plan.splitlines() if "Generate " in line]
+
+
+def test_patterns_of_a_line_are_worked_out_before_the_generator(spark, tmp_path):
+    tables(spark, tmp_path)
+    found = generators(line_candidates(materialise(Given(spark, str(tmp_path)).ocr_line, "lines")))
+    assert found and not any("regexp_extract" in g or "lambda" in g for g in found[1:])
+
+
+def test_diagnostics_work_out_the_layout_once(spark, tmp_path):
+    tables(spark, tmp_path)
+    lines = materialise(Given(spark, str(tmp_path)).ocr_line, "lines")
+    for diagnostics in (item_diagnostics, field_diagnostics):
+        plan = diagnostics(lines)._jdf.queryExecution().optimizedPlan().toString()
+        assert "max_by" not in plan.lower() and "items_start_y" in plan
+        assert diagnostics(lines).count() == lines.select("doc_id").distinct().count()
