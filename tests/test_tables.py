@@ -188,3 +188,12 @@ def test_amounts_are_compared_at_one_scale(spark):
     got = {r.target: (r.outcome, r.reason) for r in rules.item_findings(items).where("rule_name = 'item_net_worth_consistency'").collect()}
     assert [got[f"item[{i}].net_worth"][0] for i in range(len(rows))] == ["pass", "fail", "pass", "fail", "not_applicable", "not_applicable", "not_applicable"]
     assert got["item[4].net_worth"][1] == rules.BEYOND and got["item[5].net_worth"][1] == rules.BEYOND
+
+
+def test_findings_are_worked_out_before_the_generator(spark):
+    header = spark.createDataFrame([("d", "123456", "1/2/2024", "123-45-6789", None, "x")], "doc_id string, invoice_no string, invoice_date string, seller_tax_id string, client_tax_id string, iban string")
+    items = spark.createDataFrame([("d", 0, "2,00", "3,00", "6,00", "10%", "6,60")], "doc_id string, item_index int, item_qty string, item_net_price string, item_net_worth string, item_vat string, item_gross_worth string")
+    for found, n in ((rules.header_findings(header), 6), (rules.item_findings(items), 2)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        generator = next(line for line in plan.splitlines() if "Generate " in line)
+        assert "CASE WHEN" not in generator and found.count() == n
