@@ -2,8 +2,8 @@
 
 from datetime import datetime
 
-from tallyvine.operators.fields import field_diagnostics, line_candidates
-from tallyvine.operators.items import item_diagnostics
+from tallyvine.operators.fields import field_diagnostics, label_lines, line_candidates
+from tallyvine.operators.items import classify, item_diagnostics
 from tallyvine.session import materialise
 from verification import views
 from verification.document_queries import banded
@@ -80,3 +80,37 @@ def test_diagnostics_work_out_the_layout_once(spark, tmp_path):
         plan = diagnostics(lines)._jdf.queryExecution().optimizedPlan().toString()
         assert "max_by" not in plan.lower() and "items_start_y" in plan
         assert diagnostics(lines).count() == lines.select("doc_id").distinct().count()
+
+
+def test_texts_without_numbers_need_no_ranks(spark, tmp_path):
+    tables(spark, tmp_path)
+    given = Given(spark, str(tmp_path))
+    texts = given.line_text
+    assert sorted(texts.collect()) == sorted(given.ocr_line.select("text").collect())
+    assert "Union" not in texts._jdf.queryExecution().optimizedPlan().toString().split("Union", 1)[1]
+
+
+def test_only_orders_without_a_key_of_their_own_are_ranked(spark, tmp_path):
+    tables(spark, tmp_path)
+    given = Given(spark, str(tmp_path))
+    odd = {r["odd"] for r in given.view("odd_order").collect()}
+    ranked = {r["k"] for r in given.view("odd_page_lines").where("not exact").select("k").distinct().collect()}
+    assert odd == ranked == {None, 4, 5, 7}
+
+
+def test_line_form_is_a_column_of_its_own_before_the_label(spark):
+    rows = [("d", i, t, 1.0, 2.0, 3.0, 900, 800) for i, t in enumerate([" SELLER: ", "Sel1er:", "1 234,50", "12%", None, "", "Total", "C­lient", "Kunde"])]
+    lines = spark.createDataFrame(rows, "doc_id string, line_no int, text string, x0 double, y0 double, x1 double, page_width int, page_height int")
+    labelled = label_lines(lines)
+    assert labelled.columns == [*lines.columns, "label"]
+    assert [r["label"] for r in labelled.orderBy("line_no").collect()] == ["seller", "seller", None, None, None, None, "summary_start", "client", None]
+    project = next(p for p in labelled._jdf.queryExecution().optimizedPlan().toString().splitlines() if "label" in p)
+    assert "btrim" not in project
+
+
+def test_item_patterns_are_tried_only_where_they_may_match(spark):
+    rows = [("d", 0, i, i, 10.0, t, "band", 0.0) for i, t in enumerate([" 1.234,50 ", "19 %", " each\n", "PCS", "Article,12", "5", "Unit", "each one"])]
+    pairs = spark.createDataFrame(rows, "doc_id string, item_index int, line_no int, anchor_line_no int, x0 double, text string, part string, anchor_x1 double")
+    out = classify(pairs)
+    assert [r["kind"] for r in out.orderBy("line_no").collect()] == ["decimal", "vat", "unit", "unit", "text", "text", "unit", "text"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Contains(text") == 2
