@@ -1,5 +1,6 @@
 """Page lines derived from orders and order lines, and how queries read them."""
 
+import re
 from datetime import datetime
 
 from tallyvine.operators.fields import field_diagnostics, label_lines, line_candidates
@@ -114,3 +115,24 @@ def test_item_patterns_are_tried_only_where_they_may_match(spark):
     out = classify(pairs)
     assert [r["kind"] for r in out.orderBy("line_no").collect()] == ["decimal", "vat", "unit", "unit", "text", "text", "unit", "text"]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Contains(text") == 2
+
+
+def moved_columns(df):
+    """Columns of each exchange in the plan."""
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    steps = df._jdf.queryExecution().explainString(mode).split("\n\n")
+    return [re.findall(r"(\w+)#", s.split("Arguments")[0]) for s in steps if re.match(r"\(\d+\) Exchange", s)]
+
+
+def test_lines_move_given_columns_and_not_what_is_made_of_them(spark, tmp_path):
+    tables(spark, tmp_path)
+    moved = moved_columns(Given(spark, str(tmp_path)).ocr_line)
+    wide = [c for c in moved if "c_name" in c or "l_linenumber" in c]
+    made = {"good_iban", "bad_iban", "invoice_no", "seller_tax_id", "shown_net", "price_c", "flag"}
+    assert wide and not [c for c in wide if made & set(c)]
+
+
+def test_written_tables_are_packed_with_zstandard(spark):
+    written = materialise(spark.range(5), "packed")
+    assert sorted(r.id for r in written.collect()) == [0, 1, 2, 3, 4]
+    assert all(f.endswith(".zstd.parquet") for f in written.inputFiles())
