@@ -132,6 +132,14 @@ def test_lines_move_given_columns_and_not_what_is_made_of_them(spark, tmp_path):
     assert wide and not [c for c in wide if made & set(c)]
 
 
+def test_ranked_lines_share_the_order_lines_moved_for_the_counted_ones(spark, tmp_path):
+    tables(spark, tmp_path)
+    lines = Given(spark, str(tmp_path)).ocr_line
+    assert "LeftSemi" not in lines._jdf.queryExecution().optimizedPlan().toString()
+    wide = [c for c in moved_columns(lines) if "l_linenumber" in c]
+    assert len(wide) == 2 and wide[0] == wide[1]
+
+
 def test_written_tables_are_packed_with_zstandard(spark):
     written = materialise(spark.range(5), "packed")
     assert sorted(r.id for r in written.collect()) == [0, 1, 2, 3, 4]
